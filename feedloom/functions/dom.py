@@ -84,6 +84,9 @@ class _Tree(HTMLParser):
         self.text, self.markup = [], []
         self.chars = self.bytes = self.out = 0
 
+    def updatepos(self, i, j):
+        return j        # line numbers are not needed
+
     # writing -----------------------------------------------------------------
     def _emit(self, piece):
         self.markup.append(piece)

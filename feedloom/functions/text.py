@@ -13,13 +13,22 @@ _TAG = r"(?s)<!--.*?-->|</?[a-zA-Z][^>]*>"
 _BASIC_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": " "}
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once, however often the body uses it.
+
+    Spark has no local names in expressions; a lambda over a one-element
+    array is one, and keeps long expressions small for the optimizer.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Remove Unicode white space on both ends."""
     return F.regexp_replace(col, _EDGES, "")
 
 
 def blank_to_null(col: Column) -> Column:
-    return F.nullif(strip(col), F.lit(""))
+    return let(strip(col), lambda text: F.nullif(text, F.lit("")))
 
 
 def stride_words(col: Column) -> Column:
@@ -45,7 +54,7 @@ def title_case(col: Column) -> Column:
 
 def fix_title(col: Column) -> Column:
     """Titles over 20 characters that are all upper case become title case."""
-    return F.when((F.length(col) > 20) & is_upper(col), title_case(col)).otherwise(col)
+    return let(col, lambda t: F.when((F.length(t) > 20) & is_upper(t), title_case(t)).otherwise(t))
 
 
 def unescape_basic(col: Column) -> Column:
@@ -65,9 +74,8 @@ def text_length(html: Column) -> Column:
 
 def text_words(html: Column) -> Column:
     """Number of blank-separated words of a fragment's text."""
-    text = strip(strip_tags(html))
-    words = F.size(F.split(text, r"(?U)[\s\x1c-\x1f]+"))
-    return F.when(text.isNull() | (text == ""), 0).otherwise(words)
+    return let(strip(strip_tags(html)), lambda text: F.when(text.isNull() | (text == ""), 0).otherwise(
+        F.size(F.split(text, r"(?U)[\s\x1c-\x1f]+"))))
 
 
 def unwrap_anchors(html: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from feedloom.functions.text import strip
+from feedloom.functions.text import let, strip
 
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 _MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
@@ -28,8 +28,10 @@ def parse_time(col: Column) -> Column:
     The weekday is ignored (it may be wrong). Numeric offsets are honoured;
     zone names other than UTC and times without a zone count as UTC.
     """
-    text = strip(col)
-    lower = F.lower(text)
+    return let(F.lower(strip(col)), _instant)
+
+
+def _instant(lower: Column) -> Column:
     iso = r"^(\d{4})-(\d{1,2})-(\d{1,2})"
     day_first = rf"(?:^|[\s,])(\d{{1,2}})(?:st|nd|rd|th)?[\s-]+({_MONTH})\.?,?[\s-]+(\d{{4}}|\d{{2}})(?![\d:])"
     month_first = rf"({_MONTH})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:\s*,\s*|\s+(?:[\d:.]+\s+)?)(\d{{4}})(?!\d)"
@@ -72,3 +74,8 @@ def parse_time(col: Column) -> Column:
     return (F.when(seconds == 0, F.lit(None).cast("timestamp"))
             .when(seconds.isNotNull(), F.timestamp_seconds(seconds))
             .otherwise(F.concat(date, F.lit(" "), time, zone).try_cast("timestamp")))
+
+
+def utc_format(col: Column, pattern: str) -> Column:
+    """Format an instant in UTC, whatever the session's zone."""
+    return F.date_format(F.convert_timezone(None, F.lit("UTC"), col.cast("timestamp_ntz")), pattern)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from feedloom.constants import PORTAL_LETTERS, TRACKERS
+from feedloom.functions.text import let
 
 _ASCII = r"^[\x00-\x7F]*$"
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
@@ -40,78 +41,84 @@ def _to_ascii_url(urls: pa.Array) -> pa.Array:
 _ascii_url = F.arrow_udf(_to_ascii_url, returnType=T.StringType())
 
 
+def _tidy(url: Column) -> Column:
+    def fixed(u):
+        has_scheme = F.split_part(u, F.lit(":"), F.lit(1)).isin("http", "https")
+        whole = F.when(has_scheme, u).otherwise(F.concat(F.lit("http://"), u))
+        whole = F.regexp_replace(whole, r"^(https?):/([^/])", "$1://$2")
+        return F.regexp_replace(F.replace(whole, F.lit(" "), F.lit("%20")), r"[\t\r\n]", "")
+    return let(url, fixed)
+
+
 def sanitize_url(url: Column) -> Column:
     """Scheme added, `http:/x` repaired, blanks quoted, non-ASCII encoded.
 
     Only rows with non-ASCII characters carry a value into the Python step.
     """
-    has_scheme = F.split_part(url, F.lit(":"), F.lit(1)).isin("http", "https")
-    fixed = F.when(has_scheme, url).otherwise(F.concat(F.lit("http://"), url))
-    fixed = F.regexp_replace(fixed, r"^(https?):/([^/])", "$1://$2")
-    fixed = F.regexp_replace(F.replace(fixed, F.lit(" "), F.lit("%20")), r"[\t\r\n]", "")
-    plain = fixed.rlike(_ASCII)
+    fixed, plain = _tidy(url), url.rlike(_ASCII)
     return F.when(plain, drop_empty_parts(fixed)).otherwise(_ascii_url(F.when(~plain, fixed)))
 
 
-def sanitize_ascii_url(url: Column) -> Column:
-    """`sanitize_url` for input known to be ASCII; stays in the JVM."""
-    has_scheme = F.split_part(url, F.lit(":"), F.lit(1)).isin("http", "https")
-    fixed = F.when(has_scheme, url).otherwise(F.concat(F.lit("http://"), url))
-    fixed = F.regexp_replace(fixed, r"^(https?):/([^/])", "$1://$2")
-    return drop_empty_parts(F.regexp_replace(F.replace(fixed, F.lit(" "), F.lit("%20")), r"[\t\r\n]", ""))
-
-
 def _resolve_segments(segments: Column) -> Column:
     """Remove `.` and `..` from path segments and join them again."""
-    stack = F.aggregate(
-        segments, F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc).otherwise(F.array_append(acc, s)))
-    last = F.element_at(segments, -1)
-    stack = F.when(last.isin(".", ".."), F.array_append(stack, F.lit(""))).otherwise(stack)
-    path = F.array_join(stack, "/")
-    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    def joined(parts):
+        stack = F.aggregate(
+            parts, F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(s == ".", acc).otherwise(F.array_append(acc, s)))
+        slash = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+        return F.concat(F.array_join(stack, "/"), slash)
+    return let(let(segments, joined), lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)))
+
+
+def _base_folder(path: Column) -> Column:
+    return let(F.split(path, "/"), lambda parts: F.when(
+        F.element_at(parts, -1) != "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
+
+
+def _drop_inner_blanks(segments: Column) -> Column:
+    return let(segments, lambda s: F.concat(
+        F.slice(s, 1, 1), F.filter(F.slice(s, F.lit(2), F.greatest(F.size(s) - 2, F.lit(0))), lambda p: p != ""),
+        F.slice(s, -1, 1)))
 
 
 def absolute_url(base: Column, link: Column) -> Column:
     """Resolve `link` against `base` (RFC 3986 reference resolution)."""
-    page = F.regexp_replace(base, r"(?s)#.*$", "")
-    scheme = F.regexp_extract(base, _SCHEME, 1)
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    base_path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    path = F.regexp_extract(link, r"^([^?#]*)", 1)
-    rest = F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
-    folder = F.split(base_path, "/")
-    folder = F.when(F.element_at(folder, -1) != "", F.slice(folder, F.lit(1), F.size(folder) - 1)).otherwise(folder)
-    joined = F.concat(folder, F.split(path, "/"))
-    inner = F.filter(F.slice(joined, F.lit(2), F.greatest(F.size(joined) - 2, F.lit(0))), lambda s: s != "")
-    joined = F.concat(F.slice(joined, 1, 1), inner, F.slice(joined, -1, 1))
-    own = link.rlike(_SCHEME)
-    dotted = path.rlike(r"(^|/)\.\.?(/|$)")
-    rooted = F.when(dotted, _resolve_segments(F.split(path, "/"))).otherwise(path)
-    full = (F.when(link.isNull() | base.isNull(), link)
-            .when(own, link)
-            .when(link == "", base)
-            .when(root == "", link)
-            .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-            .when(link.startswith("/"), F.concat(root, rooted, rest))
-            .when(link.startswith("?"), F.concat(root, base_path, link))
-            .when(link.startswith("#"), F.concat(page, link))
-            .otherwise(F.concat(root, _resolve_segments(joined), rest)))
-    return F.when(own, full).otherwise(drop_empty_parts(full))
+    def resolve(v):
+        base, link = v["base"], v["link"]
+        scheme = F.regexp_extract(base, _SCHEME, 1)
+        root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+        base_path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+        path = F.regexp_extract(link, r"^([^?#]*)", 1)
+        rest = F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+        rooted = F.when(path.rlike(r"(^|/)\.\.?(/|$)"), _resolve_segments(F.split(path, "/"))).otherwise(path)
+        merged = _drop_inner_blanks(F.concat(_base_folder(base_path), F.split(path, "/")))
+        return (F.when(link.isNull() | base.isNull() | link.rlike(_SCHEME), link)
+                .when(link == "", base)
+                .when(root == "", link)
+                .otherwise(drop_empty_parts(
+                    F.when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+                    .when(link.startswith("/"), F.concat(root, rooted, rest))
+                    .when(link.startswith("?"), F.concat(root, base_path, link))
+                    .when(link.startswith("#"), F.concat(F.regexp_replace(base, r"(?s)#.*$", ""), link))
+                    .otherwise(F.concat(root, _resolve_segments(merged), rest)))))
+    return let(F.struct(base.alias("base"), link.alias("link")), resolve)
 
 
 def query_value(url: Column, key: str) -> Column:
     """First non-empty value of a query key, percent-decoded; null if absent."""
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    raw = F.nullif(F.regexp_extract(query, rf"(?:^|&){key}=([^&]+)", 1), F.lit(""))
-    return F.coalesce(F.try_url_decode(raw), F.replace(raw, F.lit("+"), F.lit(" ")))
+    return let(F.regexp_extract(query, rf"(?:^|&){key}=([^&]+)", 1), lambda raw: F.when(
+        raw != "", F.coalesce(F.try_url_decode(raw), F.replace(raw, F.lit("+"), F.lit(" ")))))
 
 
 def unwrap_tracking(link: Column) -> Column:
     """Target of links wrapped by tracking services; each step sees the one before."""
-    return reduce(lambda url, t: F.when(url.rlike(t[0]), F.coalesce(query_value(url, t[1]), url)).otherwise(url),
-                  TRACKERS, link)
+    def step(link, tracker):
+        pattern, key = tracker
+        return let(link, lambda url: F.when(
+            url.rlike(pattern), F.coalesce(query_value(url, key), url)).otherwise(url))
+    return reduce(step, TRACKERS, link)
 
 
 def decode_portal(link: Column) -> Column:
