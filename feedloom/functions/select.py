@@ -1,14 +1,18 @@
-"""Element selectors over the `dom` column: what the site rules and custom rules are made of."""
+"""Element selectors over the `dom` column: what the site rules and custom rules are made of.
+
+The functions return SQL text. `dom` is the name of a column and `item`, `node`
+the name of a lambda variable or an expression that is cheap to repeat.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from feedloom.functions.text import blank_to_null_sql
+
 
-from feedloom.functions.dom import descendants, inner_markup, node_text
-from feedloom.functions.text import blank_to_null
+def quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 @dataclass(frozen=True)
@@ -38,66 +42,71 @@ class Select:
             {"descendant": ".//", "child": "./", "self": "self::", "ancestor": "ancestor::"}[self.axis]
         return head + own + (f"/@{self.attr}" if self.attr else "")
 
-    def test(self, dom: Column, node: Column, below: Column | None = None) -> Column:
-        checks = [F.lit(True)]
-        marks = node.attrs["class"]
+    def test(self, dom: str, node: str, below: str | None = None) -> str:
+        """Condition that `node` matches; `below` is the item `under` has to lie inside of."""
+        marks = f"coalesce({node}.attrs['class'], '')"
+        checks = []
         if self.tag:
-            checks.append(node.tag == self.tag)
+            checks.append(f"{node}.tag = {quoted(self.tag)}")
         if self.cls:
-            tokens = F.split(F.regexp_replace(marks, r"^\s+|\s+$", ""), r"\s+")
-            checks.append(marks.isNotNull() & F.array_contains(tokens, self.cls))
+            checks.append(rf"array_contains(split({marks}, r'\s+'), {quoted(self.cls)})")
         if self.id:
-            checks.append(F.coalesce(node.attrs["id"] == self.id, F.lit(False)))
+            checks.append(f"coalesce({node}.attrs['id'], '') = {quoted(self.id)}")
         if self.without:
-            checks.append(~F.coalesce(marks.contains(self.without), F.lit(False)))
+            checks.append(f"NOT contains({marks}, {quoted(self.without)})")
         if self.attr:
-            checks.append(node.attrs[self.attr].isNotNull())
+            checks.append(f"{node}.attrs[{quoted(self.attr)}] IS NOT NULL")
         if self.under:
-            above = F.get(dom.nodes, node.parent_id)
-            checks.append(self.under.test(dom, above))
+            checks.append(f"{node}.parent_id IS NOT NULL")
+            checks.append(self.under.test(dom, f"get({dom}.nodes, {node}.parent_id)"))
             if below is not None:
-                checks.append(node.parent_id > below)
-        return F.coalesce(reduce(lambda a, b: a & b, checks), F.lit(False))
+                checks.append(f"{node}.parent_id > {below}.node_id")
+        return "(" + (" AND ".join(checks) or "true") + ")"
 
 
 def _alternatives(selector) -> tuple:
     return selector if isinstance(selector, (tuple, list)) else (selector,)
 
 
-def all_matches(dom: Column, selector) -> Column:
+def all_matches(dom: str, selector) -> str:
     """Elements of the page matching any of the alternatives, in document order."""
-    return F.filter(dom.nodes, lambda n: reduce(lambda a, b: a | b, [s.test(dom, n) for s in _alternatives(selector)]))
+    return f"filter({dom}.nodes, n -> {' OR '.join(s.test(dom, 'n') for s in _alternatives(selector))})"
+
 
+def first_match(dom: str, selector) -> str:
+    return f"get({all_matches(dom, selector)}, 0)"
 
-def first_match(dom: Column, selector) -> Column:
-    return F.get(all_matches(dom, selector), F.lit(0))
 
+def _along(dom: str, item: str, select: Select) -> str:
+    nodes = {
+        "self": f"array({item})",
+        "ancestor": f"transform({item}.path, a -> get({dom}.nodes, a))",
+        "child": f"transform({item}.kids, k -> get({dom}.nodes, k))",
+        "descendant": f"slice({dom}.nodes, {item}.node_id + 2, {item}.last_desc - {item}.node_id)",
+    }[select.axis]
+    return f"filter({nodes}, n -> {select.test(dom, 'n', item)})"
 
-def _along(dom: Column, item: Column, select: Select) -> Column:
-    if select.axis == "self":
-        nodes = F.array(item)
-    elif select.axis == "ancestor":
-        nodes = F.transform(item.path, lambda a: F.get(dom.nodes, a))
-    elif select.axis == "child":
-        nodes = F.transform(item.kids, lambda k: F.get(dom.nodes, k))
+
+def _content(dom: str, node: str, select: Select, rich: bool) -> str:
+    """Attribute, inner markup (`rich`) or trimmed text of the node found; null for none of it."""
+    if select.attr:
+        value = f"nullif(m.attrs[{quoted(select.attr)}], '')"
+    elif rich:
+        value = f"nullif(cast(substring({dom}.markup, m.m0 + 1, m.m1 - m.m0) AS string), '')"
     else:
-        nodes = descendants(dom, item)
-    return F.filter(nodes, lambda n: select.test(dom, n, item.node_id))
-
-
-def field_value(dom: Column, item: Column, selector, rich: bool = False) -> Column:
-    """First match relative to an item, as attribute, inner markup (`rich`) or trimmed text."""
-    def value(select):
-        node = F.get(_along(dom, item, select), F.lit(0))
-        if select.attr:
-            return F.nullif(node.attrs[select.attr], F.lit(""))
-        return F.nullif(inner_markup(dom, node), F.lit("")) if rich else blank_to_null(node_text(dom, node))
-    return F.coalesce(*[value(s) for s in _alternatives(selector)])
-
-
-def page_value(dom: Column, selector) -> Column:
-    """First match on the whole page, as attribute or trimmed text."""
-    def value(select):
-        node = first_match(dom, select)
-        return F.nullif(node.attrs[select.attr], F.lit("")) if select.attr else blank_to_null(node_text(dom, node))
-    return F.coalesce(*[value(s) for s in _alternatives(selector)])
+        value = blank_to_null_sql(f"cast(substring({dom}.text, m.b0 + 1, m.b1 - m.b0) AS string)")
+    return f"get(transform(array({node}), m -> {value}), 0)"
+
+
+def _first_of(values: list[str]) -> str:
+    return values[0] if len(values) == 1 else f"coalesce({', '.join(values)})"
+
+
+def field_value(dom: str, item: str, selector, rich: bool = False) -> str:
+    """First match relative to an item."""
+    return _first_of([_content(dom, f"get({_along(dom, item, s)}, 0)", s, rich) for s in _alternatives(selector)])
+
+
+def page_value(dom: str, selector) -> str:
+    """First match on the whole page."""
+    return _first_of([_content(dom, first_match(dom, s), s, False) for s in _alternatives(selector)])

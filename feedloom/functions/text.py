@@ -27,8 +27,9 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, _EDGES, "")
 
 
-def blank_to_null(col: Column) -> Column:
-    return let(strip(col), lambda text: F.nullif(text, F.lit("")))
+def blank_to_null_sql(expr: str) -> str:
+    """SQL text: `expr` without outer white space, null if nothing is left."""
+    return f"get(transform(array(regexp_replace({expr}, r'{_EDGES}', '')), v -> nullif(v, '')), 0)"
 
 
 def stride_words(col: Column) -> Column:
@@ -85,9 +86,9 @@ def unwrap_anchors(html: Column) -> Column:
 
 def named_entities_to_text(col: Column) -> Column:
     """HTML named references that XML does not define, as characters."""
-    keep = {"amp", "lt", "gt", "quot", "apos"}
-    table = F.create_map(*[F.lit(v) for name, point in name2codepoint.items() if name not in keep
-                           for v in (f"&{name};", chr(point))])
+    known = {"amp", "lt", "gt", "quot", "apos"}
+    pairs = "\n".join(f"&{name};\t{chr(point)}" for name, point in name2codepoint.items() if name not in known)
+    table = F.str_to_map(F.lit(pairs), F.lit("\n"), F.lit("\t"))
     tokens = F.regexp_extract_all(col, F.lit(r"(&[A-Za-z][A-Za-z0-9]*;|[^&]+|&)"), F.lit(1))
     mapped = F.transform(tokens, lambda t: F.when(
         t.startswith("&") & (F.length(t) > 1),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from feedloom.constants import (CLASS_BAD, CLASS_GOOD, TAGS_BAD, TAGS_DANGEROUS, TAGS_GOOD, TAGS_JUNK)
 from feedloom.functions.dom import html_dom, node_link_text, node_text, outer_markup
+from feedloom.functions.select import first_match
 from feedloom.functions.markup import absolute_markup, clean_markup, sanitized_markup
 from feedloom.functions.text import stride_words
 
@@ -140,8 +141,7 @@ def best_node(pages: DataFrame, html: str = "html", threshold: float = 5, select
 
 
 def _best(pages, html, threshold, selector):
-    from feedloom.functions.select import first_match
-    override = None if selector is None else first_match(F.col("dom"), selector).node_id
+    override = None if selector is None else F.expr(first_match("dom", selector) + ".node_id")
     return with_best(with_scores(with_dom(pages, html)), threshold, override)
 
 

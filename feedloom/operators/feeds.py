@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from feedloom.constants import ITEM_COLUMNS, NS_ATOM, NS_ATOM03, NS_CONTENT, NS_FEEDBURNER, NS_RDF, NS_RSS1
 from feedloom.functions.dom import html_dom
-from feedloom.functions.select import Select, all_matches, field_value, page_value
-from feedloom.functions.text import blank_to_null, let, named_entities_to_text
+from feedloom.functions.select import all_matches, field_value, page_value
+from feedloom.functions.text import blank_to_null_sql, let, named_entities_to_text
 from feedloom.functions.times import parse_time
 from feedloom.sources.rules import RULES, Rule, rule_by_path
 
@@ -88,24 +88,33 @@ def xml_dialect(text: Column) -> Column:
     return let(F.regexp_extract(text, _PROLOG + r"(<[A-Za-z][^>]*>)", 1), of_root)
 
 
-def _first(values: Column) -> Column:
-    return blank_to_null(F.get(values, F.lit(0)))
+def _first(values: str) -> str:
+    return blank_to_null_sql(f"get({values}, 0)")
 
 
-def _rss_item(i: Column) -> Column:
-    none = F.lit(None).cast("string")
-    return F.struct(_first(i["title"]).alias("title"), _first(i["link"]).alias("link"),
-                    _first(i["description"]).alias("desc"), _first(i["content:encoded"]).alias("content"),
-                    _first(i["pubDate"]).alias("time"), none.alias("updated"),
-                    _first(i["feedburner:origLink"]).alias("orig_link"))
+def _struct(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
 
 
-def _entry(e: Column) -> Column:
-    hrefs = F.filter(F.transform(e["link"], lambda k: k["_href"]), lambda h: h.isNotNull())
-    return F.struct(_first(e["title"]).alias("title"), F.nullif(F.get(hrefs, F.lit(0)), F.lit("")).alias("link"),
-                    _first(e["summary"]).alias("desc"), _first(e["content"]).alias("content"),
-                    _first(e["published"]).alias("time"), _first(e["updated"]).alias("updated"),
-                    _first(e["feedburner:origLink"]).alias("orig_link"))
+_NONE = "cast(null AS string)"
+_RSS_FIELDS = _struct(
+    title=_first("i.title"), link=_first("i.link"), desc=_first("i.description"),
+    content=_first("i.`content:encoded`"), time=_first("i.pubDate"), updated=_NONE,
+    orig_link=_first("i.`feedburner:origLink`"))
+_ENTRY_FIELDS = _struct(
+    title=_first("e.title"), link="nullif(get(filter(transform(e.link, k -> k._href), h -> h IS NOT NULL), 0), '')",
+    desc=_first("e.summary"), content=_first("e.content"), time=_first("e.published"), updated=_first("e.updated"),
+    orig_link=_first("e.`feedburner:origLink`"))
+# `_parsed` is the tree of a document, `_dialect` its ruleset; RSS 1.0 may list items beside the channel.
+_RSS_FEED = _struct(
+    title=f"coalesce({_first('_parsed.channel.title')}, {_first('_parsed.title')})",
+    desc=f"coalesce({_first('_parsed.channel.description')}, {_first('_parsed.description')})",
+    items="transform(concat(coalesce(_parsed.channel.item, array()), CASE WHEN _dialect = 'rss-rdf' OR _parsed.channel "
+          f"IS NULL THEN coalesce(_parsed.item, array()) ELSE array() END), i -> {_RSS_FIELDS})")
+_ATOM_FEED = _struct(title=_first("_parsed.title"), desc=_first("_parsed.subtitle"),
+                     items=f"transform(coalesce(_parsed.entry, array()), e -> {_ENTRY_FIELDS})")
+_XML_FEED = (f"CASE WHEN _dialect IN ('rss-rdf', 'rss-channel') THEN {_RSS_FEED} "
+             f"WHEN _dialect IS NOT NULL THEN {_ATOM_FEED} END")
 
 
 def _salvage(text: Column) -> Column:
@@ -139,20 +148,8 @@ def _with_feed(docs: DataFrame, text: str, dialect: Column) -> DataFrame:
                                         usual_prefixes(repair_xml(F.col(text)))))
              .withColumn("_tree", F.from_xml("_xml", _XML, _XML_OPTIONS)))
     tree = F.when(F.col("_tree._broken").isNotNull(), _salvage(F.col("_xml"))).otherwise(F.col("_tree"))
-    ready = ready.withColumn("_parsed", tree)
-    parsed, name = F.col("_parsed"), F.col("_dialect")
-    rss = F.concat(F.coalesce(parsed["channel"]["item"], F.array()),
-                   F.when((name == "rss-rdf") | parsed["channel"].isNull(), F.coalesce(parsed["item"], F.array()))
-                   .otherwise(F.array()))
-    is_rss = name.isin("rss-rdf", "rss-channel")
-    feed = F.when(is_rss, F.struct(
-        F.coalesce(_first(parsed["channel"]["title"]), _first(parsed["title"])).alias("title"),
-        F.coalesce(_first(parsed["channel"]["description"]), _first(parsed["description"])).alias("desc"),
-        F.transform(rss, _rss_item).alias("items"))).otherwise(F.struct(
-            _first(parsed["title"]).alias("title"), _first(parsed["subtitle"]).alias("desc"),
-            F.transform(F.coalesce(parsed["entry"], F.array()), _entry).alias("items")))
-    return (ready.withColumn("rule", name).withColumn("feed", F.when(name.isNotNull(), feed))
-            .drop("_dialect", "_xml", "_tree", "_parsed"))
+    return (ready.withColumn("_parsed", tree).withColumn("rule", F.col("_dialect"))
+            .withColumn("feed", F.expr(_XML_FEED)).drop("_dialect", "_xml", "_tree", "_parsed"))
 
 
 def parse_rss(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -171,48 +168,48 @@ def parse_atom03(docs: DataFrame, text: str = "text") -> DataFrame:
     return _with_feed(docs, text, F.lit("rss-atom03"))
 
 
-def json_feed(text: Column) -> Column:
-    """`feed` struct of the JSON dialect; newlines in values become <br/>."""
-    raw = F.from_json(text, "title string, desc string, items array<struct<title:string,url:string,desc:string,"
-                            "content:string,time:string,updated:string>>")
+_JSON = ("title string, desc string, items array<struct<title:string,url:string,desc:string,content:string,"
+         "time:string,updated:string>>")
 
-    def value(col):
-        return F.nullif(F.replace(col, F.lit("\n"), F.lit("<br/>")), F.lit(""))
 
-    return F.when(raw.isNotNull(), F.struct(
-        value(raw["title"]).alias("title"), value(raw["desc"]).alias("desc"),
-        F.transform(F.coalesce(raw["items"], F.array()), lambda i: F.struct(
-            value(i["title"]).alias("title"), value(i["url"]).alias("link"), value(i["desc"]).alias("desc"),
-            value(i["content"]).alias("content"), value(i["time"]).alias("time"),
-            value(i["updated"]).alias("updated"), F.lit(None).cast("string").alias("orig_link"))).alias("items")))
+def _json_text(value: str) -> str:
+    return f"nullif(replace({value}, '\\n', '<br/>'), '')"
 
 
-def parse_json_feed(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.withColumn("rule", F.lit("json")).withColumn("feed", json_feed(F.col(text)))
+_JSON_FEED = _struct(title=_json_text("j.title"), desc=_json_text("j.desc"), items=(
+    "transform(coalesce(j.items, array()), i -> " + _struct(
+        title=_json_text("i.title"), link=_json_text("i.url"), desc=_json_text("i.desc"),
+        content=_json_text("i.content"), time=_json_text("i.time"), updated=_json_text("i.updated"),
+        orig_link=_NONE) + ")"))
 
 
-def html_feed(dom: Column, rule: Rule) -> Column:
-    """`feed` struct from the elements a rule selects; desc and content keep their markup."""
-    get = rule.exprs.get
-    none = F.lit(None).cast("string")
+def json_feed(text: str) -> Column:
+    """`feed` struct of the JSON dialect; newlines in values become <br/>."""
+    return F.expr(f"get(transform(array(from_json({text}, '{_JSON}')), j -> "
+                  f"CASE WHEN j IS NOT NULL THEN {_JSON_FEED} END), 0)")
+
+
+def parse_json_feed(docs: DataFrame, text: str = "text") -> DataFrame:
+    return docs.withColumn("rule", F.lit("json")).withColumn("feed", json_feed(text))
+
 
-    def page(name):
-        return none if get(name) is None else page_value(dom, get(name))
+def html_feed(dom: str, rule: Rule) -> str:
+    """SQL text of the `feed` struct a rule selects; desc and content keep their markup."""
+    exprs = rule.exprs
 
-    def item(node):
-        def value(name, rich=False):
-            expr = get(f"item_{name}")
-            return none if expr is None else field_value(dom, node, expr, rich)
-        return F.struct(*[value(n, n in ("desc", "content")).alias(n) for n in ITEM_COLUMNS], none.alias("orig_link"))
+    def item(name):
+        expr = exprs.get(f"item_{name}")
+        return _NONE if expr is None else field_value(dom, "i", expr, name in ("desc", "content"))
 
-    return F.struct(page("title").alias("title"), page("desc").alias("desc"),
-                    F.transform(all_matches(dom, rule.exprs["items"]), item).alias("items"))
+    page = {name: page_value(dom, exprs[name]) if name in exprs else _NONE for name in ("title", "desc")}
+    fields = _struct(**{name: item(name) for name in ITEM_COLUMNS}, orig_link=_NONE)
+    return _struct(**page, items=f"transform({all_matches(dom, exprs['items'])}, i -> {fields})")
 
 
 def extract_by_rule(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
     """Apply one html rule (a site's or a user's) to every document."""
     return (docs.withColumn("_dom", html_dom(F.col(text))).withColumn("rule", F.lit(rule.name))
-            .withColumn("feed", html_feed(F.col("_dom"), rule)).drop("_dom"))
+            .withColumn("feed", F.expr(html_feed("_dom", rule))).drop("_dom"))
 
 
 def parse_html_feed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -263,13 +260,11 @@ def dispatch_rules(docs: DataFrame, text: str = "text", url: str = "feed_url", r
     has_xml = F.coalesce(F.size("_xml_feed.items") > 0, F.lit(False))
     is_json = F.col(text).rlike(r"^[\s\x{feff}]*[\[{]")
     parsed = parsed.withColumn("_dom", html_dom(F.when(F.col("_site").isNotNull() | ~(has_xml | is_json), F.col(text))))
-    dom, site = F.col("_dom"), F.col("_site")
-    site_feed = F.lit(None).cast(FEED_TYPE)
-    for rule in sites:
-        site_feed = F.when(site == rule.name, html_feed(dom, rule)).otherwise(site_feed)
-    parsed = (parsed.withColumn("_site_feed", site_feed)
-              .withColumn("_html_feed", F.when(site.isNull() & dom.isNotNull(), html_feed(dom, own)))
-              .withColumn("_json_feed", F.when(site.isNull() & is_json, json_feed(F.col(text)))))
+    by_site = " ".join(f"WHEN _site = '{r.name}' THEN {html_feed('_dom', r)}" for r in sites)
+    site = F.col("_site")
+    parsed = (parsed.withColumn("_site_feed", F.expr(f"CASE {by_site} END" if sites else f"cast(null AS {FEED_TYPE})"))
+              .withColumn("_html_feed", F.expr(f"CASE WHEN _site IS NULL AND _dom IS NOT NULL THEN {html_feed('_dom', own)} END"))
+              .withColumn("_json_feed", F.when(site.isNull() & is_json, json_feed(text))))
 
     def filled(feed):
         return F.coalesce(F.size(F.col(feed)["items"]) > 0, F.lit(False))

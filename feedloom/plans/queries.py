@@ -732,12 +732,12 @@ def link_density(spark, sf):
 
 
 @query("absolute_links", r"""
-SELECT page_id, list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1),
-  lambda h: regexp_extract(url, '^(https?://[^/?#]+)', 1) || h)::VARCHAR AS hrefs FROM pages""")
+SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1),
+  lambda h: regexp_extract(url, '^(https?://[^/?#]+)', 1) || h), ' ') AS hrefs FROM pages""")
 def absolute_links(spark, sf):
     df = article.absolute_links(derived.pages(spark, sf))
     hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    return df.select("page_id", F.concat(F.lit("["), F.array_join(hrefs, ", "), F.lit("]")).alias("hrefs"))
+    return df.select("page_id", F.array_join(hrefs, " ").alias("hrefs"))
 
 
 @query("sanitize_page", r"""
