@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from feedloom.functions import text as txt, urls
@@ -13,7 +15,8 @@ from feedloom.plans import derived
 from feedloom.plans.derived import NOW, SQL_CAPTURES, SQL_ITEMS
 from feedloom.plans.full_text import full_text_documents, full_text_feed
 from feedloom.sources import captures as sources
-from feedloom.sources.rules import Rule, custom_rule, load_rules
+from feedloom.sources.rules import custom_rule, load_rules
+from feedloom.streaming import captures as streams
 
 QUERIES, ORACLES = {}, {}
 
@@ -61,9 +64,9 @@ def html_nodes(spark, sf):
     return article.html_nodes(derived.pages(spark, sf)).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
-_PLAIN_TEXT = r"""replace(replace(replace(replace(replace(replace(regexp_replace(
+_PLAIN_TEXT = r"""replace(replace(replace(replace(replace(replace(replace(regexp_replace(
   replace(html, 'var t="</p>";', 'var t="PPPP";'), '<!--.*?-->|</?[a-zA-Z!][^>]*>', '', 'g'),
-  '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), 'var t="PPPP";', 'var t="</p>";')"""
+  '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), 'var t="PPPP";', 'var t="</p>";')"""
 
 
 @query("page_text", f"SELECT page_id, length(t) AS chars, md5(t) AS text_md5 FROM (SELECT page_id, {_PLAIN_TEXT} AS t FROM pages)")
@@ -784,3 +787,46 @@ def full_text_feed_query(spark, sf):
 def full_text_documents_query(spark, sf):
     responses, wanted = _world(spark, sf)
     return full_text_documents(responses, wanted, NOW, format="rss")
+
+
+# --- streams ---------------------------------------------------------------------------------------------------------------------------
+def _work_folder(spark):
+    """A new folder below the shared checkpoint folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    return f"{root}/feedloom-{uuid.uuid4().hex}"
+
+
+def _spool(df, folder, days):
+    """Write captures in a few files by day, as they would arrive."""
+    day = F.to_date("fetched_at")
+    df.select("url", "final_url", "code", "msg", "headers", "body", "fetched_at").repartitionByRange(
+        days, day).write.parquet(f"{folder}/captures")
+    return f"{folder}/captures"
+
+
+@query("stream_items", f"""{WITH_ITEMS}
+SELECT DISTINCT feed_url AS feed_id, coalesce(link, title, '') AS item_key FROM items""")
+def stream_items(spark, sf):
+    folder = _work_folder(spark)
+    first = derived.feed_responses(spark, sf)
+    again = first.withColumn("fetched_at", F.timestamp_add("HOUR", F.lit(30), "fetched_at"))
+    stream = streams.read_captures(spark, _spool(first.unionByName(again), folder, 2), files_per_batch=1)
+    (streams.stream_items(stream).select("feed_id", "item_key").writeStream.format("parquet").outputMode("append")
+     .option("path", f"{folder}/items").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+     .start().awaitTermination())
+    return spark.read.schema("feed_id string, item_key string").parquet(f"{folder}/items")
+
+
+@query("stream_latest_response", f"""{WITH_CAPTURES}, full_captures AS (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY fetched DESC) AS n FROM captures WHERE code <> 304),
+confirmed AS (SELECT url, max(fetched) AS at FROM captures WHERE code = 304 GROUP BY url)
+SELECT f.url, f.code, f.fetched, CASE WHEN c.at > f.fetched THEN c.at END AS revalidated, md5(f.html) AS body_md5
+FROM full_captures f LEFT JOIN confirmed c USING (url) WHERE n = 1""")
+def stream_latest_response(spark, sf):
+    folder = _work_folder(spark)
+    stream = streams.read_captures(spark, _spool(derived.responses(spark, sf), folder, 3), files_per_batch=1)
+    (streams.stream_latest_response(stream, f"{folder}/store").option("checkpointLocation", f"{folder}/state")
+     .trigger(availableNow=True).start().awaitTermination())
+    return streams.read_store(spark, f"{folder}/store").select(
+        "url", "code", epoch("fetched_at").alias("fetched"), epoch("revalidated_at").alias("revalidated"),
+        F.md5("body").alias("body_md5"))
