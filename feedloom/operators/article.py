@@ -17,6 +17,7 @@ from feedloom.functions.dom import html_dom, node_link_text, node_text, outer_ma
 from feedloom.functions.select import first_match
 from feedloom.functions.markup import absolute_markup, clean_markup, sanitized_markup
 from feedloom.functions.text import stride_words
+from feedloom.operators.joins import spread_small
 
 _BAD = "(?i)" + "|".join(CLASS_BAD)
 _GOOD = "(?i)" + "|".join(CLASS_GOOD)
@@ -43,7 +44,7 @@ def own_score(tag: Column, marks: Column, words: Column, link_words: Column) ->
 
 def with_dom(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add the `dom` column (see functions.dom)."""
-    return pages.withColumn("dom", html_dom(F.col(html)))
+    return spread_small(pages).withColumn("dom", html_dom(F.col(html)))
 
 
 def html_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -178,9 +179,9 @@ def extract_articles(pages: DataFrame, html: str = "html", url: str | None = "ur
 
 def absolute_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Every href and src of the markup made absolute."""
-    return pages.withColumn(html, absolute_markup(F.col(html), F.col(url)))
+    return spread_small(pages).withColumn(html, absolute_markup(F.col(html), F.col(url)))
 
 
 def sanitize_page(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Whole page with absolute links and without script, iframe and noscript."""
-    return pages.withColumn(html, sanitized_markup(F.col(html), F.col(url)))
+    return spread_small(pages).withColumn(html, sanitized_markup(F.col(html), F.col(url)))

@@ -14,6 +14,7 @@ from feedloom.functions.dom import html_dom
 from feedloom.functions.select import all_matches, field_value, page_value
 from feedloom.functions.text import blank_to_null_sql, let, named_entities_to_text
 from feedloom.functions.times import parse_time
+from feedloom.operators.joins import lookup_join, spread_small
 from feedloom.sources.rules import RULES, Rule, rule_by_path
 
 FEED_TYPE = ("struct<title:string,desc:string,items:array<struct<title:string,link:string,desc:string,"
@@ -208,7 +209,7 @@ def html_feed(dom: str, rule: Rule) -> str:
 
 def extract_by_rule(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
     """Apply one html rule (a site's or a user's) to every document."""
-    return (docs.withColumn("_dom", html_dom(F.col(text))).withColumn("rule", F.lit(rule.name))
+    return (spread_small(docs).withColumn("_dom", html_dom(F.col(text))).withColumn("rule", F.lit(rule.name))
             .withColumn("feed", F.expr(html_feed("_dom", rule))).drop("_dom"))
 
 
@@ -304,7 +305,6 @@ def convert(feeds: DataFrame, items: DataFrame, target: str = "rss-channel") ->
 
 def append_items(items: DataFrame, new: DataFrame) -> DataFrame:
     """Add items after the existing ones; `new` counts its own positions from 0 and may miss columns."""
-    from feedloom.operators.joins import lookup_join
     last = items.groupBy("feed_id").agg(F.max("pos").alias("_last"))
     placed = lookup_join(new, last, "feed_id", ["feed_id", "pos"]).withColumn(
         "pos", (F.coalesce("_last", F.lit(-1)) + 1 + F.col("pos")).cast("int")).drop("_last")

@@ -44,3 +44,14 @@ def keep_listed(big: DataFrame, keys: DataFrame, on: str, max_bytes: int = 64 <<
     listed = cut(keys.select(on).where(F.col(on).isNotNull()).distinct())
     size = listed.agg(F.sum(F.octet_length(on) + 64)).first()[0] or 0
     return big.join(F.broadcast(listed) if size <= max_bytes else listed, on, "left_semi")
+
+
+def spread_small(df: DataFrame, bytes_per_core: int = 16 << 20) -> DataFrame:
+    """Spread an input that is small for the cluster over all cores before heavy per-row work.
+
+    A small file is one task however much work its rows are. Above the limit
+    the scan's own splits already keep every core busy, so nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * bytes_per_core else df

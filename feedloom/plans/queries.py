@@ -433,7 +433,7 @@ FROM picked p JOIN items i USING (feed_id) GROUP BY ALL""")
 def dispatch_rules(spark, sf):
     parsed = feeds.dispatch_rules(derived.feed_docs(spark, sf))
     rules = load_rules(spark).select("rule", "rule_order", "mode")
-    return parsed.join(F.broadcast(rules), "rule").select(
+    return parsed.join(F.broadcast(rules), "rule", "left").select(
         "feed_id", "rule", "rule_order", "mode", "feed.title", "feed.desc",
         F.size("feed.items").cast("bigint").alias("n"))
 
