@@ -86,7 +86,7 @@ def xml_dialect(text: Column) -> Column:
         return (F.when(name == "RDF", "rss-rdf").when(name == "rss", "rss-channel")
                 .when((name == "feed") & root.contains(NS_ATOM03), "rss-atom03")
                 .when((name == "feed") & root.contains(NS_ATOM), "rss-atom"))
-    return let(F.regexp_extract(text, _PROLOG + r"(<[A-Za-z][^>]*>)", 1), of_root)
+    return let(F.regexp_extract(F.regexp_replace(text, r"^[^<]+", ""), _PROLOG + r"(<[A-Za-z][^>]*>)", 1), of_root)
 
 
 def _first(values: str) -> str:
@@ -255,11 +255,11 @@ def dispatch_rules(docs: DataFrame, text: str = "text", url: str = "feed_url", r
     by_path = rule_by_path(F.col(url), rules)
     sites = [r for r in rules if r.path and r.mode == "html"]
     own = next(r for r in rules if r.name == "html")
+    is_json = F.col(text).rlike(r"^[\s\x{feff}]*[\[{]")
     parsed = docs.withColumn("_site", by_path)
-    parsed = _with_feed(parsed, text, F.when(F.col("_site").isNull(), xml_dialect(F.col(text))))
+    parsed = _with_feed(parsed, text, F.when(F.col("_site").isNull() & ~is_json, xml_dialect(F.col(text))))
     parsed = parsed.withColumnsRenamed({"rule": "_xml_rule", "feed": "_xml_feed"})
     has_xml = F.coalesce(F.size("_xml_feed.items") > 0, F.lit(False))
-    is_json = F.col(text).rlike(r"^[\s\x{feff}]*[\[{]")
     parsed = parsed.withColumn("_dom", html_dom(F.when(F.col("_site").isNotNull() | ~(has_xml | is_json), F.col(text))))
     by_site = " ".join(f"WHEN _site = '{r.name}' THEN {html_feed('_dom', r)}" for r in sites)
     site = F.col("_site")
