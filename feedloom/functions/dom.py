@@ -8,6 +8,7 @@ offsets, which makes every substring constant-time to find.
 
 from __future__ import annotations
 
+import re
 from html import escape
 from html.parser import HTMLParser
 
@@ -68,6 +69,10 @@ END_RANK = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody":
 MAX_DEPTH = 256     # deeper elements become siblings at this depth
 
 
+# A reference without its semicolon is plain text; scripts and styles hold no references.
+_OPEN_REFERENCE = re.compile(r"(<(script|style)\b.*?(?:</\2|$))|&(?=[a-z][a-z0-9]*(?![a-z0-9;]))", re.I | re.S)
+
+
 def start_tag(tag, attrs):
     return "<" + tag + "".join(f' {k}="{escape(v, True)}"' for k, v in attrs.items()) + ">"
 
@@ -201,7 +206,10 @@ class _Tree(HTMLParser):
 
     # result ------------------------------------------------------------------------------
     def finish(self, html):
-        self.feed(html.replace("\x00", ""))
+        html = html.replace("\x00", "")
+        if not self.strict and "&" in html:
+            html = _OPEN_REFERENCE.sub(lambda m: m.group(1) or "&amp;", html)
+        self.feed(html)
         self.close()
         if not self.nodes and not self.strict:
             self._open("html", {})

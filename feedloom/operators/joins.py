@@ -38,10 +38,10 @@ def seconds_between(start: Column, end: Column) -> Column:
 def keep_listed(big: DataFrame, keys: DataFrame, on: str, max_bytes: int = 64 << 20) -> DataFrame:
     """Rows of `big` whose key is listed (a semi join).
 
-    The list is deduplicated and written once; it is broadcast only if its
-    measured size is at most `max_bytes`, so `big` is then not shuffled.
+    The list is broadcast only if its measured size is at most `max_bytes`, so
+    `big` is then not shuffled. The list is read twice: cut it if it is costly.
     """
-    listed = cut(keys.select(on).where(F.col(on).isNotNull()).distinct())
+    listed = keys.select(on).where(F.col(on).isNotNull()).distinct()
     size = listed.agg(F.sum(F.octet_length(on) + 64)).first()[0] or 0
     return big.join(F.broadcast(listed) if size <= max_bytes else listed, on, "left_semi")
 

@@ -68,18 +68,20 @@ def redirect_edges(responses: DataFrame, follow: str | None = None) -> DataFrame
     return responses.select("url", next_url(follow).alias("target")).where(F.col("target").isNotNull())
 
 
-def resolve_redirects(edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def resolve_redirects(edges: DataFrame, max_hops: int = MAX_HOPS, wanted: DataFrame | None = None) -> DataFrame:
     """Follow (url, target) edges to the end: url, final_url, hops.
 
-    Each step joins only the URLs still moving and is written to the shared
-    checkpoint folder; it stops when none moves. More than `max_hops`, or a
+    Starts at every URL with an edge, or at those of `wanted` (url, distinct)
+    that have one. Each step joins only the URLs still moving and is written to
+    the shared checkpoint folder; it stops when none moves. More than `max_hops`, or a
     cycle, gives a null final_url. A target without an edge is final, whether
-    or not it was captured.
+    or not it was captured. `edges` is read once per step: cut it if it is costly.
     """
-    edges = cut(edges.select("url", "target"))
-    step = edges.select(F.col("target").alias("current"), F.col("url").alias("start"))
+    edges = edges.select("url", "target")
+    start = edges if wanted is None else edges.join(wanted.select("url"), "url", "left_semi")
+    moving = start.select(F.col("target").alias("current"), F.col("url").alias("start"))
     nexts = edges.withColumnRenamed("url", "current")
-    done, moving = None, step
+    done = None
     for hop in range(1, max_hops + 1):
         joined = cut(lookup_join(moving, nexts, "current", ["start"]))
         ended = joined.where(F.col("target").isNull()).select(

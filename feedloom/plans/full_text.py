@@ -38,8 +38,8 @@ def look_up(wanted: DataFrame, captures: DataFrame, edges: DataFrame,
     The captures are filtered by the few final addresses before anything else,
     so bodies nobody asked for are neither shuffled nor decoded.
     """
-    moved = resolve_redirects(edges, max_hops).withColumn("_moved", F.lit(True))
     asked = wanted.select("url").where(F.col("url").isNotNull()).distinct()
+    moved = resolve_redirects(edges, max_hops, asked).withColumn("_moved", F.lit(True))
     ends = cut(asked.join(moved, "url", "left").select(
         "url", F.when(F.col("_moved"), F.col("final_url")).otherwise(F.col("url")).alias("final_url"))
         .where(F.col("final_url").isNotNull()))
@@ -63,8 +63,8 @@ def full_text_feed(responses: DataFrame, wanted: DataFrame, now, *, order: str =
     plain = edges.select("url", "target").where(F.col("target").isNotNull())
     followed = edges.select("url", F.col("followed").alias("target")).where(F.col("target").isNotNull())
 
-    asked = cut(wanted.select("feed_id", F.col("feed_url").alias("asked_url"),
-                              sanitize_url(F.col("feed_url")).alias("url")))
+    asked = wanted.select("feed_id", F.col("feed_url").alias("asked_url"),
+                          sanitize_url(F.col("feed_url")).alias("url"))
     ends, found = look_up(asked, captures, followed)
     found = found.where(is_ok(F.col("code"))).select(F.col("final_url").alias("feed_url"), "text")
     docs = asked.join(ends, "url").select("feed_id", "asked_url", F.col("final_url").alias("feed_url"))

