@@ -9,6 +9,7 @@ from feedloom.functions.text import fix_title, unescape_basic
 from feedloom.functions.urls import absolute_url, decode_portal, unwrap_tracking
 from feedloom.operators.joins import cut
 
+EARLY_LIMIT = 1000     # Spark applies larger per-group limits only after the shuffle
 _HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
 _WIKIPEDIA = r"(?s)^http.*://.*\.wikipedia\.org/w/api\.php..*&feedformat=atom$"
 
@@ -127,6 +128,8 @@ def hard_cap(items: DataFrame, order: str = "first", now=None, lim_item: int = L
     """
     if lim_item < 0:
         return rank_all_items(items, order, now)
+    if lim_item > EARLY_LIMIT:
+        return rank_all_items(items, order, now).where(F.col("rank") <= lim_item)
     return rank_items(items, order, now, lim_item)
 
 

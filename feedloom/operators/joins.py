@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SALTS = 64
+SALTS = 256
 
 
 def lookup_join(facts: DataFrame, dim: DataFrame, on: str, row_key: list[str], salts: int = SALTS,

@@ -67,7 +67,8 @@ def full_text_feed(responses: DataFrame, wanted: DataFrame, now, *, order: str =
                           sanitize_url(F.col("feed_url")).alias("url"))
     ends, found = look_up(asked, captures, followed)
     found = found.where(is_ok(F.col("code"))).select(F.col("final_url").alias("feed_url"), "text")
-    docs = asked.join(ends, "url").select("feed_id", "asked_url", F.col("final_url").alias("feed_url"))
+    docs = lookup_join(asked, ends, "url", ["feed_id"], how="inner").select(
+        "feed_id", "asked_url", F.col("final_url").alias("feed_url"))
     docs = cut(lookup_join(docs, found, "feed_url", ["feed_id"], how="inner"))
     if rule is None:
         parsed = dialects.dispatch_rules(docs, url="asked_url")

@@ -116,6 +116,8 @@ def test_tree_rules():
     assert shape("<div><b>x</p>y</div>")[-1] == ("p", 4)
     assert shape("<ul><li>a<ul><li>b</ul><li>c</ul>") == [
         ("html", 0), ("body", 1), ("ul", 2), ("li", 3), ("ul", 4), ("li", 5), ("li", 3)]
+    assert parse_page("<p>a&amp;&amp b&copy c&lt;<a href='?x=1&copy=2'>&eacute;</a><script>x&y</script>")["text"].decode() == \
+        "a&&amp b&copy c<éx&y"
     deep = parse_page("<div>" * 2000 + "x")
     assert max(n["depth"] for n in deep["nodes"]) < 256 and deep["text"] == b"x"
 

@@ -206,13 +206,16 @@ def hot(spark):
 
 
 @pytest.mark.parametrize("order", ["first", "last", "oldest", "newest"])
-def test_rank_of_huge_feeds(hot, order):
+def test_rank_of_huge_feeds(hot, order, monkeypatch):
     now = "2024-01-01 00:00:00"
     want = {(r.feed_id, r.pos): r.rank for r in repair.rank_items(hot, order, now).collect()}
     for parts in (1, 5):
         got = repair.rank_all_items(hot.repartition(11), order, now, parts)
         assert {(r.feed_id, r.pos): r.rank for r in got.collect()} == want
     assert repair.hard_cap(hot, order, now, -1).count() == 900
+    monkeypatch.setattr(repair, "EARLY_LIMIT", 5)
+    assert {(r.feed_id, r.pos) for r in repair.hard_cap(hot, order, now, 120).collect()} == {
+        k for k, v in want.items() if v <= 120}
     assert {(r.feed_id, r.pos) for r in repair.hard_cap(hot, order, now, 3).collect()} == {k for k, v in want.items() if v <= 3}
 
 
