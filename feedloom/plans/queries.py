@@ -705,10 +705,12 @@ entries AS (SELECT page_id, unnest(li) AS li, generate_subscripts(li, 1) AS i FR
 paragraphs AS (SELECT page_id, unnest(p) AS p, generate_subscripts(p, 1) AS i FROM (
   SELECT page_id, string_split(article, '<p>')[2:] AS p FROM parts)),
 elements AS (
-  SELECT page_id, 0 AS ord, 'html' AS tag, -1 AS up, 0 AS depth, '' AS t, '' AS links, 0 AS base FROM parts
+  SELECT page_id, 0 AS ord, 'html' AS tag, -1 AS up, 0 AS depth, '' AS t, nav AS links, 0 AS base FROM parts
   UNION ALL SELECT page_id, 1, 'head', 0, 1, title, '', 0 FROM parts
   UNION ALL SELECT page_id, 2, 'meta', 1, 2, '', '', 0 FROM parts
   UNION ALL SELECT page_id, 3, 'title', 1, 2, title, '', 0 FROM parts
+  UNION ALL SELECT page_id, 4, 'style', 1, 2, '', '', 0 FROM parts
+  UNION ALL SELECT page_id, 5, 'script', 1, 2, '', '', 0 FROM parts
   UNION ALL SELECT page_id, 6, 'body', 0, 1, body, nav, 0 FROM parts
   UNION ALL SELECT page_id, 7, 'nav', 6, 2, nav, nav, 0 FROM parts
   UNION ALL SELECT page_id, 8, 'ul', 7, 3, nav, nav, 0 FROM parts
@@ -726,7 +728,7 @@ counted AS (
     {_WORDS.format(_FRAGMENT.format("array_to_string(regexp_extract_all(links, '<a[^>]*>(.*?)</a>', 1), ' ')"))} AS link_words
   FROM elements),
 owned AS (
-  SELECT *, CASE WHEN tag IN ('head', 'meta') THEN 0.0 WHEN tag <> 'html' THEN (base + least(words // 10, 3))
+  SELECT *, CASE WHEN tag IN ('head', 'meta', 'style', 'script') THEN 0.0 WHEN tag <> 'html' THEN (base + least(words // 10, 3))
     * (1 - CASE WHEN words = 0 THEN 0 ELSE 2 * CAST(link_words AS DOUBLE) / words END) END AS own FROM counted),
 gated AS (
   SELECT o.*, o.tag <> 'html' AND (o.depth < 4 OR (u.own > 0 AND (o.depth < 5 OR g.own > 0))) AS visited
@@ -740,16 +742,16 @@ spread AS (
 
 @query("score_nodes", f"""WITH {_ELEMENTS}
 SELECT page_id, tag, count(*) AS n, CAST(sum(link_words) AS BIGINT) AS link_words, round(sum(own), 6) AS own FROM owned
-WHERE tag NOT IN ('html') GROUP BY ALL""")
+GROUP BY ALL""")
 def score_nodes(spark, sf):
-    rows = article.score_nodes(derived.pages(spark, sf)).where("tag NOT IN ('html', 'style', 'script')")
+    rows = article.score_nodes(derived.pages(spark, sf))
     return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.sum("link_words").alias("link_words"),
                                               F.round(F.sum("own_score"), 6).alias("own"))
 
 
 @query("visit_gate", f"""WITH {_ELEMENTS} SELECT page_id, tag, count(*) AS n FROM gated WHERE visited GROUP BY ALL""")
 def visit_gate(spark, sf):
-    rows = article.visit_gate(derived.pages(spark, sf)).where("tag NOT IN ('style', 'script')")
+    rows = article.visit_gate(derived.pages(spark, sf))
     return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
@@ -761,7 +763,7 @@ def spread_scores(spark, sf):
     return rows.where("score <> 0")
 
 
-@query("best_node", f"""WITH {_ELEMENTS},
+_BEST = f"""{_ELEMENTS},
 chained AS (
   SELECT s.*, row_number() OVER (PARTITION BY s.page_id ORDER BY round(s.score, 9) DESC, s.ord) AS n,
     list_value(s.ord, s.up, u.up, g.up) AS chain
@@ -770,7 +772,10 @@ chained AS (
 picked AS (
   SELECT a.page_id, CASE WHEN round(a.score, 9) >= 5 THEN coalesce(
     list_filter(a.chain, lambda x: x >= 0 AND list_contains(b.chain, x))[1], a.ord) END AS ord
-  FROM chained a JOIN chained b ON b.page_id = a.page_id AND b.n = 2 WHERE a.n = 1)
+  FROM chained a JOIN chained b ON b.page_id = a.page_id AND b.n = 2 WHERE a.n = 1)"""
+
+
+@query("best_node", f"""WITH {_BEST}
 SELECT p.page_id, s.tag AS best_tag, round(s.score, 6) AS best_score
 FROM picked p LEFT JOIN spread s ON s.page_id = p.page_id AND s.ord = p.ord""")
 def best_node(spark, sf):
@@ -784,10 +789,30 @@ def node_override(spark, sf):
     return article.best_node(derived.pages(spark, sf), selector=Select(tag="article")).select("page_id", "best_tag")
 
 
-@query("clean_subtree")
+# Cleaned articles of the test pages: paragraphs without words go, the list of links and the footer go with <body>.
+_MARKUP = _XML.format(_FRAGMENT)
+_CLEANED = f"""{_BEST},
+kept AS (
+  SELECT page_id, string_agg(CASE WHEN p LIKE '<b>%' THEN '<p><b>' || {_MARKUP.format('p')} || '<br></b></p>'
+    ELSE '<p>' || {_MARKUP.format('p')} || '</p>' END, '' ORDER BY i) AS ps, string_agg({_FRAGMENT.format('p')}, '' ORDER BY i) AS t
+  FROM paragraphs WHERE {_WORDS.format(_FRAGMENT.format('p'))} > 0 GROUP BY page_id),
+articles AS (
+  SELECT q.page_id, e.tag, '<article><h1>' || {_MARKUP.format(_between('<h1>', '</h1>', 'q.article'))} || '</h1>' || coalesce(k.ps, '') || '</article>' AS art,
+    {_FRAGMENT.format(_between('<h1>', '</h1>', 'q.article'))} || coalesce(k.t, '') AS t,
+    CASE WHEN {_WORDS.format(_FRAGMENT.format('ad'))} > 0 THEN '<div>' || {_MARKUP.format('ad')} || '</div>' ELSE ad END AS ad_kept,
+    {_FRAGMENT.format('ad')} AS ad_text
+  FROM parts q JOIN picked USING (page_id) LEFT JOIN elements e ON e.page_id = q.page_id AND e.ord = picked.ord
+    LEFT JOIN kept k ON k.page_id = q.page_id),
+cleaned AS (
+  SELECT page_id, CASE tag WHEN 'body' THEN '<body>' || ad_kept || art || '</body>' WHEN 'article' THEN art END AS html,
+    CASE tag WHEN 'body' THEN ad_text || t WHEN 'article' THEN t END AS text FROM articles),
+extracted AS (
+  SELECT page_id, CASE WHEN {_WORDS.format('text')} >= 50 THEN html END AS article FROM cleaned)"""
+
+
+@query("clean_subtree", f"WITH {_CLEANED} SELECT page_id, html, text FROM cleaned")
 def clean_subtree(spark, sf):
-    return article.clean_subtree(derived.pages(spark, sf)).select(
-        "page_id", F.length("cleaned.html").alias("chars"), F.md5("cleaned.html").alias("html_md5"))
+    return article.clean_subtree(derived.pages(spark, sf)).select("page_id", "cleaned.html", "cleaned.text")
 
 
 _ARTICLE_TEXT = f"regexp_extract(html, '<article>(.*)</article>', 1, 's')"
@@ -826,7 +851,7 @@ def sanitize_page(spark, sf):
                      count("<p>").alias("paragraphs"))
 
 
-@query("extract_articles")
+@query("extract_articles", f"WITH {_CLEANED} SELECT x.page_id, p.url, x.article FROM extracted x JOIN pages p USING (page_id)")
 def extract_articles(spark, sf):
     return article.extract_articles(derived.pages(spark, sf))
 
