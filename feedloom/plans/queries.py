@@ -873,13 +873,38 @@ def full_text_feed_proxy(spark, sf):
     return item_columns(full_text_feed(responses, wanted, NOW, order="newest", proxy=True)[1])
 
 
-@query("full_text_feed")
+_FULL = f"""WITH RECURSIVE {SQL_CAPTURES}, {_CURRENT},
+walk AS (
+  SELECT url, target AS final_url, 1 AS hops FROM moving
+  UNION ALL
+  SELECT w.url, m.target, w.hops + 1 FROM walk w JOIN moving m ON m.url = w.final_url WHERE w.hops < 10),
+finals AS (
+  SELECT c.url, coalesce(w.final_url, c.url) AS final_url FROM current c LEFT JOIN (
+    SELECT * FROM walk WHERE final_url NOT IN (SELECT url FROM moving)) w USING (url)), {_CLEANED},
+outcomes AS (
+  SELECT f.url, f.final_url, x.article, CASE WHEN t.code <> 200 THEN 'failed' WHEN {_IS_HTML} THEN 'page' ELSE 'other' END AS status
+  FROM finals f JOIN current t ON t.url = f.final_url LEFT JOIN extracted x ON x.page_id = t.page_id), {SQL_ITEMS},
+ranked AS (
+  SELECT *, {_FIX_TITLE} AS fixed_title, {_UNWRAPPED} AS fixed_link, row_number() OVER (PARTITION BY feed_id ORDER BY pos) AS rank
+  FROM items),
+full_items AS (
+  SELECT r.feed_id, r.pos, r.fixed_title AS title, r.fixed_link AS link,
+    CASE WHEN o.status = 'page' THEN o.final_url ELSE r.fixed_link END AS final_link, r."desc",
+    CASE WHEN o.status = 'page' THEN coalesce(o.article, r.content) ELSE r.content END AS content, r.time,
+    CASE WHEN CAST(r.feed_id AS INTEGER) % 5 >= 2 THEN r.updated END AS updated
+  FROM ranked r LEFT JOIN outcomes o ON o.url = r.fixed_link
+  WHERE r.rank <= 10 AND NOT (r.rank > 5 AND r.fixed_link IS NOT NULL AND coalesce(o.status, 'failed') = 'failed'))"""
+
+
+@query("full_text_feed", f"""{_FULL}
+SELECT feed_id, pos, title, final_link AS link, "desc", content, time, updated FROM full_items""")
 def full_text_feed_query(spark, sf):
     responses, wanted = _world(spark, sf)
     return item_columns(full_text_feed(responses, wanted, NOW, resolve=True)[1])
 
 
-@query("full_text_documents")
+@query("full_text_documents", _RSS_SQL.replace("{part}", "0 AS part,").replace(WITH_ITEMS, _FULL).replace(
+    "FROM items GROUP BY", "FROM full_items GROUP BY"))
 def full_text_documents_query(spark, sf):
     responses, wanted = _world(spark, sf)
     return full_text_documents(responses, wanted, NOW, format="rss")
