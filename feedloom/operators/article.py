@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from feedloom.constants import (CLASS_BAD, CLASS_GOOD, TAGS_BAD, TAGS_DANGEROUS, TAGS_GOOD, TAGS_JUNK)
 from feedloom.functions.dom import html_dom, node_link_text, node_text, outer_markup
-from feedloom.functions.select import first_match
 from feedloom.functions.markup import absolute_markup, clean_markup, sanitized_markup
+from feedloom.functions.select import first_match
 from feedloom.functions.text import stride_words
 from feedloom.operators.joins import spread_small
 
@@ -110,7 +110,7 @@ def visit_gate(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def with_best(scored: DataFrame, threshold: float = 5, override: Column | None = None) -> DataFrame:
-    """Add `best`: the element holding the article, null if nothing scores enough.
+    """Add `best_id` and `best_score` of the element holding the article, null if nothing scores enough.
 
     The common ancestor (at most three levels up) of the two highest scores,
     ties in document order. `override` is an element that wins if not null.
