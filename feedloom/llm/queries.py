@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.llm import mixing, secrets, simhash
+from feedloom.llm import bpe, mixing, secrets, simhash
 from feedloom.llm.common import table
 
 QUERIES = {}
@@ -16,6 +16,23 @@ def query(f):
     return f
 
 
+#: The vocabulary file of the BPE query; None finds it beside the installed tokenizers.
+VOCABULARY = None
+
+
+def vocabulary() -> str:
+    if VOCABULARY:
+        return VOCABULARY
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op4_bpe_pair_index(spark, sf_dir):
+    return bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
+
+
 @query
 def op6_simhash_anchors(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
