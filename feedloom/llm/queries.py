@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, mixing, secrets, simhash
+from feedloom.llm import bpe, mixing, secrets, simhash, toxicity
 from feedloom.llm.common import table
 
 QUERIES = {}
@@ -16,6 +16,14 @@ def query(f):
     return f
 
 
+@query
+def op3_toxic_segments(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return done.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 #: The vocabulary file of the BPE query; None finds it beside the installed tokenizers.
 VOCABULARY = None
 
