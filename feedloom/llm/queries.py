@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, mixing, secrets, simhash, toxicity
+from feedloom.llm import bpe, mixing, pii, secrets, simhash, toxicity
 from feedloom.llm.common import table
 
 QUERIES = {}
@@ -47,6 +47,11 @@ def op6_simhash_anchors(spark, sf_dir):
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op7_pii_sanitise(spark, sf_dir):
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_mix_sources(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
