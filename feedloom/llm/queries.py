@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, mixing, pii, secrets, simhash, toxicity
+from feedloom.llm import bpe, linededup, mixing, pii, secrets, simhash, toxicity
 from feedloom.llm.common import table
 
 QUERIES = {}
@@ -58,6 +58,14 @@ def op8_mix_sources(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query
+def op9_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = linededup.deduplicate(docs, spans="spans")
+    line = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return done.select("doc_id", "text", F.size("spans").cast("long").alias("n_blocks"), line.alias("spans"))
+
+
 @query
 def op10_secret_scan(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
