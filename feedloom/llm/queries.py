@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, linededup, mixing, pii, secrets, simhash, toxicity
+from feedloom.llm import ann, bpe, linededup, mixing, pii, pivots, secrets, simhash, toxicity
 from feedloom.llm.common import table
 
 QUERIES = {}
@@ -16,6 +16,16 @@ def query(f):
     return f
 
 
+@query
+def op1_multiprobe_lsh(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_pivot_topk(spark, sf_dir):
+    return pivots.search(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op3_toxic_segments(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -73,6 +83,17 @@ def op10_secret_scan(spark, sf_dir):
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
+ORACLES["op2_pivot_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS y FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+        list_sum(list_transform(list_zip(q.y, c.y), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 ORACLES["op8_mix_sources"] = f"""
 WITH d AS (SELECT doc_id, source, {WORDS} AS size,
              ('0x' || md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, ''))[1:13])::BIGINT AS h FROM documents),
