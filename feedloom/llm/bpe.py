@@ -174,8 +174,12 @@ def encode_lists(v: Vocabulary, words: pa.ListArray) -> pa.ListArray:
             ids = np.concatenate([ids[:starts[at]], np.array([i], np.int32), ids[starts[at + 1]:]])
             lengths[at] = 1
             starts = np.concatenate([[0], np.cumsum(lengths)])
-    tokens, begins = gather(ids, starts, coded.indices.to_numpy())
-    return pa.ListArray.from_arrays(pa.array(begins[offsets - offsets[0]].astype(np.int32)), pa.array(tokens))
+    which, step = coded.indices.to_numpy(), 1 << 18
+    lengths = np.diff(starts)[which].astype(np.int32)
+    tokens = [gather(ids, starts, which[at:at + step])[0] for at in range(0, len(which), step)]
+    begins = np.concatenate([np.zeros(1, np.int32), np.cumsum(lengths, dtype=np.int32)])
+    return pa.ListArray.from_arrays(pa.array(begins[offsets - offsets[0]]),
+                                    pa.array(np.concatenate([np.zeros(0, np.int32), *tokens])))
 
 
 def words_of(text: Column, special: list[str], pattern: str = PATTERN) -> Column:
@@ -200,7 +204,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 
     @F.arrow_udf("array<int>")
     def run(words: pa.Array) -> pa.Array:
-        return encode_lists(v, words)
+        try:
+            return encode_lists(v, words)
+        finally:
+            pa.default_memory_pool().release_unused()
 
     return docs.withColumn(fresh(docs.columns, out), run(words_of(F.col(text), sorted(v.special))))
 

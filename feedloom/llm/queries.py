@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.llm import ann, bpe, linededup, mixing, pii, pivots, secrets, simhash, toxicity
+from feedloom.llm import ann, bpe, linededup, mixing, pii, pivots, secrets, simhash, toxicity, wrapper
 from feedloom.llm.common import table
 
 QUERIES = {}
@@ -51,6 +51,11 @@ def op4_bpe_pair_index(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+@query
+def op5_wrapper_induction(spark, sf_dir):
+    return wrapper.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op6_simhash_anchors(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
