@@ -33,6 +33,13 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SHIFT = 21
 
 
+def installed(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def byte_letters() -> dict[int, str]:
     """The printable character that stands for each byte in the vocabulary file.
 

@@ -55,20 +55,26 @@ def word_count():
     return run
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the cluster's shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names, which all executors share.
 
-    The folder is the one `spark.checkpoint.dir` names. Only a local session
-    may do without: it gets a temporary folder, as its tasks share the disk.
+    Only a local session may do without: it gets a temporary folder, as its
+    tasks share the disk.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the cluster's shared checkpoint folder and go on from there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -34,21 +34,9 @@ def op3_toxic_segments(spark, sf_dir):
                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-#: The vocabulary file of the BPE query; None finds it beside the installed tokenizers.
-VOCABULARY = None
-
-
-def vocabulary() -> str:
-    if VOCABULARY:
-        return VOCABULARY
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 @query
 def op4_bpe_pair_index(spark, sf_dir):
-    return bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
+    return bpe.digest(table(spark, sf_dir, "documents"), bpe.installed())
 
 
 @query

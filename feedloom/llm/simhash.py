@@ -219,15 +219,26 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 3, blocks:
 def deduplicate(docs: DataFrame, words: int = 5, threshold: int = 7, blocks: int = 4) -> DataFrame:
     """`docs` without the near-duplicates: of each component the row with its smallest doc_id stays, once.
 
-    Rows with the same doc_id are told apart by their order in the component:
-    exactly one row stays. A row with a null doc_id stays only if its
-    component has no other id.
+    Of rows with the same doc_id and different texts the one with the smaller
+    hash of the text counts as smaller, and of rows with the same doc_id and
+    text any one stays. A row with a null doc_id stays only if its component
+    has no other id.
     """
-    row, fp, pick = (fresh(docs.columns, c) for c in ("_row", "_fp", "_pick"))
-    kept = cut(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(fp, fingerprints(words)(docs["text"])))
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row))).alias("first")
-    least = cut(kept.groupBy(F.col(fp).alias("fp")).agg(first))
+    h, has, n, key_id = (fresh(docs.columns, c) for c in ("_h", "_has", "_n", "_id"))
+    text_hash = F.xxhash64(text_of(F.col("text")))
+    prints = cut(docs.select("doc_id", text_hash.alias("h"), fingerprints(words)(docs["text"]).alias("fp")))
+    # What a null id is replaced by only has to meet itself again.
+    whole = prints.select("fp", "h", F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.col("h")).alias("id"))
+    counted = whole.groupBy("fp", "none", "id", "h").agg(F.count("*").alias("n"))
+    least = cut(counted.groupBy("fp").agg(F.min(F.struct("none", "id", "h", "n")).alias("first")))
     roots = components(links(least.select("fp"), threshold, blocks))
     joined = least.join(roots, least["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
-    stay = joined.groupBy("root").agg(F.min("first").alias("first")).select(F.col(f"first.{row}").alias(pick))
-    return kept.join(stay, kept[row] == stay[pick], "left_semi").drop(row, fp)
+    stay = cut(joined.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.id").alias(key_id), F.col("first.h").alias(h), F.col("first.none").alias(has), F.col("first.n").alias(n)))
+    keyed = docs.withColumn(h, text_hash).withColumn(has, F.col("doc_id").isNull()).withColumn(key_id, F.coalesce(F.col("doc_id"), F.col(h)))
+    key = [key_id, h, has]
+    once = keyed.join(stay.where(F.col(n) == 1), key, "left_semi")
+    repeated = stay.where(F.col(n) > 1)
+    if not repeated.isEmpty():
+        once = once.union(keyed.join(repeated, key, "left_semi").dropDuplicates(key))
+    return once.drop(*key)
