@@ -126,7 +126,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES, ma
                 q = np.append(np.asarray(row.vec, float) / np.linalg.norm(row.vec), 0.0)
                 for t in range(tables):
                     keys = probes(q, a[t], b[t], distance, mass)
-                    yield pd.DataFrame({"qid": row.qid, "vec": [row.vec] * len(keys), "t": t, "bucket": keys})
+                    yield pd.DataFrame({"qid": row.qid, "vec": pd.Series([row.vec] * len(keys), dtype=object), "t": t, "bucket": keys})
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         x, q = V.matrix(left["vec"]), V.matrix(right["vec"])

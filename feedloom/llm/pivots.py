@@ -94,7 +94,7 @@ def search(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 np.put_along_axis(home, near, True, axis=1)
                 visit = home if first else ~home & (gap <= f["bound"].to_numpy()[:, None] + SLACK)
                 row, col = np.nonzero(visit)
-                yield pd.DataFrame({"qid": f["qid"].to_numpy()[row], "vec": [f["vec"].iloc[i] for i in row],
+                yield pd.DataFrame({"qid": f["qid"].to_numpy()[row], "vec": pd.Series([f["vec"].iloc[i] for i in row], dtype=object),
                                     "bound": f["bound"].to_numpy()[row], "own": d[row, ring_pivot[col]],
                                     "pivot": ring_pivot[col], "ring": ring_no[col]})
 

@@ -103,7 +103,7 @@ def parse(page: str) -> Node:
         flush()
         while len(stack) > n:
             node = stack.pop()[1]
-            if len(node.children) == 1 and node.children[0].text is not None:  # an element with just text is one leaf
+            if len(node.children) == 1 and node.children[0].label == node.label + "#":  # an element with just text is one leaf
                 only = node.children[0]
                 node.text, node.links, node.children = only.text, only.links, []
 
