@@ -86,6 +86,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.strict = strict
         self.nodes, self.stack, self.links = [], [], []
+        self.frame = {}     # the first <html>, <head> and <body>
         self.text, self.markup = [], []
         self.chars = self.bytes = self.out = 0
 
@@ -106,6 +107,8 @@ class _Tree(HTMLParser):
             parent["kids"].append(node["node_id"])
         self.nodes.append(node)
         self.stack.append(node)
+        if tag in ("html", "head", "body"):
+            self.frame.setdefault(tag, node)
         if tag == "a":
             node["slot"], node["piece"] = len(self.links), len(self.text)
             self.links.append("")
@@ -152,7 +155,7 @@ class _Tree(HTMLParser):
             while len(self.stack) > 1 and tag in CLOSED_BY.get(self.stack[-1]["tag"], ()):
                 self._close()
             if tag in ("html", "head", "body"):
-                same = next((n for n in self.nodes[:64] if n["tag"] == tag), None)
+                same = self.frame.get(tag)
                 if same is not None:
                     same["attrs"] = {**values, **same["attrs"]}
                     return

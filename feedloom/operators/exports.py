@@ -1,9 +1,8 @@
 """Feeds and items to CSV, JSON, RSS and HTML documents.
 
-A document comes as rows (feed_id, part, body); its text is the bodies in
-order of `part`. A feed whose positions stay below `part_items` has one row,
-which is every capped feed. Larger feeds are cut into parts of bounded size,
-so no task ever holds a whole unbounded feed.
+A document comes as one row (feed_id, part 0, body). For feeds too large for
+one row, `part_items` cuts the document into parts of so many items each, in
+order of position; its text is then the bodies in order of `part`.
 """
 
 from __future__ import annotations
@@ -13,13 +12,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from feedloom.constants import ITEM_COLUMNS, NS_CONTENT
 from feedloom.functions.text import attr_escape, xml_escape
 from feedloom.functions.times import utc_format
-
-PART_ITEMS = 100
+from feedloom.operators.items import rank_all_items
 
 
 def _documents(feeds: DataFrame, items: DataFrame, head: Column, item: Column, tail: Column, sep: str,
-               part_items: int) -> DataFrame:
-    part = F.floor(F.col("pos") / part_items).cast("int")
+               part_items: int | None) -> DataFrame:
+    if part_items is None:
+        part = F.lit(0)
+    else:
+        items = rank_all_items(items, "first").withColumnRenamed("rank", "_place")
+        part = F.floor((F.col("_place") - 1) / part_items).cast("int")
     rendered = items.select("feed_id", "pos", part.alias("part"), item.alias("_item"))
     bodies = rendered.groupBy("feed_id", "part").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "_item"))), lambda i: i["_item"]), sep).alias("_body"))
@@ -41,7 +43,7 @@ def _element(tag: str, col: Column, pad: str = "", attrs: str = "") -> Column:
     return F.coalesce(F.concat(F.lit(f"{pad}<{tag}{attrs}>"), xml_escape(col), F.lit(f"</{tag}>")), F.lit(""))
 
 
-def to_feed_rss(feeds: DataFrame, items: DataFrame, indent: bool = False, part_items: int = PART_ITEMS) -> DataFrame:
+def to_feed_rss(feeds: DataFrame, items: DataFrame, indent: bool = False, part_items: int | None = None) -> DataFrame:
     """RSS 2.0, stylesheet instruction first."""
     nl = ["\n" + "  " * n if indent else "" for n in range(5)]
     head = F.concat(
@@ -56,7 +58,7 @@ def to_feed_rss(feeds: DataFrame, items: DataFrame, indent: bool = False, part_i
     return _documents(feeds, items, head, item, F.lit(f"{nl[1]}</channel>{nl[0]}</rss>"), "", part_items)
 
 
-def to_feed_json(feeds: DataFrame, items: DataFrame, indent: bool = False, part_items: int = PART_ITEMS) -> DataFrame:
+def to_feed_json(feeds: DataFrame, items: DataFrame, indent: bool = False, part_items: int | None = None) -> DataFrame:
     """JSON with title, desc and items; null fields are left out."""
     options = {"pretty": "true"} if indent else {}
     nl = "\n" if indent else ""
@@ -69,7 +71,7 @@ def to_feed_json(feeds: DataFrame, items: DataFrame, indent: bool = False, part_
     return _documents(feeds, items, head, item, F.lit(f"{nl}]}}"), "," + nl, part_items)
 
 
-def to_feed_html(feeds: DataFrame, items: DataFrame, indent: bool = False, part_items: int = PART_ITEMS) -> DataFrame:
+def to_feed_html(feeds: DataFrame, items: DataFrame, indent: bool = False, part_items: int | None = None) -> DataFrame:
     """HTML page: #header with title and desc, #content with one div.item per item. desc and content are markup."""
     nl = ["\n" + "  " * n if indent else "" for n in range(4)]
 
@@ -103,7 +105,7 @@ def csv_line() -> Column:
     return F.concat_ws(",", *[field(c) for c in ITEM_COLUMNS])
 
 
-def to_feed_csv(feeds: DataFrame, items: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
+def to_feed_csv(feeds: DataFrame, items: DataFrame, part_items: int | None = None) -> DataFrame:
     """CSV without a header, lines ending in CR LF."""
     return _documents(feeds, items, F.lit(""), F.concat(csv_line(), F.lit("\r\n")), F.lit(""), "", part_items)
 

@@ -9,7 +9,6 @@ from feedloom.functions.text import fix_title, unescape_basic
 from feedloom.functions.urls import absolute_url, decode_portal, unwrap_tracking
 from feedloom.operators.joins import cut
 
-EARLY_LIMIT = 1000     # Spark applies larger per-group limits only after the shuffle
 _HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
 _WIKIPEDIA = r"(?s)^http.*://.*\.wikipedia\.org/w/api\.php..*&feedformat=atom$"
 
@@ -102,23 +101,23 @@ def rank_items(items: DataFrame, order: str = "first", now=None, limit: int | No
 def rank_all_items(items: DataFrame, order: str = "first", now=None, partitions: int | None = None) -> DataFrame:
     """`rank_items` without a limit for feeds of any size.
 
-    Narrow rows are range-partitioned by feed and key, so a huge feed spans
-    many tasks; each row's rank is its place in the task plus the rows of its
-    feed in the tasks before.
+    Rows are range-partitioned by feed and key, so a huge feed spans many
+    tasks; each row's rank is its place in the task plus the rows of its feed
+    in the tasks before. Items without a feed are ranked as one feed.
     """
-    keys = items.select("feed_id", "pos", F.coalesce("updated", "time", F.lit(now).cast("timestamp")).alias("_at"))
-    by = {"first": ["pos"], "last": ["pos"], "oldest": ["_at", "pos"], "newest": ["_at", "pos"]}[order]
+    at = F.coalesce("updated", "time", F.lit(now).cast("timestamp")) if order in ("oldest", "newest") else F.lit(None).cast("timestamp")
     down = order in ("last", "newest")
-    sort = [F.col(c).desc() if down else F.col(c).asc() for c in by]
+    sort = [F.col(c).desc() if down else F.col(c).asc() for c in ("_at", "pos", "_tie")]
     n = partitions or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(keys.repartitionByRange(n, F.col("feed_id"), *sort).withColumn("_part", F.spark_partition_id()))
+    keyed = items.withColumn("_at", at).withColumn("_tie", F.rand(0))
+    placed = cut(keyed.repartitionByRange(n, F.col("feed_id"), *sort).withColumn("_part", F.spark_partition_id()))
     local = placed.withColumn("_n", F.row_number().over(Window.partitionBy("feed_id", "_part").orderBy(*sort)))
-    before = Window.partitionBy("feed_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (placed.groupBy("feed_id", "_part").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy("_feed").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (placed.groupBy(F.col("feed_id").alias("_feed"), F.col("_part").alias("_in")).agg(F.count("*").alias("_rows"))
               .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows"))
-    ranks = local.join(starts, ["feed_id", "_part"]).select(
-        "feed_id", "pos", (F.col("_n") + F.col("_before")).cast("int").alias("rank"))
-    return items.join(ranks, ["feed_id", "pos"])
+    same = local["feed_id"].eqNullSafe(starts["_feed"]) & (local["_part"] == starts["_in"])
+    return local.join(starts, same).withColumn("rank", (F.col("_n") + F.col("_before")).cast("int")).drop(
+        "_at", "_tie", "_part", "_n", "_before", "_feed", "_in")
 
 
 def hard_cap(items: DataFrame, order: str = "first", now=None, lim_item: int = LIM_ITEM) -> DataFrame:
@@ -126,11 +125,7 @@ def hard_cap(items: DataFrame, order: str = "first", now=None, lim_item: int = L
 
     A negative limit keeps everything and ranks it.
     """
-    if lim_item < 0:
-        return rank_all_items(items, order, now)
-    if lim_item > EARLY_LIMIT:
-        return rank_all_items(items, order, now).where(F.col("rank") <= lim_item)
-    return rank_items(items, order, now, lim_item)
+    return rank_all_items(items, order, now) if lim_item < 0 else rank_items(items, order, now, lim_item)
 
 
 def search_title(items: DataFrame, text: str) -> DataFrame:

@@ -87,9 +87,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """20 items per feed from documents; links point at pages, wrapped in eight ways."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     page = pages(spark, sf_dir)
-    d = docs.withColumn("total", F.lit(page.count()))
     did = F.col("doc_id")
-    d = d.withColumn("page_id", did % F.col("total")).join(page.select("page_id", "url"), "page_id")
+    d = docs.withColumn("page_id", did % page.agg(F.count("*")).scalar()).join(page.select("page_id", "url"), "page_id")
     clean = F.regexp_replace("text", r"[\x00-\x1f\x7f]", " ")
     title = F.trim(F.substring(clean, 1, 60))
     quoted = F.replace(F.replace(F.replace(F.replace(F.replace(F.replace("url", F.lit("%"), F.lit("%25")), F.lit(":"),
@@ -103,13 +102,14 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(form == 4, F.concat(F.lit("https://getpocket.com/redirect?url="), quoted))
             .when(form == 5, F.concat(F.lit("https://www.facebook.com/l.php?u="), quoted, F.lit("&h=1")))
             .when(form == 6, F.concat(F.lit("../x/./"), did.cast("string"), F.lit("?a=1#top"))))
-    desc = F.trim(F.substring(clean, 61, 200))
+    rest = F.trim(F.substring(clean, F.lit(61), F.length(clean)))       # the whole text behind the title
+    desc = F.when(did % 3 == 0, F.trim(F.substring(clean, 61, 200))).otherwise(rest)
     return d.select(
         (F.floor(did / 20)).cast("string").alias("feed_id"), (did % 20).cast("int").alias("pos"),
         F.nullif(F.when(did % 5 == 0, F.upper(F.replace(title, F.lit("ß"), F.lit("ss")))).otherwise(title),
                  F.lit("")).alias("title"),
         link.alias("link"), F.nullif(desc, F.lit("")).alias("desc"),
-        F.when(did % 3 == 0, F.nullif(F.trim(F.substring(clean, 61, 400)), F.lit(""))).alias("content"),
+        F.when(did % 3 == 0, F.nullif(rest, F.lit(""))).alias("content"),
         F.when(did % 11 != 0, F.timestamp_seconds(F.lit(1704067200) + did * 37 * 60)).alias("time"),
         F.when(did % 2 == 0, F.timestamp_seconds(F.lit(1704067200) + (did * 7919 % 5000) * 60)).alias("updated"),
         F.lit(None).cast("string").alias("orig_link"),
@@ -244,8 +244,8 @@ items AS (
       WHEN 4 THEN 'https://getpocket.com/redirect?url=' || quoted
       WHEN 5 THEN 'https://www.facebook.com/l.php?u=' || quoted || '&h=1'
       WHEN 6 THEN '../x/./' || doc_id || '?a=1#top' END AS link,
-    nullif(trim(substr(clean, 61, 200), ' '), '') AS "desc",
-    CASE WHEN doc_id % 3 = 0 THEN nullif(trim(substr(clean, 61, 400), ' '), '') END AS content,
+    nullif(trim(CASE WHEN doc_id % 3 = 0 THEN substr(clean, 61, 200) ELSE substr(clean, 61) END, ' '), '') AS "desc",
+    CASE WHEN doc_id % 3 = 0 THEN nullif(trim(substr(clean, 61), ' '), '') END AS content,
     CASE WHEN doc_id % 11 <> 0 THEN 1704067200 + doc_id * 37 * 60 END AS time,
     CASE WHEN doc_id % 2 = 0 THEN 1704067200 + (doc_id * 7919 % 5000) * 60 END AS updated,
     'http://feeds.example.com/f/' || (doc_id // 20) || '/rss.xml' AS feed_url,

@@ -10,7 +10,7 @@ from feedloom.functions import text as txt, urls
 from feedloom.functions.dom import node_text
 from feedloom.functions.select import Select
 from feedloom.functions.times import parse_time, utc_format
-from feedloom.operators.joins import cut
+from feedloom.operators.joins import cut, shared_folder
 from feedloom.operators import article, exports, feeds, fill, items as repair, redirects, responses as resp, store
 from feedloom.plans import derived
 from feedloom.plans.derived import NOW, SQL_CAPTURES, SQL_ITEMS
@@ -356,9 +356,9 @@ def latest_response_as_of(spark, sf):
 
 
 @query("trim_store", f"""{WITH_CAPTURES}
-SELECT url, code, fetched FROM ({_LATEST}) ORDER BY fetched DESC, url LIMIT 1000""")
+SELECT url, code, fetched FROM ({_LATEST}) ORDER BY fetched DESC, url LIMIT 60""")
 def trim_store(spark, sf):
-    return store.trim_store(derived.responses(spark, sf)).select("url", "code", epoch("fetched_at").alias("fetched"))
+    return store.trim_store(derived.responses(spark, sf), 60).select("url", "code", epoch("fetched_at").alias("fetched"))
 
 
 # --- feed parsing -------------------------------------------------------------------------------------------------
@@ -913,8 +913,7 @@ def full_text_documents_query(spark, sf):
 # --- streams ---------------------------------------------------------------------------------------------------------------------------
 def _work_folder(spark):
     """A new folder below the shared checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-    return f"{root}/feedloom-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/feedloom-{uuid.uuid4().hex}"
 
 
 def _spool(df, folder, days):

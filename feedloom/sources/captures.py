@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from feedloom.constants import TAG_SCAN_CHARS
 from feedloom.functions.tags import first_wins, tag_attrs
 
-_HEAD_BYTES = 65536
-
 
 def _split_capture(content: Column) -> tuple[Column, Column]:
-    """Head text (one byte per character) and body of a raw capture."""
-    latin = F.decode(F.substring(content, 1, _HEAD_BYTES), "ISO-8859-1")
-    whole = F.regexp_extract(latin, r"(?s)^.*?\r?\n\r?\n", 0)
-    head = F.when(whole != "", whole).otherwise(latin)
-    body = F.when(whole != "", F.substring(content, F.length(whole) + 1, F.length(content)))
-    return head, body
+    """Head text (one byte per character) and body of a raw capture, parted by its first blank line."""
+    latin = F.decode(content, "ISO-8859-1")
+    ends = [F.nullif(F.instr(latin, mark) + len(mark) - 1, F.lit(len(mark) - 1)) for mark in ("\n\n", "\n\r\n")]
+    end = F.least(*ends)        # the smaller one that is there
+    head = F.coalesce(F.substring(latin, F.lit(1), end), latin)
+    return head, F.when(end.isNotNull(), F.substring(content, end + 1, F.length(content)))
 
 
 def header_map(lines: Column) -> Column:
@@ -28,13 +28,16 @@ def header_map(lines: Column) -> Column:
 
 
 def load_responses(spark: SparkSession, path: str, base_url: str = "http://localhost/") -> DataFrame:
-    """Raw capture files (status line, headers, blank line, body); a file's name gives its URL."""
+    """Raw capture files (status line, headers, blank line, body); a file's place below `path` gives its URL."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     head, body = _split_capture(F.col("content"))
     raw = files.select("path", "modificationTime", head.alias("head"), F.coalesce(body, F.lit(b"")).alias("body"))
     lines = F.filter(F.split("head", r"\r?\n"), lambda h: h != "")
     status = F.get(lines, F.lit(0))
-    url = F.concat(F.lit(base_url), F.element_at(F.split("path", "/"), -1))
+    below = "/" + re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "", path).strip("/") + "/"
+    place = F.instr("path", below)
+    name = F.when(place > 0, F.substring("path", place + len(below), F.length("path"))).otherwise(F.element_at(F.split("path", "/"), -1))
+    url = F.concat(F.lit(base_url), name)
     return raw.select(
         url.alias("url"), url.alias("final_url"),
         F.regexp_extract(status, r"^\S+\s+(\d{3})", 1).try_cast("int").alias("code"),

@@ -146,3 +146,15 @@ def test_sanitize(spark):
     assert article.sanitize_page(df).first().html == \
         '<html><body><p>t<a href="http://h/a/b">z</a>u</p></body></html>'
     assert "script" in article.absolute_links(df).select(F.col("html")).first().html
+
+
+def test_second_body_far_from_the_first():
+    from feedloom.functions.dom import parse_page
+
+    trees = []
+    for n in (3, 70):
+        page = "<html><head>" + "<meta name=m>" * n + "</head><body class=a><p>one</p><body id=b><p>two</p></body></html>"
+        nodes = parse_page(page)["nodes"]
+        assert [x["tag"] for x in nodes].count("body") == 1
+        trees.append([(x["tag"], x["depth"], dict(x["attrs"])) for x in nodes if x["tag"] != "meta"])
+    assert trees[0] == trees[1] and ("body", 1, {"class": "a", "id": "b"}) in trees[0]

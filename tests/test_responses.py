@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.constants import BODY_CAP
 from feedloom.operators import redirects, responses as resp, store
-from feedloom.operators.joins import SALTS, keep_listed, lookup_join
+from feedloom.operators.joins import SALTS, keep_listed, lookup_join, shared_folder
 from feedloom.sources import captures
 
 BASE = "http://localhost:8888/"
@@ -59,6 +59,29 @@ def test_load(loaded):
     assert (rows["head-only.txt"].code, rows["head-only.txt"].body) == (204, b"")
 
 
+def test_load_long_heads_and_folders(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / "x.txt").write_bytes(b"HTTP/1.1 200 OK\r\nx-long: " + b"v" * 70_000 + b"\r\n\r\nbody \xff\n\nmore")
+    (tmp_path / "b" / "x.txt").write_bytes(b"HTTP/1.1 404 Not Found\nx: 1\r\n\r\nlost")
+    rows = {r.url.removeprefix(BASE): r for r in captures.load_responses(spark, str(tmp_path), BASE).collect()}
+    assert sorted(rows) == ["a/x.txt", "b/x.txt"]
+    assert rows["a/x.txt"].body == b"body \xff\n\nmore" and len(rows["a/x.txt"].headers["x-long"]) == 70_000
+    assert (rows["b/x.txt"].code, rows["b/x.txt"].body, rows["b/x.txt"].headers) == (404, b"lost", {"x": "1"})
+
+
+def test_a_cluster_must_name_its_folder():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://cluster:7077"
+
+    with pytest.raises(ValueError):
+        shared_folder(Session())
+
+
 def test_decode(loaded):
     rows = {r.url.removeprefix(BASE): r for r in resp.decode_bodies(loaded).collect()}
     for name in ("utf8-header", "latin-header", "latin-missing", "bad-name"):
