@@ -219,8 +219,9 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_cases(spark):
-    bad, good = "you idiot scum go away", "the quiet river runs by"
-    texts = [f"{bad} {k} x{k}" for k in range(30)] + [f"{good} {k} y{k}" for k in range(30)] + [None, "", "", "SCUM idiot " * 20_000]
+    rng = np.random.default_rng(2)
+    plain_words = [" ".join("".join(rng.choice(list("abdeiklmnorstu"), 6)) for _ in range(12)) for _ in range(60)]
+    texts = [f"{t} Idiot, {t[:6]} scum" if k < 30 else t for k, t in enumerate(plain_words)] + [None, "", "", "SCUM idiot " * 20_000]
     frame = docs(spark, texts).withColumnRenamed("lang", "score")
     labels = spark.createDataFrame([(i, 0, int(i < 30)) for i in range(60)] + [(None, 0, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     model = toxicity.learn(frame, labels)
