@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from feedloom.functions.text import let
+from feedloom.functions.urls import absolute_url
+
 NODE = T.StructType([
     T.StructField("node_id", T.IntegerType()),      # document order, 0 = <html>
     T.StructField("last_desc", T.IntegerType()),    # last element of the subtree
@@ -265,3 +268,49 @@ def outer_markup(dom: Column, node: Column) -> Column:
 def descendants(dom: Column, node: Column) -> Column:
     """Elements strictly inside a node: one slice, because ids are document order."""
     return F.slice(dom.nodes, node.node_id + 2, node.last_desc - node.node_id)
+
+
+def _escaped(value: Column) -> Column:
+    for char, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        value = F.replace(value, F.lit(char), F.lit(ref))
+    return value
+
+
+def _start_markup(node: Column, base: Column) -> Column:
+    """A node's start tag with its href and src made absolute."""
+    def attribute(kv):
+        link = F.when(kv["key"].isin("href", "src") & base.isNotNull(), absolute_url(base, F.trim(kv["value"]))).otherwise(kv["value"])
+        return F.concat(F.lit(" "), kv["key"], F.lit('="'), _escaped(link), F.lit('"'))
+    return F.concat(F.lit("<"), node.tag, F.array_join(F.transform(F.map_entries(node.attrs), attribute), ""), F.lit(">"))
+
+
+def rewritten_markup(dom: Column, base: Column, drop: tuple = ()) -> Column:
+    """The page's markup without the elements of `drop` (text behind them stays) and with absolute links.
+
+    What changes are spans of the tidy markup: start tags with a link, and
+    whole dropped elements that lie in no other. The pieces between them stay.
+    """
+    def dropped(nodes, node):
+        return F.exists(node.path, lambda a: F.get(nodes, a).tag.isin(*drop))
+
+    def span(node):
+        gone = node.tag.isin(*drop) if drop else F.lit(False)
+        return F.struct(node.o0.alias("start"), F.when(gone, node.o1).otherwise(node.m0).alias("end"),
+                        F.when(gone, F.lit("")).otherwise(_start_markup(node, base)).alias("now"))
+
+    def touched(node):
+        linked = node.attrs["href"].isNotNull() | node.attrs["src"].isNotNull()
+        return linked | node.tag.isin(*drop) if drop else linked
+
+    some = F.filter(dom.nodes, touched)
+    if drop:
+        some = F.filter(some, lambda n: ~dropped(dom.nodes, n))
+
+    def pieces(spans):
+        def piece(s, i):
+            before = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
+            return F.concat(F.substring(dom.markup, before + 1, s["start"] - before).cast("string"), s["now"])
+        last = F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0))
+        return F.concat(F.array_join(F.transform(spans, piece), ""),
+                        F.substring(dom.markup, last + 1, F.length(dom.markup)).cast("string"))
+    return let(F.transform(some, span), pieces)

@@ -1,4 +1,4 @@
-"""Small per-page helpers that rewrite markup: article clean-up, link repair, tag removal."""
+"""Small per-page helper that cleans the markup of an article."""
 
 from __future__ import annotations
 
@@ -168,16 +168,6 @@ def clean_article(markup, keep, inner, base):
     return {"html": root.html(), "text": text, "link_text": links}
 
 
-def rewrite_page(html, drop, base):
-    """Whole page with some elements removed (text behind them stays) and absolute links."""
-    root = _Builder(False).finish(html).root
-    for element in list(root.walk()):
-        element.parts = [p for p in element.parts if isinstance(p, str) or p.tag not in drop]
-    if base:
-        absolutize(root, base)
-    return root.html()
-
-
 _CLEANED = T.StructType([T.StructField(c, T.StringType()) for c in ("html", "text", "link_text")])
 _CLEANED_ARROW = pa.struct([("html", pa.string()), ("text", pa.string()), ("link_text", pa.string())])
 
@@ -187,17 +177,5 @@ def _clean_batch(markup: pa.Array, keep: pa.Array, inner: pa.Array, base: pa.Arr
     return pa.array([None if m is None else clean_article(m, k or [], i, b) for m, k, i, b in rows], _CLEANED_ARROW)
 
 
-def _sanitize_batch(html: pa.Array, base: pa.Array) -> pa.Array:
-    return pa.array([None if h is None else rewrite_page(h, ("script", "iframe", "noscript"), b)
-                     for h, b in zip(html.to_pylist(), base.to_pylist())], pa.string())
-
-
-def _absolute_batch(html: pa.Array, base: pa.Array) -> pa.Array:
-    return pa.array([None if h is None else rewrite_page(h, (), b)
-                     for h, b in zip(html.to_pylist(), base.to_pylist())], pa.string())
-
-
-# See `html_dom` for why these are marked non-deterministic.
+# See `html_dom` for why it is marked non-deterministic.
 clean_markup = F.arrow_udf(_clean_batch, returnType=_CLEANED).asNondeterministic()
-sanitized_markup = F.arrow_udf(_sanitize_batch, returnType=T.StringType()).asNondeterministic()
-absolute_markup = F.arrow_udf(_absolute_batch, returnType=T.StringType()).asNondeterministic()

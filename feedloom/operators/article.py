@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedloom.constants import (CLASS_BAD, CLASS_GOOD, TAGS_BAD, TAGS_DANGEROUS, TAGS_GOOD, TAGS_JUNK)
-from feedloom.functions.dom import html_dom, node_link_text, node_text, outer_markup
-from feedloom.functions.markup import absolute_markup, clean_markup, sanitized_markup
+from feedloom.functions.dom import html_dom, node_link_text, node_text, outer_markup, rewritten_markup
+from feedloom.functions.markup import clean_markup
 from feedloom.functions.select import first_match
 from feedloom.functions.text import stride_words
 from feedloom.operators.joins import spread_small
@@ -179,9 +179,15 @@ def extract_articles(pages: DataFrame, html: str = "html", url: str | None = "ur
 
 def absolute_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Every href and src of the markup made absolute."""
-    return spread_small(pages).withColumn(html, absolute_markup(F.col(html), F.col(url)))
+    return _rewritten(pages, html, url, ())
 
 
 def sanitize_page(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Whole page with absolute links and without script, iframe and noscript."""
-    return spread_small(pages).withColumn(html, sanitized_markup(F.col(html), F.col(url)))
+    return _rewritten(pages, html, url, ("script", "iframe", "noscript"))
+
+
+def _rewritten(pages, html, url, drop):
+    """Only the parse is Python; what changes is put together from the tree's offsets."""
+    now = F.when(F.col(html).isNotNull(), rewritten_markup(F.col("dom"), F.col(url), drop))
+    return with_dom(pages, html).withColumn(html, now).drop("dom")

@@ -830,25 +830,32 @@ def link_density(spark, sf):
     return counted.withColumn("accepted", article.link_density(F.col("words"), F.col("link_words")))
 
 
-@query("absolute_links", r"""
+_ROOT = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+
+
+@query("absolute_links", rf"""
 SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1),
-  lambda h: regexp_extract(url, '^(https?://[^/?#]+)', 1) || h), ' ') AS hrefs FROM pages""")
+  lambda h: {_ROOT} || h), ' ') AS hrefs, {_ROOT} || '/pics/a.png' AS src, true AS rest
+FROM pages""")
 def absolute_links(spark, sf):
-    df = article.absolute_links(derived.pages(spark, sf))
+    with_image = F.replace("html", F.lit("</h1>"), F.lit('</h1><img alt="x" src=" /pics/a.png">'))
+    df = article.absolute_links(derived.pages(spark, sf).withColumn("html", with_image))
     hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    return df.select("page_id", F.array_join(hrefs, " ").alias("hrefs"))
+    return df.select("page_id", F.array_join(hrefs, " ").alias("hrefs"),
+                     F.regexp_extract("html", '<img alt="x" src="([^"]*)">', 1).alias("src"), F.contains("html", F.lit("</html>")).alias("rest"))
 
 
-@query("sanitize_page", r"""
-SELECT page_id, CAST(0 AS BIGINT) AS scripts, CAST(len(regexp_extract_all(html, '<li><a href="/')) AS BIGINT) AS links,
-  len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages""")
-def sanitize_page(spark, sf):
-    df = article.sanitize_page(derived.pages(spark, sf))
+_FRAGMENT = """'<html><head></head><body><p>' || page_id || '</p>{} behind<a href="' || {} || '">x</a>{}</body></html>'"""
+
 
-    def count(pattern):
-        return F.regexp_count("html", F.lit(pattern)).cast("bigint")
-    return df.select("page_id", count("<script").alias("scripts"), count('<li><a href="https?://').alias("links"),
-                     count("<p>").alias("paragraphs"))
+@query("sanitize_page", f"""
+SELECT page_id, {_FRAGMENT.format("", _ROOT + " || '/r/' || page_id", " end")} AS html FROM pages""")
+def sanitize_page(spark, sf):
+    given = F.concat(F.lit("<html><head></head><body><p>"), F.col("page_id").cast("string"),
+                     F.lit('</p><script src="s.js">var a = "<p>no</p>";</script> behind<a href="/r/'), F.col("page_id").cast("string"),
+                     F.lit('">x</a><noscript><a href="/n">n</a></noscript><iframe src="/i"></iframe> end</body></html>'))
+    df = article.sanitize_page(derived.pages(spark, sf).withColumn("html", given))
+    return df.select("page_id", "html")
 
 
 @query("extract_articles", f"WITH {_CLEANED} SELECT x.page_id, p.url, x.article FROM extracted x JOIN pages p USING (page_id)")
