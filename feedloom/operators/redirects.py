@@ -73,26 +73,33 @@ def resolve_redirects(edges: DataFrame, max_hops: int = MAX_HOPS, wanted: DataFr
 
     Starts at every URL with an edge, or at those of `wanted` (url, distinct)
     that have one. Each step joins only the URLs still moving and is written to
-    the shared checkpoint folder; it stops when none moves. More than `max_hops`, or a
+    the shared checkpoint folder; it stops when none moves. A URL that comes back
+    to one of its chain moves no further. More than `max_hops`, or a
     cycle, gives a null final_url. A target without an edge is final, whether
     or not it was captured. `edges` is read once per step: cut it if it is costly.
     """
     edges = edges.select("url", "target")
     start = edges if wanted is None else edges.join(wanted.select("url"), "url", "left_semi")
-    moving = start.select(F.col("target").alias("current"), F.col("url").alias("start"))
+    moving = start.select(F.col("target").alias("current"), F.col("url").alias("start"), F.array("url", "target").alias("_seen"))
     nexts = edges.withColumnRenamed("url", "current")
-    done = None
+    done, lost = None, []
     for hop in range(1, max_hops + 1):
         joined = cut(lookup_join(moving, nexts, "current", ["start"]))
         ended = joined.where(F.col("target").isNull()).select(
             F.col("start").alias("url"), F.col("current").alias("final_url"), F.lit(hop).alias("hops"))
         done = ended if done is None else done.unionByName(ended)
-        moving = joined.where(F.col("target").isNotNull()).select(F.col("target").alias("current"), "start")
+        back = F.array_contains("_seen", F.col("target"))
+        lost.append(joined.where(back))
+        moving = joined.where(F.col("target").isNotNull() & ~back).select(
+            F.col("target").alias("current"), "start", F.array_append("_seen", F.col("target")).alias("_seen"))
         if moving.isEmpty():
-            return done
-    lost = moving.select(F.col("start").alias("url"), F.lit(None).cast("string").alias("final_url"),
-                         F.lit(None).cast("int").alias("hops"))
-    return done.unionByName(lost)
+            break
+    else:
+        lost.append(moving)
+    for some in lost:
+        done = done.unionByName(some.select(F.col("start").alias("url"), F.lit(None).cast("string").alias("final_url"),
+                                            F.lit(None).cast("int").alias("hops")))
+    return done
 
 
 def final_responses(responses: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ from feedloom.constants import LIM_ITEM, MAX_HOPS, MAX_ITEM
 from feedloom.functions.urls import sanitize_url
 from feedloom.operators import exports, feeds as dialects, fill, items as repair
 from feedloom.operators.joins import cut, keep_listed, lookup_join
-from feedloom.operators.redirects import next_url, resolve_redirects
+from feedloom.operators.redirects import next_url
 from feedloom.operators.responses import apply_http_equiv, decode_bodies, is_ok
-from feedloom.operators.store import latest_response, newest, tie_break
+from feedloom.operators.store import latest_response
 from feedloom.sources.rules import Rule
 
 
@@ -19,32 +19,34 @@ def readable(captures: DataFrame) -> DataFrame:
     return apply_http_equiv(decode_bodies(captures))
 
 
-def capture_edges(captures: DataFrame, follow: str | None) -> DataFrame:
-    """url, target, followed: where the newest capture of each URL points, without and with announced feeds.
-
-    One pass over the captures; only narrow rows are shuffled to find the newest.
-    """
-    ties = {f"_tie{i}": t for i, t in enumerate(tie_break())}
-    pages = readable(captures.withColumns(ties))
-    narrow = pages.select("url", "fetched_at", *ties, next_url().alias("target"), next_url(follow).alias("followed"))
-    edges = newest(narrow, *[F.col(t) for t in ties]).select("url", "target", "followed")
-    return cut(edges.where(F.col("target").isNotNull() | F.col("followed").isNotNull()))
-
-
-def look_up(wanted: DataFrame, captures: DataFrame, edges: DataFrame,
+def look_up(wanted: DataFrame, captures: DataFrame, follow: str | None = None,
             max_hops: int = MAX_HOPS) -> tuple[DataFrame, DataFrame]:
     """Follow wanted URLs: (url, final_url) of each, and the responses at the ends.
 
-    The captures are filtered by the few final addresses before anything else,
-    so bodies nobody asked for are neither shuffled nor decoded.
+    Only captures of the addresses reached so far are decoded, hop by hop: each
+    hop filters the captures by its few addresses before anything else, and
+    the pages that end a chain are kept as they are. An address that leads
+    back to one of its chain, or on after `max_hops`, has no end.
     """
     asked = wanted.select("url").where(F.col("url").isNotNull()).distinct()
-    moved = resolve_redirects(edges, max_hops, asked).withColumn("_moved", F.lit(True))
-    ends = cut(asked.join(moved, "url", "left").select(
-        "url", F.when(F.col("_moved"), F.col("final_url")).otherwise(F.col("url")).alias("final_url"))
-        .where(F.col("final_url").isNotNull()))
-    found = keep_listed(captures, ends.select(F.col("final_url").alias("url")), "url")
-    return ends, readable(latest_response(found)).withColumn("final_url", F.col("url"))
+    moving = cut(asked.select("url", F.col("url").alias("current"), F.array("url").alias("_seen")))
+    ends = finals = None
+    for _ in range(max_hops + 1):
+        frontier = moving.select(F.col("current").alias("url"))
+        if finals is not None:      # what ended a chain before needs no second look
+            frontier = frontier.join(finals.select("url"), "url", "left_anti")
+        found = latest_response(keep_listed(captures, frontier, "url"))
+        pages = cut(readable(found).withColumn("_target", next_url(follow)))
+        nexts = pages.where(F.col("_target").isNotNull()).select(F.col("url").alias("current"), F.col("_target").alias("target"))
+        joined = cut(lookup_join(moving, nexts, "current", ["url"]))
+        ended = joined.where(F.col("target").isNull()).select("url", F.col("current").alias("final_url"))
+        last = pages.where(F.col("_target").isNull()).drop("_target")
+        ends, finals = (ended, last) if ends is None else (ends.unionByName(ended), finals.unionByName(last))
+        moving = joined.where(F.col("target").isNotNull() & ~F.array_contains("_seen", F.col("target"))).select(
+            "url", F.col("target").alias("current"), F.array_append("_seen", F.col("target")).alias("_seen"))
+        if moving.isEmpty():
+            break
+    return ends, finals.withColumn("final_url", F.col("url"))
 
 
 def full_text_feed(responses: DataFrame, wanted: DataFrame, now, *, order: str = "first", search: str | None = None,
@@ -59,13 +61,10 @@ def full_text_feed(responses: DataFrame, wanted: DataFrame, now, *, order: str =
     """
     # The response in force is the newest full capture: a 304 only confirms it.
     captures = responses.where(F.col("code") != 304)
-    edges = capture_edges(captures, None if rule else "rss")
-    plain = edges.select("url", "target").where(F.col("target").isNotNull())
-    followed = edges.select("url", F.col("followed").alias("target")).where(F.col("target").isNotNull())
 
     asked = wanted.select("feed_id", F.col("feed_url").alias("asked_url"),
                           sanitize_url(F.col("feed_url")).alias("url"))
-    ends, found = look_up(asked, captures, followed)
+    ends, found = look_up(asked, captures, None if rule else "rss")
     found = found.where(is_ok(F.col("code"))).select(F.col("final_url").alias("feed_url"), "text")
     docs = lookup_join(asked, ends, "url", ["feed_id"], how="inner").select(
         "feed_id", "asked_url", F.col("final_url").alias("feed_url"))
@@ -87,7 +86,7 @@ def full_text_feed(responses: DataFrame, wanted: DataFrame, now, *, order: str =
         items = fill.fill_items(items, None, proxy=True)
     else:
         links = fill.with_link_key(items).select(F.col("link_key").alias("url"))
-        ends, found = look_up(links, captures, plain)
+        ends, found = look_up(links, captures)
         outcomes = fill.page_outcomes(found, selector)
         outcomes = lookup_join(ends, outcomes.drop("url"), "final_url", ["url"], how="inner")
         items = fill.drop_unfetched(fill.fill_items(items, outcomes))
