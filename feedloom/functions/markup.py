@@ -26,10 +26,10 @@ def words(text):
 class Element:
     """Editable element: `parts` mixes child elements and pieces of text."""
 
-    __slots__ = ("tag", "attrs", "parts", "up", "keep")
+    __slots__ = ("tag", "attrs", "parts", "keep")
 
-    def __init__(self, tag, attrs=None, up=None):
-        self.tag, self.attrs, self.parts, self.up, self.keep = tag, attrs or {}, [], up, False
+    def __init__(self, tag, attrs=None):
+        self.tag, self.attrs, self.parts, self.keep = tag, attrs or {}, [], False
 
     def children(self):
         return [p for p in self.parts if not isinstance(p, str)]
@@ -59,16 +59,6 @@ class Element:
                         for p in self.parts)
         return start_tag(self.tag, self.attrs) + inner + ("" if self.tag in VOID else f"</{self.tag}>")
 
-    def place(self):
-        return next(i for i, p in enumerate(self.up.parts) if p is self)
-
-    def replace_by(self, parts):
-        at = self.place()
-        self.up.parts[at:at + 1] = parts
-        for part in parts:
-            if not isinstance(part, str):
-                part.up = self.up
-
 
 class _Builder(_Tree):
     """Tidy markup to `Element`s, with the keep flag of each node."""
@@ -79,7 +69,7 @@ class _Builder(_Tree):
 
     def _open(self, tag, attrs):
         node = super()._open(tag, attrs)
-        element = Element(tag, attrs, self.open[-1] if self.open else None)
+        element = Element(tag, attrs)
         element.keep = node["node_id"] < len(self.flags) and bool(self.flags[node["node_id"]])
         if self.open:
             self.open[-1].parts.append(element)
@@ -99,46 +89,53 @@ class _Builder(_Tree):
             self.open[-1].parts.append(data)
 
 
-def _clean_children(element):
-    for child in element.children():
-        _clean_children(child)
-        _clean(child)
+def _clean_children(element, inner=True):
+    """Clean what is inside an element, in one pass over its parts.
+
+    A <br> followed by text ends the element; the pieces behind are returned
+    as new siblings of it. An element with nothing around it (`inner` false) is not split.
+    """
+    pieces, old = [[]], element.parts
+    for i, part in enumerate(old):
+        if isinstance(part, str):
+            pieces[-1].append(part)
+            continue
+        behind = _clean_children(part)
+        left = _clean(part)
+        if part.tag == "br" and left == [part] and not part.keep and inner and words(element.run(i + 1)):
+            pieces.append([])
+        else:
+            pieces[-1] += left
+        pieces[-1] += behind
+    element.parts = pieces[0]
+    rest = []
+    for piece in pieces[1:]:
+        rest.append(Element(element.tag))
+        rest[-1].parts = piece
+    return rest
 
 
 def _clean(node):
+    """What takes the place of an element whose inside is clean: itself, its parts, or nothing."""
     if node.tag in _DANGEROUS:
-        return node.replace_by([])
+        return []
     if node.keep:
-        return None
+        return [node]
     if node.tag in _JUNK or len(_BAD.findall(node.attrs.get("class", "") + node.attrs.get("id", ""))) >= 2:
-        return node.replace_by([])
+        return []
     inside = list(node.walk())[1:]
     total = words(node.text())
     if len(inside) > 2 and (node.tag == "a" or total and words(node.link_text()) / total > 0.8):
-        return node.replace_by([])
+        return []
     if node.tag in _MEANING and node.tag not in _KEPT_EMPTY:
         if not total and not any(e.tag == "img" for e in inside):
-            return node.replace_by([])
+            return []
     elif node.tag not in _KEPT_EMPTY and not words(node.direct_text()):
-        return node.replace_by(node.parts)
+        return node.parts
     if node.tag == "img" and "data-src" in node.attrs:
         node.attrs["src"] = node.attrs["data-src"]
     node.attrs = {k: v for k, v in node.attrs.items() if k in _FINE}
-    if node.tag == "br":
-        _split_parent(node)
-    return None
-
-
-def _split_parent(br):
-    """A <br> followed by text ends its parent; the rest becomes the parent's next sibling."""
-    parent, at = br.up, br.place()
-    if parent.up is None or not words(parent.run(at + 1)):
-        return
-    rest = Element(parent.tag, up=parent.up)
-    rest.parts, parent.parts[at:] = parent.parts[at + 1:], []
-    for child in rest.children():
-        child.up = rest
-    parent.up.parts.insert(parent.place() + 1, rest)
+    return [node]
 
 
 def absolutize(root, base):
@@ -158,10 +155,7 @@ def clean_article(markup, keep, inner, base):
     node has a parent on its page.
     """
     root = _Builder(True, keep).finish(markup).root
-    if inner:
-        root.up = Element("outside")
-        root.up.parts.append(root)
-    _clean_children(root)
+    _clean_children(root, inner)
     text, links = root.text(), root.link_text()
     if base:
         absolutize(root, base)

@@ -90,12 +90,13 @@ def rank_items(items: DataFrame, order: str = "first", now=None, limit: int | No
     """Add `rank`, the 1-based processing position of each item in its feed.
 
     With `limit` only ranks up to it are kept, which Spark applies before the
-    shuffle, so a feed of any size stays cheap. Without a limit see
-    `rank_all_items` for feeds too large for one task.
+    shuffle, so a feed of any size stays cheap. Without one `rank_all_items`
+    spreads a large feed over many tasks.
     """
+    if limit is None:
+        return rank_all_items(items, order, now)
     per_feed = Window.partitionBy("feed_id").orderBy(*_sort_keys(order, now))
-    ranked = items.withColumn("rank", F.row_number().over(per_feed))
-    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    return items.withColumn("rank", F.row_number().over(per_feed)).where(F.col("rank") <= limit)
 
 
 def rank_all_items(items: DataFrame, order: str = "first", now=None, partitions: int | None = None) -> DataFrame:

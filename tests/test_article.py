@@ -158,3 +158,17 @@ def test_second_body_far_from_the_first():
         assert [x["tag"] for x in nodes].count("body") == 1
         trees.append([(x["tag"], x["depth"], dict(x["attrs"])) for x in nodes if x["tag"] != "meta"])
     assert trees[0] == trees[1] and ("body", 1, {"class": "a", "id": "b"}) in trees[0]
+
+
+def test_many_breaks_take_linear_time():
+    import time
+
+    from feedloom.functions.markup import clean_article
+
+    def seconds(n):
+        start = time.process_time()
+        cleaned = clean_article("<div><p>" + "words to read here<br>" * n + "</p><p>tail of the text</p></div>", [], True, None)
+        assert cleaned["html"].count("<p>") == n + 1
+        return time.process_time() - start
+
+    assert seconds(8000) < 8 * max(seconds(2000), 0.05)
