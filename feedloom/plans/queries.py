@@ -784,9 +784,13 @@ def best_node(spark, sf):
 
 
 @query("node_override", r"""
-SELECT page_id, 'article' AS best_tag FROM pages""")
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'section' WHEN page_id % 3 = 1 THEN 'div' END AS best_tag FROM pages""")
 def node_override(spark, sf):
-    return article.best_node(derived.pages(spark, sf), selector=Select(tag="article")).select("page_id", "best_tag")
+    # Wanted is the first <section>; else the parent of the long paragraph, if there is one.
+    long = F.lit("words to read and to count " * 8)
+    given = F.concat(F.lit("<html><body><div><p>"), F.when(F.col("page_id") % 3 == 2, F.lit("short")).otherwise(long), F.lit("</p></div>"),
+                     F.when(F.col("page_id") % 3 == 0, F.lit("<section>x</section>")).otherwise(""), F.lit("</body></html>"))
+    return article.best_node(derived.pages(spark, sf).withColumn("html", given), selector=Select(tag="section")).select("page_id", "best_tag")
 
 
 # Cleaned articles of the test pages: paragraphs without words go, the list of links and the footer go with <body>.
@@ -923,6 +927,15 @@ def _work_folder(spark):
     return f"{shared_folder(spark)}/feedloom-{uuid.uuid4().hex}"
 
 
+def _kept(df, folder):
+    """`df` cut off from the folder it is read from, which goes."""
+    kept = cut(df)
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return kept
+
+
 def _spool(df, folder, days):
     """Write captures in a few files by day, as they would arrive."""
     day = F.to_date("fetched_at")
@@ -936,12 +949,14 @@ SELECT DISTINCT feed_url AS feed_id, coalesce(link, title, '') AS item_key FROM
 def stream_items(spark, sf):
     folder = _work_folder(spark)
     first = derived.feed_responses(spark, sf)
-    again = first.withColumn("fetched_at", F.timestamp_add("HOUR", F.lit(30), "fetched_at"))
-    stream = streams.read_captures(spark, _spool(first.unionByName(again), folder, 2), files_per_batch=1)
+    # Each feed again after 30 hours and then every three days for two weeks, with two days for late data.
+    again = first.withColumn("hours", F.explode(F.array(*[F.lit(h) for h in (0, 30, 102, 174, 246, 318)])))
+    seen = again.withColumn("fetched_at", F.timestamp_add("HOUR", F.col("hours"), "fetched_at")).drop("hours")
+    stream = streams.read_captures(spark, _spool(seen, folder, 6), files_per_batch=1)
     (streams.stream_items(stream).select("feed_id", "item_key").writeStream.format("parquet").outputMode("append")
      .option("path", f"{folder}/items").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
      .start().awaitTermination())
-    return spark.read.schema("feed_id string, item_key string").parquet(f"{folder}/items")
+    return _kept(spark.read.schema("feed_id string, item_key string").parquet(f"{folder}/items"), folder)
 
 
 @query("stream_latest_response", f"""{WITH_CAPTURES}, full_captures AS (
@@ -954,6 +969,6 @@ def stream_latest_response(spark, sf):
     stream = streams.read_captures(spark, _spool(derived.responses(spark, sf), folder, 3), files_per_batch=1)
     (streams.stream_latest_response(stream, f"{folder}/store").option("checkpointLocation", f"{folder}/state")
      .trigger(availableNow=True).start().awaitTermination())
-    return streams.read_store(spark, f"{folder}/store").select(
+    return _kept(streams.read_store(spark, f"{folder}/store").select(
         "url", "code", epoch("fetched_at").alias("fetched"), epoch("revalidated_at").alias("revalidated"),
-        F.md5("body").alias("body_md5"))
+        F.md5("body").alias("body_md5")), folder)
