@@ -20,7 +20,8 @@ class Select:
     """Elements by tag, class token, id, and optionally the element right above them.
 
     `axis` is relative to an item: descendant, child, self or ancestor. `attr`
-    picks an attribute instead of the text. `without` rejects a class substring.
+    picks an attribute instead of the text. `without` rejects a class substring,
+    `having` asks for an attribute's value.
     """
 
     tag: str | None = None
@@ -30,6 +31,7 @@ class Select:
     under: Select | None = None
     axis: str = "descendant"
     attr: str | None = None
+    having: tuple[str, str] | None = None
 
     def __truediv__(self, child: Select) -> Select:
         return replace(child, under=self)
@@ -37,7 +39,8 @@ class Select:
     def __str__(self):
         own = (self.tag or "*") + (f"[class={self.cls}]" if self.cls else "") + \
             (f"[@id='{self.id}']" if self.id else "") + \
-            (f"[not(contains(@class,'{self.without}'))]" if self.without else "")
+            (f"[not(contains(@class,'{self.without}'))]" if self.without else "") + \
+            (f"[@{self.having[0]}='{self.having[1]}']" if self.having else "")
         head = f"{self.under}/" if self.under else \
             {"descendant": ".//", "child": "./", "self": "self::", "ancestor": "ancestor::"}[self.axis]
         return head + own + (f"/@{self.attr}" if self.attr else "")
@@ -54,6 +57,8 @@ class Select:
             checks.append(f"coalesce({node}.attrs['id'], '') = {quoted(self.id)}")
         if self.without:
             checks.append(f"NOT contains({marks}, {quoted(self.without)})")
+        if self.having:
+            checks.append(f"coalesce({node}.attrs[{quoted(self.having[0])}], '') = {quoted(self.having[1])}")
         if self.attr:
             checks.append(f"{node}.attrs[{quoted(self.attr)}] IS NOT NULL")
         if self.under:

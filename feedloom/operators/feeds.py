@@ -194,6 +194,82 @@ def parse_json_feed(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("rule", F.lit("json")).withColumn("feed", json_feed(text))
 
 
+# --- user rules for XML -------------------------------------------------------------------
+def _steps(path: str) -> list[str]:
+    return [p for p in path.split("/") if p and p != "."]
+
+
+class _Shape:
+    """The part of a document that a rule's paths touch, as a schema: each element an array of what it holds."""
+
+    def __init__(self):
+        self.kids, self.attrs = {}, []
+
+    def add(self, steps):
+        if steps and steps[0].startswith("@"):
+            if steps[0][1:] not in self.attrs:
+                self.attrs.append(steps[0][1:])
+        elif steps:
+            self.kids.setdefault(steps[0], _Shape()).add(steps[1:])
+
+    def at(self, steps):
+        return self.kids[steps[0]].at(steps[1:]) if steps else self
+
+    def plain(self):
+        return not self.kids and not self.attrs
+
+    def fields(self):
+        return [(f"_{a}", "string") for a in self.attrs] + [(k, f"array<{v.type()}>") for k, v in self.kids.items()]
+
+    def type(self):
+        inside = [("_VALUE", "string"), *self.fields()]
+        return "string" if self.plain() else "struct<" + ",".join(f"`{n}`:{t}" for n, t in inside) + ">"
+
+    def value(self, base, steps):
+        """SQL text of the first value below `base` at `steps`."""
+        if not steps:
+            return base if self.plain() else f"{base}._VALUE"
+        if steps[0].startswith("@"):
+            return f"{base}.`_{steps[0][1:]}`"
+        return self.kids[steps[0]].value(f"get({base}.`{steps[0]}`, 0)", steps[1:])
+
+
+def with_xml_feed(docs: DataFrame, rule: Rule, out: str, text: Column) -> DataFrame:
+    """Add what a user's XML rule selects from each document; null if its root is another element.
+
+    Paths name elements as the document does: `/root/list/item` for the items,
+    `/root/name` for the feed, `name`, `a/b`, `name/@attr` or `.` within an item.
+    """
+    root, *down = _steps(rule.exprs["items"])
+    shape = _Shape()
+    shape.add(down)
+    fields = {n: _steps(rule.exprs[f"item_{n}"]) for n in ITEM_COLUMNS if f"item_{n}" in rule.exprs}
+    heads = {n: _steps(rule.exprs[n])[1:] for n in ("title", "desc") if n in rule.exprs}
+    for steps in fields.values():
+        shape.at(down).add(steps)
+    for steps in heads.values():
+        shape.add(steps)
+    items = "array(_tree)"
+    for step in down:
+        items = f"flatten(transform({items}, x -> coalesce(x.`{step}`, array())))"
+
+    def value(of, base, steps):
+        return _NONE if steps is None else blank_to_null_sql(of.value(base, steps))
+
+    item = _struct(**{n: value(shape.at(down), "i", fields.get(n)) for n in ITEM_COLUMNS}, orig_link=_NONE)
+    feed = _struct(**{n: value(shape, "_tree", heads.get(n)) for n in ("title", "desc")}, items=f"transform({items}, i -> {item})")
+    schema = ", ".join(f"`{n}` {t}" for n, t in [*shape.fields(), ("_broken", "string")])
+    ready = docs.withColumn("_clean", repair_xml(text))
+    named = F.regexp_extract("_clean", _PROLOG + r"<([A-Za-z_][^\s>/]*)", 1) == root
+    return (ready.withColumn("_tree", F.from_xml(F.when(named, F.col("_clean")), schema, _XML_OPTIONS))
+            .withColumn(out, F.expr(f"CASE WHEN _tree IS NOT NULL THEN {feed} END")).drop("_clean", "_tree"))
+
+
+def extract_xml_by_rule(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
+    """Apply a user's XML rule to every document."""
+    return with_xml_feed(docs.withColumn("rule", F.lit(rule.name)), rule, "feed", F.col(text))
+
+
 def html_feed(dom: str, rule: Rule) -> str:
     """SQL text of the `feed` struct a rule selects; desc and content keep their markup."""
     exprs = rule.exprs
@@ -208,7 +284,11 @@ def html_feed(dom: str, rule: Rule) -> str:
 
 
 def extract_by_rule(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
-    """Apply one html rule (a site's or a user's) to every document."""
+    """Apply one rule (a site's or a user's) to every document."""
+    if rule.mode == "xml":
+        return extract_xml_by_rule(docs, rule, text)
+    if rule.mode == "json":
+        return extract_json_by_rule(docs, rule, text)
     return (spread_small(docs).withColumn("_dom", html_dom(F.col(text))).withColumn("rule", F.lit(rule.name))
             .withColumn("feed", F.expr(html_feed("_dom", rule))).drop("_dom"))
 
@@ -224,9 +304,9 @@ def _json_path(path: str) -> str:
     return "$" + "".join(f"['{k}']" for k in keys)
 
 
-def extract_json_by_rule(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
-    """Apply a custom JSON rule: dotted paths, `[]` marking the list of items (a single value counts as one)."""
-    root = F.try_parse_json(F.col(text))
+def json_feed_by_rule(text: Column, rule: Rule) -> Column:
+    """`feed` struct of a custom JSON rule: dotted paths, `[]` marking the list of items (a single value counts as one)."""
+    root = F.try_parse_json(text)
     path = _json_path(rule.exprs["items"])
     many = F.try_variant_get(root, path, "array<variant>")
     single = F.try_variant_get(root, path, "variant")
@@ -237,45 +317,82 @@ def extract_json_by_rule(docs: DataFrame, rule: Rule, text: str = "text") -> Dat
         found = F.lit(None).cast("string") if expr is None else F.try_variant_get(variant, _json_path(expr), "string")
         return F.nullif(F.replace(found, F.lit("\n"), F.lit("<br/>")), F.lit(""))
 
-    feed = F.struct(
+    return F.struct(
         value(root, "title").alias("title"), value(root, "desc").alias("desc"),
         F.transform(items, lambda i: F.struct(
             *[value(i, f"item_{n}").alias(n) for n in ITEM_COLUMNS],
             F.lit(None).cast("string").alias("orig_link"))).alias("items"))
-    return docs.withColumn("rule", F.lit(rule.name)).withColumn("feed", feed)
+
+
+def extract_json_by_rule(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
+    """Apply a custom JSON rule to every document."""
+    return docs.withColumn("rule", F.lit(rule.name)).withColumn("feed", json_feed_by_rule(F.col(text), rule))
 
 
 def dispatch_rules(docs: DataFrame, text: str = "text", url: str = "feed_url", rules: list[Rule] = RULES) -> DataFrame:
     """Choose a ruleset per document and apply it: adds `rule` and `feed`.
 
     A rule whose path pattern matches the URL is final. Otherwise XML, HTML
-    and JSON rules are tried in that order and the first with an item wins;
-    `rule` and `feed` are null if none does.
+    and JSON rules without a path are tried in that order, within each mode in
+    the order of `rules`, and the first with an item wins; `rule` and `feed` are
+    null if none does. The built-in XML dialects exclude each other by their
+    root element, so they are one step at the place of the first of them.
     """
-    by_path = rule_by_path(F.col(url), rules)
-    sites = [r for r in rules if r.path and r.mode == "html"]
-    own = next(r for r in rules if r.name == "html")
+    known = [r.name for r in rules if r in RULES and r.mode == "xml"]
     is_json = F.col(text).rlike(r"^[\s\x{feff}]*[\[{]")
-    parsed = docs.withColumn("_site", by_path)
-    parsed = _with_feed(parsed, text, F.when(F.col("_site").isNull() & ~is_json, xml_dialect(F.col(text))))
-    parsed = parsed.withColumnsRenamed({"rule": "_xml_rule", "feed": "_xml_feed"})
-    has_xml = F.coalesce(F.size("_xml_feed.items") > 0, F.lit(False))
-    parsed = parsed.withColumn("_dom", html_dom(F.when(F.col("_site").isNotNull() | ~(has_xml | is_json), F.col(text))))
-    by_site = " ".join(f"WHEN _site = '{r.name}' THEN {html_feed('_dom', r)}" for r in sites)
+    parsed = docs.withColumn("_site", rule_by_path(F.col(url), rules))
     site = F.col("_site")
-    parsed = (parsed.withColumn("_site_feed", F.expr(f"CASE {by_site} END" if sites else f"cast(null AS {FEED_TYPE})"))
-              .withColumn("_html_feed", F.expr(f"CASE WHEN _site IS NULL AND _dom IS NOT NULL THEN {html_feed('_dom', own)} END"))
-              .withColumn("_json_feed", F.when(site.isNull() & is_json, json_feed(text))))
+    dialect = xml_dialect(F.col(text))
+    parsed = _with_feed(parsed, text, F.when(site.isNull() & ~is_json & dialect.isin(known), dialect) if known
+                        else F.lit(None).cast("string"))
+    parsed = parsed.withColumnsRenamed({"rule": "_xml_rule", "feed": "_xml_feed"})
+    temporary = ["_site", "_xml_rule", "_xml_feed", "_dom"]
 
     def filled(feed):
         return F.coalesce(F.size(F.col(feed)["items"]) > 0, F.lit(False))
 
-    chosen = (F.when(site.isNotNull(), site).when(filled("_xml_feed"), F.col("_xml_rule"))
-              .when(filled("_html_feed"), F.lit("html")).when(filled("_json_feed"), F.lit("json")))
-    feed = (F.when(site.isNotNull(), F.col("_site_feed")).when(filled("_xml_feed"), F.col("_xml_feed"))
-            .when(filled("_html_feed"), F.col("_html_feed")).when(filled("_json_feed"), F.col("_json_feed")))
-    return parsed.withColumn("rule", chosen).withColumn("feed", feed).drop(
-        "_site", "_xml_rule", "_xml_feed", "_dom", "_site_feed", "_html_feed", "_json_feed")
+    def column(rule):
+        temporary.append(f"_feed{len(temporary)}")
+        return temporary[-1]
+
+    by_path, steps = [], {"xml": [], "html": [], "json": []}
+    placed = False
+    for rule in rules:
+        if rule.mode == "xml" and rule.name in known and rule in RULES:
+            if not placed:
+                steps["xml"].append((F.col("_xml_rule"), "_xml_feed"))
+            placed = True
+        elif rule.mode == "xml":
+            out = column(rule)
+            asked = site == rule.name if rule.path else site.isNull() & ~is_json
+            parsed = with_xml_feed(parsed, rule, out, F.when(asked, F.col(text)))
+            (by_path if rule.path else steps["xml"]).append((F.lit(rule.name), out))
+    has_xml = F.lit(False)
+    for _, out in steps["xml"]:
+        has_xml = has_xml | filled(out)
+    asked = site.isNotNull() | ~(has_xml | is_json)
+    parsed = parsed.withColumn("_dom", html_dom(F.when(asked, F.col(text))))
+    for rule in rules:
+        if rule.mode == "html":
+            out = column(rule)
+            when = f"_site = '{rule.name}'" if rule.path else "_site IS NULL AND _dom IS NOT NULL"
+            parsed = parsed.withColumn(out, F.expr(f"CASE WHEN {when} THEN {html_feed('_dom', rule)} END"))
+        elif rule.mode == "json":
+            out = column(rule)
+            when = site == rule.name if rule.path else site.isNull() & is_json
+            own = json_feed(text) if rule in RULES else json_feed_by_rule(F.col(text), rule)
+            parsed = parsed.withColumn(out, F.when(when, own))
+        else:
+            continue
+        (by_path if rule.path else steps[rule.mode]).append((F.lit(rule.name), out))
+    tried = [*steps["xml"], *steps["html"], *steps["json"]]
+    none = F.lit(None)
+    chosen, feed = none.cast("string"), none.cast(FEED_TYPE)
+    for name, out in reversed(tried):
+        chosen, feed = F.when(filled(out), name).otherwise(chosen), F.when(filled(out), F.col(out)).otherwise(feed)
+    for _, out in by_path:
+        feed = F.when(site.isNotNull(), F.coalesce(F.col(out), feed)).otherwise(feed)
+    return parsed.withColumn("rule", F.coalesce(site, chosen)).withColumn("feed", feed).drop(*temporary)
 
 
 # --- tables ------------------------------------------------------------------------------------

@@ -71,8 +71,6 @@ def full_text_feed(responses: DataFrame, wanted: DataFrame, now, *, order: str =
     docs = cut(lookup_join(docs, found, "feed_url", ["feed_id"], how="inner"))
     if rule is None:
         parsed = dialects.dispatch_rules(docs, url="asked_url")
-    elif rule.mode == "json":
-        parsed = dialects.extract_json_by_rule(docs, rule)
     else:
         parsed = dialects.extract_by_rule(docs, rule)
     feeds = dialects.feed_rows(parsed)

@@ -16,7 +16,7 @@ from feedloom.plans import derived
 from feedloom.plans.derived import NOW, SQL_CAPTURES, SQL_ITEMS
 from feedloom.plans.full_text import full_text_documents, full_text_feed
 from feedloom.sources import captures as sources
-from feedloom.sources.rules import custom_rule, load_rules
+from feedloom.sources.rules import custom_rule, load_rules, rule_by_path
 from feedloom.streaming import captures as streams
 
 QUERIES, ORACLES = {}, {}
@@ -425,6 +425,35 @@ def extract_json_by_rule(spark, sf):
     return rows.select("feed_id", "pos", "title", "link", "desc", epoch("time").alias("time"))
 
 
+@query("extract_xml_by_rule", f"""{WITH_ITEMS}
+SELECT feed_id, pos, nullif(trim(title, ' '), '') AS title, link, time FROM items""")
+def extract_xml_by_rule(spark, sf):
+    def tag(name, value):
+        return F.coalesce(F.concat(F.lit(f"<{name}>"), txt.xml_escape(value), F.lit(f"</{name}>")), F.lit(""))
+
+    at = F.coalesce(F.concat(F.lit(' at="'), utc_format(F.col("time"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit('"')), F.lit(""))
+    entry = F.concat(F.lit("<note"), at, F.lit("><about>"), tag("name", F.col("title")), F.lit("</about>"), tag("where", F.col("link")),
+                     F.lit("</note>"))
+    docs = derived.items(spark, sf).groupBy("feed_id").agg(F.concat(
+        F.lit("<board><list>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", entry.alias("e")))), lambda x: x["e"]), ""),
+        F.lit("</list></board>")).alias("text"))
+    rule = custom_rule("/board/list/note", "xml", item_title="about/name", item_link="where", item_time="@at")
+    rows = feeds.item_rows(feeds.extract_by_rule(docs, rule))
+    return rows.select("feed_id", "pos", "title", "link", epoch("time").alias("time"))
+
+
+@query("load_rules", """
+SELECT * FROM (VALUES ('rss-rdf', 0, 'xml', 0), ('rss-channel', 1, 'xml', 0), ('rss-atom', 2, 'xml', 0), ('rss-atom03', 3, 'xml', 0),
+  ('json', 4, 'json', 0), ('html', 5, 'html', 0), ('twitter', 6, 'html', 4), ('google', 7, 'html', 2), ('ddg.gg', 8, 'html', 2))
+  t(rule, rule_order, mode, paths) JOIN (SELECT count(*) AS pages, count(*) FILTER (WHERE url LIKE 'http%') AS plain FROM pages) ON true""")
+def rules_by_pages(spark, sf):
+    """The rulesets, and how many pages there are to which no path of theirs applies."""
+    pages = derived.pages(spark, sf).agg(F.count("*").alias("pages"), F.count_if(
+        F.col("url").startswith("http") & rule_by_path(F.col("url")).isNull()).alias("plain"))
+    rules = load_rules(spark).select("rule", "rule_order", "mode", F.coalesce(F.size("path"), F.lit(0)).alias("paths"))
+    return rules.join(F.broadcast(pages))
+
+
 @query("dispatch_rules", f"""{WITH_ITEMS},
 picked AS (SELECT f.*, CAST(f.feed_id AS INTEGER) % 5 AS k FROM feeds f)
 SELECT p.feed_id, CASE k WHEN 0 THEN 'rss-channel' WHEN 1 THEN 'rss-rdf' WHEN 2 THEN 'rss-atom' WHEN 3 THEN 'rss-atom03'

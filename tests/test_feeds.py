@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.select import Select
 from feedloom.operators import exports, feeds, fill, items as repair
 from feedloom.plans.full_text import full_text_documents, full_text_feed
-from feedloom.sources.rules import custom_rule, load_rules
+from feedloom.sources.rules import RULES, custom_rule, load_rules
 
 TITLE, DESC = "Harbour bulletin", "Notices from the quay"
 VALUES = ("Ferry runs again", "https://quay.example/ferry/17", "Crossings on the hour", "The ferry sails from pier four")
@@ -325,3 +325,41 @@ def test_documents_and_repartitioning(world):
     first = full_text_documents(*world, "2024-06-01", format="json").collect()
     again = full_text_documents(world[0].repartition(7), world[1], "2024-06-01", format="json").collect()
     assert first == again and len(json.loads(first[0].body)["items"]) == 9
+
+
+# --- user rules ------------------------------------------------------------------------------------------
+CATALOGUE = """<?xml version="1.0"?><!-- list --><shelf><label>Books &amp; maps</label><row no="1"><book id="b1"><name>One</name>
+<see href="http://b/1">here</see></book><book id="b2"><name> Two </name></book></row><row><book/></row></shelf>"""
+
+
+def test_xml_rule(spark):
+    rule = custom_rule("/shelf/row/book", "xml", title="/shelf/label", item_title="name", item_link="see/@href", item_desc="see", item_content="@id")
+    texts = {"a": CATALOGUE, "other": "<rss><channel/></rss>", "bare": CATALOGUE.replace("One", "One & more"), "none": ""}
+    parsed = {r.feed_id: r.feed for r in feeds.extract_by_rule(docs(spark, **texts), rule).collect()}
+    assert parsed["other"] is None and parsed["none"] is None
+    assert parsed["a"].title == "Books & maps"
+    assert [(i.title, i.link, i.desc, i.content) for i in parsed["a"]["items"]] == [
+        ("One", "http://b/1", "here", "b1"), ("Two", None, None, "b2"), (None, None, None, None)]
+    assert parsed["bare"]["items"][0].title == "One & more"
+
+
+def test_user_rules_in_dispatch(spark):
+    shelf = custom_rule("/shelf/row/book", "xml", name="shelf", item_title="name")
+    first = custom_rule("/shelf/row", "xml", name="rows", item_title="@no")
+    lists = custom_rule(Select(tag="li"), name="lists")
+    posts = custom_rule("posts.[]", "json", name="posts", item_title="t")
+    far = custom_rule("/shelf/row/book", "xml", name="far", path=("http://f/far*",), item_title="@id")
+    texts = {"xml": CATALOGUE, "far1": CATALOGUE, "page": "<ul><li>a<li>b</ul>", "json": '{"posts": [{"t": "x"}]}', "rss": DOCS["rss-channel"],
+             "nothing": "<p>x</p>", "text": "just words"}
+    own = feeds.dispatch_rules(docs(spark, **texts), rules=[shelf, lists, posts, far]).collect()
+    got = {r.feed_id: (r.rule, [i.title for i in r.feed["items"]] if r.feed else None) for r in own}
+    assert got == {"xml": ("shelf", ["One", "Two", None]), "far1": ("far", ["b1", "b2", None]), "page": ("lists", ["a", "b"]),
+                   "json": ("posts", ["x"]), "rss": (None, None), "nothing": (None, None), "text": (None, None)}
+    mixed = {r.feed_id: r.rule for r in feeds.dispatch_rules(docs(spark, **texts), rules=[first, *RULES, shelf, posts]).collect()}
+    assert mixed == {"xml": "rows", "far1": "rows", "page": None, "json": "posts", "rss": "rss-channel", "nothing": None, "text": None}
+
+
+def test_custom_rule_describes_the_feed(spark):
+    page = '<html><head><title>T</title><meta name="other" content="no"><meta name="description" content="What it is"></head><body><li>a</body></html>'
+    feed = feeds.extract_by_rule(docs(spark, a=page), custom_rule(Select(tag="li"))).first().feed
+    assert (feed.title, feed.desc) == ("T", "What it is")
