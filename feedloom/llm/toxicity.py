@@ -38,6 +38,8 @@ MAX_VOCABULARY = 50_000
 TOKEN = r"(?U)[\p{L}\p{N}]+"
 #: Lengths of the beginnings that are looked at, besides whole words.
 BEGINNINGS = (4, 5, 6, 7, 8)
+#: Log-odds from which a piece tells enough; weaker ones are frequent pieces that only lean to one side.
+TELLING = 2.0
 #: So many different words at least must share a beginning for it to count.
 FAMILY = 3
 #: What a word costs that is not.
@@ -181,7 +183,7 @@ def clear_words(labelled: DataFrame, toxic: int, clean: int, vocabulary: int) ->
     # The prior: half a document, and 1 % of all that hold the piece, to either side.
     a = n * 0.01 + 0.5
     ratio = F.log((t + a) / (toxic - t + a)) - F.log((c + a) / (clean - c + a))
-    best = pieces.select("w", ratio.alias("s"), clear.alias("x")).where((F.col("x") >= bar) & (F.col("s") > 0))
+    best = pieces.select("w", ratio.alias("s"), clear.alias("x")).where((F.col("x") >= bar) & (F.col("s") >= TELLING))
     return {r.w: (r.s, r.x) for r in best.orderBy(F.col("x").desc(), "w").limit(vocabulary).collect()}
 
 
