@@ -8,7 +8,7 @@ with a known chance, so the buckets of a table have an estimated chance of
 success; a query visits perturbed buckets in that order until they sum up to
 `mass`. The candidates of all tables are merged and ranked by the exact score.
 
-m follows from the number of vectors, the usual distance of a k-th neighbour
+m follows from the number of vectors, so that a bucket has some hundreds, the usual distance of a k-th neighbour
 from SAMPLE queries against all vectors. Both tables index every vector. On
 random directions in 64 dimensions, where neighbours are hardly nearer than
 others, most buckets are needed for a recall of 0.9; on clustered data few are.
@@ -39,7 +39,7 @@ def normal_cdf(z: np.ndarray) -> np.ndarray:
 
 def functions(n: int, dim: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     """Directions (tables, dim + 1, m) and offsets (tables, m) for n vectors."""
-    m = int(min(12, max(2, round(math.log(max(n, 1) / 100, 4) if n > 100 else 2))))
+    m = int(min(12, max(2, round(math.log(max(n, 1) / 1000, 4)))))
     rng = np.random.default_rng(SEED)
     return rng.normal(size=(tables, dim + 1, m)), rng.uniform(0, WIDTH, size=(tables, m))
 
@@ -107,9 +107,8 @@ def search(df: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES, ma
     items = cut(V.classes(some, k + 1))
     queries, asked = V.distinct_queries(some, every)
     n, longest, dim = items.agg(F.count("*"), F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)), F.max(F.size("vec"))).first()
-    schema = "qid long, vec_id long, score double"
     if not n or queries.isEmpty():
-        return V.answers(df.sparkSession.createDataFrame([], schema), asked, k)
+        return V.answers(df.sparkSession.createDataFrame([], "qid long, vec_id long, score double"), asked, k)
     longest = math.sqrt(longest)
     a, b = functions(n, dim, tables)
     distance = usual_distance(items, queries, longest, k)
@@ -133,5 +132,5 @@ def search(df: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES, ma
         return V.best_members(left, right, q @ x.T, lambda r, cols: (x[cols] * q[r]).sum(1), k + 1)
 
     index = items.mapInPandas(hashed, "cid long, vec array<double>, members array<long>, t int, bucket long")
-    visits = queries.mapInPandas(probing, "qid long, vec array<double>, t int, bucket long")
-    return V.answers(V.block_search(index, visits, ["t", "bucket"], score, schema), asked, k)
+    visits = V.dealt(queries, "qid").mapInPandas(probing, "qid long, vec array<double>, t int, bucket long")
+    return V.answers(V.merged(V.block_search(index, visits, ["t", "bucket"], score, V.FOUND), k + 1), asked, k)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from feedloom.operators.joins import cut, shared_folder  # noqa: F401  (for the modules beside)
+
 #: A word of a text: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,29 +56,6 @@ def word_count():
     return run
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that `spark.checkpoint.dir` names, which all executors share.
-
-    Only a local session may do without: it gets a temporary folder, as its
-    tasks share the disk.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the cluster's shared checkpoint folder and go on from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def fresh(taken: list[str], name: str) -> str:
     """`name`, with underscores in front until no column is called so (names compare without case)."""
     lower = {c.lower() for c in taken}

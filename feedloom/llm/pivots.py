@@ -44,9 +44,8 @@ def search(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     queries, asked = V.distinct_queries(some, every)
     square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
     n, longest = items.agg(F.count("*"), F.max(square)).first()
-    schema = "qid long, vec_id long, score double"
     if not n or queries.isEmpty():
-        return whole(V.answers(spark.createDataFrame([], schema), asked, k))
+        return whole(V.answers(spark.createDataFrame([], "qid long, vec_id long, score double"), asked, k))
 
     def filled(x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.sqrt(np.maximum(0, longest - (x * x).sum(1)))[:, None]])
@@ -112,16 +111,14 @@ def search(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         return V.best_members(left, right, scores, lambda r, cols: np.rint((x[cols] * q[r]).sum(1)), k + 1)
 
     open_bound = queries.withColumn("bound", F.lit(float("inf")))
-    near = cut(V.block_search(placed, sent(open_bound, True), ["pivot", "ring"], score, schema))
-    line = V.Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    kth = near.withColumn("r", F.row_number().over(line)).where(F.col("r") <= k + 1).groupBy("qid").agg(
-        F.min("score").alias("score"), F.count("*").alias("c"))
+    near = cut(V.block_search(placed, sent(open_bound, True), ["pivot", "ring"], score, V.FOUND))
+    kth = V.merged(near, k + 1).groupBy("qid").agg(F.min("score").alias("score"), F.count("*").alias("c"))
     # Squared distance is |q|^2 + longest - 2 * score. With fewer than k + 1 answers nothing is bounded yet.
     bound = F.sqrt(F.greatest(F.lit(0.0), square + F.lit(float(longest)) - 2 * F.col("score")))
     bounded = queries.join(kth, "qid", "left").withColumn(
         "bound", F.when(F.col("c") > k, bound).otherwise(F.lit(float("inf")))).select("qid", "vec", "bound")
-    far = V.block_search(placed, sent(bounded, False), ["pivot", "ring"], score, schema)
-    return whole(V.answers(near.union(far), asked, k))
+    far = V.block_search(placed, sent(bounded, False), ["pivot", "ring"], score, V.FOUND)
+    return whole(V.answers(V.merged(near.union(far), k + 1), asked, k))
 
 
 def whole(found: DataFrame) -> DataFrame:

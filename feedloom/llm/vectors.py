@@ -77,7 +77,7 @@ def block_search(items: DataFrame, queries: DataFrame, on: list[str], score: Cal
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+            return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in schema.split(", ")})
         return score(left, right)
 
     return here.groupBy(*on, "i", "q").cogroup(there.groupBy(*on, "i", "q")).applyInPandas(run, schema)
@@ -87,28 +87,50 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in column])
 
 
+FOUND = "qid long, ids array<long>, scores array<double>"
+
+
 def best_members(items: pd.DataFrame, queries: pd.DataFrame, scores: np.ndarray, exact: Callable, keep: int) -> pd.DataFrame:
-    """(qid, vec_id, score): per query the `keep` best ids of this block; `exact(query row, item rows)` gives the scores to keep."""
+    """One row per query: the `keep` best ids of this block; `exact(query row, item rows)` gives the scores to keep."""
     chosen = top(scores, keep + 8)
     members = items["members"].tolist()
-    out_q, out_v, out_s = [], [], []
-    for r, qid in enumerate(queries["qid"]):
+    alone = all(len(m) == 1 for m in members)
+    ids = np.array([m[0] for m in members], np.int64)
+    out_v, out_s = [], []
+    for r in range(len(queries)):
         cols = chosen[r][np.isfinite(scores[r, chosen[r]])]
-        found = exact(r, cols)
-        order = np.argsort(-found, kind="stable")
-        rows = [(-s, int(m)) for s, c in zip(found[order].tolist(), cols[order].tolist()) for m in members[c]]
-        rows = sorted(rows)[:keep]
-        out_q += [qid] * len(rows)
-        out_v += [m for _, m in rows]
-        out_s += [-s for s, _ in rows]
-    return pd.DataFrame({"qid": out_q, "vec_id": out_v, "score": out_s})
-
-
-def answers(found: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) from (qid, vec_id, score): own row out, ties to smaller ids."""
-    once = found.groupBy("qid", "vec_id").agg(F.max("score").alias("score"))
-    line = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    first = once.withColumn("r", F.row_number().over(line)).where(F.col("r") <= k + 1).drop("r")
+        found, own = exact(r, cols), ids[cols]
+        if not alone:
+            times = [len(members[c]) for c in cols]
+            found, own = np.repeat(found, times), np.array([m for c in cols for m in members[c]], np.int64)
+        order = np.lexsort((own, -found))[:keep]
+        out_v.append(own[order])
+        out_s.append(found[order])
+    return pd.DataFrame({"qid": queries["qid"].to_numpy(), "ids": pd.Series(out_v, dtype=object), "scores": pd.Series(out_s, dtype=object)})
+
+
+def merged(found: DataFrame, keep: int) -> DataFrame:
+    """(qid, vec_id, score): the `keep` best of what a query's blocks found, ties to smaller ids.
+
+    A query has one short row for each block that it visited.
+    """
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, scores = np.concatenate(rows["ids"].tolist()), np.concatenate(rows["scores"].tolist())
+        ids, first = np.unique(ids, return_index=True)
+        scores = scores[first]
+        order = np.lexsort((ids, -scores))[:keep]
+        return pd.DataFrame({"qid": rows["qid"].iloc[0], "vec_id": ids[order].astype(np.int64), "score": scores[order].astype(float)})
+
+    return found.groupBy("qid").applyInPandas(merge, "qid long, vec_id long, score double")
+
+
+def answers(first: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) from the merged rows of the different queries: own row out, k stay."""
     per_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return asked.join(first, "qid").where("vec_id <> query_id").withColumn("rank", F.row_number().over(per_query)).where(
         F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """`df` over as many tasks as a shuffle has, for work that is heavy for its few bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
