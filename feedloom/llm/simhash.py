@@ -14,6 +14,11 @@ given as a spanning forest, so that a large group of copies makes no more links
 than it has members. An anchor with more than MAX_AT_ANCHOR fingerprints is
 compared in cells of bounded size, all pairs of its parts, spread over tasks.
 
+`deduplicate` asks for a similarity of shingles instead of a number of bits, and
+similar texts may differ in more bits than a code covers. So it takes sketches of
+eight fingerprints, sends each to the nearest codeword of all of its 32 blocks
+only, and counts the shingles of the texts that this brings together.
+
 Defined cases: a null or empty text has no words and fingerprint zero, linked
 like any other; a text of fewer words than a shingle is one shingle; repeated
 rows share a component; null ids stay rows and are never a component's id
@@ -34,6 +39,13 @@ from feedloom.llm.common import components, cut, fresh, text_of
 
 SEED = 42
 MAX_AT_ANCHOR = 4096
+#: Near-duplicates by exact similarity: this many fifths of two texts' shingles are common.
+SIMILAR = 4, 5
+#: A sketch has so many fingerprints of 64 bits; the first of them travel to the homes, where two meet that differ in SKETCH_BITS of them.
+#: Sets of similarity 0.8 differ in 39 +- 6 of 256 bits, unrelated ones in 128 +- 8.
+SKETCH_WORDS, CARRIED, SKETCH_BITS = 8, 4, 64
+MIXERS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, SKETCH_WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+MAX_AT_HOME, CELL_ROWS, CELL_BYTES = 32_768, 4096, 16 << 20
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -216,9 +228,190 @@ def near_duplicates(docs: DataFrame, words: int = 3, threshold: int = 3, blocks:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = 5, threshold: int = 7, blocks: int = 4) -> DataFrame:
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Hashes of the different shingles of one text, sorted; none without words."""
+    split = text.lower().split()
+    if not split:
+        return np.zeros(0, np.uint64)
+    shingles = [b" ".join(split)] if len(split) <= words else map(b" ".join, zip(*(split[i:] for i in range(words))))
+    digest = xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), ">u8").astype(np.uint64))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """The SKETCH_WORDS fingerprints of one set of shingles, each over other hashes made of the given ones."""
+    counts = np.zeros(64 * SKETCH_WORDS, np.int64)
+    for at in range(0, len(hashes), 1 << 12):
+        mixed = (hashes[at:at + (1 << 12), None] ^ (hashes[at:at + (1 << 12), None] >> np.uint64(31))) * MIXERS[None, :]
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        counts += np.unpackbits(mixed.view(np.uint8), axis=1).sum(0, dtype=np.uint32)
+    return np.packbits(2 * counts > len(hashes)).tobytes()
+
+
+def sketches(words: int):
+    """A column function: text to sketch."""
+    @F.arrow_udf("binary")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([sketch(shingle_hashes((t.as_py() or "").encode("utf-8", "replace"), words)) for t in texts], pa.binary())
+
+    return lambda text: run(text_of(text))
+
+
+def homes(bits: np.ndarray) -> np.ndarray:
+    """(sketch, block): the key of the codeword nearest to each block of 16 bits, of which the code takes 15."""
+    value = bits.view(np.uint16) & np.uint16(0x7FFF)
+    syndrome = np.zeros(value.shape, np.uint16)
+    for i in range(1, 16):
+        syndrome ^= np.where((value >> np.uint16(i - 1)) & np.uint16(1), np.uint16(i), np.uint16(0))
+    home = value ^ np.where(syndrome, np.uint16(1) << (np.maximum(syndrome, 1) - np.uint16(1)), np.uint16(0))
+    return home.astype(np.int64) | (np.arange(value.shape[1], dtype=np.int64) << 16)[None, :]
+
+
+def stars(ids: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the sketches within SKETCH_BITS of each other: each member to one of its group."""
+    n = len(ids)
+    step, ones, twos = max(1, (1 << 20) // n), [], []
+    for at in range(0, n, step):
+        near = np.bitwise_count(bits[at:at + step, None, :] ^ bits[None, at:, :]).sum(2, dtype=np.uint16) <= SKETCH_BITS
+        one, two = np.nonzero(np.triu(near, 1))
+        ones.append(one + at)
+        twos.append(two + at)
+    one, two = np.concatenate(ones), np.concatenate(twos)
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[one], label[two])
+        if (least == label[one]).all() and (least == label[two]).all():
+            break
+        np.minimum.at(label, one, least)
+        np.minimum.at(label, two, least)
+    member = np.flatnonzero(label != np.arange(n))
+    return ids[label[member]], ids[member]
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(u, v): links of what may be similar, enough to connect all of it; `nodes` has (node, bits), each node once.
+
+    Every sketch goes to the home of each of its blocks. There are 2,048 homes
+    for a block, so how many sketches each gets is a table of fixed size; a home
+    of more than MAX_AT_HOME is compared in cells, all pairs of its parts.
+    """
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        bits = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+        return batch.column(0).to_numpy(zero_copy_only=False), bits
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 21, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += np.bincount(homes(read(batch)[1]).ravel(), minlength=len(total))
+        key = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(key, pa.int64()), pa.array(total[key])], ["key", "n"])
+
+    many = nodes.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > MAX_AT_HOME)
+    parts = {r.key: -(-r.n * 2 // MAX_AT_HOME) for r in many.collect()}
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "part", "node", "bits"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 12):
+                ids, bits = read(batch.slice(at, 1 << 12))
+                key = homes(bits)
+                row = np.repeat(np.arange(len(ids)), key.shape[1])
+                key, part = key.ravel(), np.zeros(len(row), np.int64)
+                if parts:
+                    k = np.array([parts.get(x, 1) for x in key.tolist()], np.int64)
+                    p = np.mod(ids[row] ^ (ids[row] >> 32), k)
+                    q = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                    row, key, p, k = (np.repeat(x, k) for x in (row, key, p, k))
+                    part = np.minimum(p, q) * k + np.maximum(p, q)
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * CARRIED), len(row), [
+                    None, pa.py_buffer(np.ascontiguousarray(bits[row, :CARRIED]))]).cast(pa.binary())
+                yield pa.record_batch([pa.array(key), pa.array(part), pa.array(ids[row]), raw], names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, part, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            now = [key, part, ids, np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, CARRIED)]
+            if rest is not None:
+                now = [np.concatenate([a, b]) for a, b in zip(rest, now)]
+            ends = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
+            starts = np.append(0, ends)
+            found = [stars(now[2][a:b], now[3][a:b]) for a, b in zip(starts, ends)]
+            rest = [x[starts[-1]:] for x in now]
+            yield from linked(found)
+        if rest is not None:
+            yield from linked([stars(rest[2], rest[3])])
+
+    sent = nodes.mapInArrow(send, "key long, part long, node long, bits binary")
+    return sent.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(meet, "u long, v long")
+
+
+def linked(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    if any(len(u) for u, _ in found):
+        u, v = (np.concatenate(x) for x in zip(*found))
+        yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def similar(ids: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links of sets whose exact similarity is SIMILAR at least, as a spanning forest."""
+    m, (num, den) = len(ids), SIMILAR
+    size = np.array([len(s) for s in sets], np.int64)
+    _, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(m), size)[np.argsort(inverse, kind="stable")]
+    times = np.bincount(inverse)
+    first, own = np.cumsum(times) - times, np.append(0, np.cumsum(size))
+    label, u, v = np.arange(m), [], []
+    for i in range(m):
+        other = label != label[i]
+        other[:i] = False
+        other &= den * np.minimum(size, size[i]) >= num * np.maximum(size, size[i])
+        if not other.any():
+            continue
+        mine = inverse[own[i]:own[i + 1]]
+        n = times[mine]
+        at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(holders[at], minlength=m)
+        for j in np.flatnonzero(other & ((num + den) * common >= num * (size + size[i]))):
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                u.append(ids[i])
+                v.append(ids[j])
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
+def by_text(words: int):
+    """Rows (root, part, node, text), sorted, to the links of similar texts within each root and part."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, sets = None, [], []
+        for batch in batches:
+            root, part, node = (batch.column(i).to_pylist() for i in range(3))
+            for k in range(batch.num_rows):
+                if last != (root[k], part[k]):
+                    if len(ids) > 1:
+                        yield from linked([similar(np.array(ids, np.int64), sets)])
+                    last, ids, sets = (root[k], part[k]), [], []
+                if not ids or ids[-1] != node[k]:  # rows of one text are one node
+                    ids.append(node[k])
+                    sets.append(shingle_hashes(batch.column(3)[k].as_py().encode("utf-8", "replace"), words))
+        if len(ids) > 1:
+            yield from linked([similar(np.array(ids, np.int64), sets)])
+
+    return run
+
+
+def deduplicate(docs: DataFrame, words: int = 5) -> DataFrame:
     """`docs` without the near-duplicates: of each component the row with its smallest doc_id stays, once.
 
+    Linked are texts whose sets of shingles are SIMILAR at least, by exact
+    counting. What is counted are the texts that the homes of their sketches
+    connect; a group of them with more than CELL_ROWS rows or CELL_BYTES of
+    text is counted in cells, all pairs of its parts. Texts without words are
+    similar to each other.
+
     Of rows with the same doc_id and different texts the one with the smaller
     hash of the text counts as smaller, and of rows with the same doc_id and
     text any one stays. A row with a null doc_id stays only if its component
@@ -226,17 +419,27 @@ def deduplicate(docs: DataFrame, words: int = 5, threshold: int = 7, blocks: int
     """
     h, has, n, key_id = (fresh(docs.columns, c) for c in ("_h", "_has", "_n", "_id"))
     text_hash = F.xxhash64(text_of(F.col("text")))
-    prints = cut(docs.select("doc_id", text_hash.alias("h"), fingerprints(words)(docs["text"]).alias("fp")))
+    prints = docs.select("doc_id", text_hash.alias("h"), sketches(words)(docs["text"]).alias("bits"),
+                         F.octet_length(text_of(F.col("text"))).cast("long").alias("bytes"))
     # What a null id is replaced by only has to meet itself again.
-    whole = prints.select("fp", "h", F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.col("h")).alias("id"))
-    counted = whole.groupBy("fp", "none", "id", "h").agg(F.count("*").alias("n"))
-    least = cut(counted.groupBy("fp").agg(F.min(F.struct("none", "id", "h", "n")).alias("first")))
-    roots = components(links(least.select("fp"), threshold, blocks))
-    joined = least.join(roots, least["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
+    whole = cut(prints).select("h", "bits", "bytes", F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.col("h")).alias("id"))
+    counted = whole.groupBy("h", "none", "id").agg(F.count("*").alias("n"), F.first("bits").alias("bits"), F.first("bytes").alias("bytes"))
+    least = cut(counted.groupBy("h").agg(F.min(F.struct("none", "id", F.col("h").alias("h"), "n")).alias("first"),
+                                         F.first("bits").alias("bits"), F.first("bytes").alias("bytes")))
+    near = components(candidates(least.select(F.col("h").alias("node"), "bits")))
+    placed = cut(near.join(least, near["node"] == least["h"]).select(
+        "root", "node", "bytes", F.col("first.id").alias(key_id), F.col("first.h").alias(h), F.col("first.none").alias(has)))
+    share = F.greatest(F.count("*") / CELL_ROWS, F.sum("bytes") / CELL_BYTES)
+    placed = placed.join(placed.groupBy("root").agg((F.ceil(F.when(share > 1, 2 * share).otherwise(1))).alias("k")), "root")
+    key = [key_id, h, has]
+    keyed = docs.withColumn(h, text_hash).withColumn(has, F.col("doc_id").isNull()).withColumn(key_id, F.coalesce(F.col("doc_id"), F.col(h)))
+    texts = keyed.select(*key, text_of(F.col("text")).alias("text")).join(placed, key).withColumn("p", F.pmod(F.xxhash64("node"), F.col("k")))
+    cells = texts.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    cells = cells.select("root", (F.least("p", "q") * F.col("k") + F.greatest("p", "q")).alias("part"), "node", "text")
+    roots = components(cells.repartition("root", "part").sortWithinPartitions("root", "part", "node").mapInArrow(by_text(words), "u long, v long"))
+    joined = least.join(roots, least["h"] == roots["node"], "left").select("first", F.coalesce("root", "h").alias("root"))
     stay = cut(joined.groupBy("root").agg(F.min("first").alias("first")).select(
         F.col("first.id").alias(key_id), F.col("first.h").alias(h), F.col("first.none").alias(has), F.col("first.n").alias(n)))
-    keyed = docs.withColumn(h, text_hash).withColumn(has, F.col("doc_id").isNull()).withColumn(key_id, F.coalesce(F.col("doc_id"), F.col(h)))
-    key = [key_id, h, has]
     once = keyed.join(stay.where(F.col(n) == 1), key, "left_semi")
     repeated = stay.where(F.col(n) > 1)
     if not repeated.isEmpty():

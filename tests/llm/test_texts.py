@@ -160,6 +160,36 @@ def test_deduplicate_keeps_one_of_each(spark, sf_dir):
     assert list(got[0].asDict()) == ["doc_id", "text", "_h", "source", "n_chars"]
 
 
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_deduplicate_by_exact_similarity(spark, sf_dir, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [t for _, t in texts_of(spark, sf_dir)] + ["", " ", None, "a b", "A  b", "a b c"]
+    for _ in range(60):  # variants on both sides of 0.8, chains among them
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(40, 300)))]
+        for _ in range(3):
+            texts.append(" ".join(words))
+            for at in rng.choice(len(words), max(1, round(len(words) * rng.uniform(0.01, 0.03))), replace=False):
+                words[at] = f"x{rng.integers(0, 10**6)}"
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                one, two = parent[i], parent[j]
+                parent = [min(one, two) if x in (one, two) else x for x in parent]
+    want = [i for i, x in enumerate(parent) if i == x]
+    frame = docs(spark, texts).repartition(5)
+    assert sorted(r.doc_id for r in simhash.deduplicate(frame).collect()) == want
+    for name, most in (("MAX_AT_HOME", 2), ("CELL_ROWS", 2)):  # all in cells
+        monkeypatch.setattr(simhash, name, most)
+    assert sorted(r.doc_id for r in simhash.deduplicate(frame).collect()) == want
+    assert simhash.deduplicate(frame.limit(0)).count() == 0
+
+
 # ---- Line dedup
 
 
