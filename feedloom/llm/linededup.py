@@ -208,7 +208,9 @@ def shared(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
     Within a batch the smallest document of a run leads it. Others of the batch
     have met an earlier document there already; only the leaders go on to meet
-    across batches. So a run of a third of all documents sends one row a batch.
+    across batches, with every line where they have the run, as all of these go
+    if another batch has an earlier document. So a run of a third of all
+    documents sends the rows of one document a batch.
     """
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,14 +224,13 @@ def shared(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
             order = np.lexsort((line, doc, run))
             run, doc, line = run[order], doc[order], line[order]
             leader, later = led(run, doc, line)
-            first = leader == np.arange(len(run))
-            yield rows_of(run[first], doc[first], line[first])
+            yield rows_of(run[~later], doc[~later], line[~later])
             if later.any():
                 of = leader[later]
                 yield rows_of(run[later], doc[later], line[later], doc[of], line[of])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Leaders, sorted: each but the first of its run has the first as its earlier document. Other rows pass."""
+        """Leaders, sorted: all rows but those of the first document of a run have that as their earlier one. Other rows pass."""
         last = None
         for batch in batches:
             other = batch.column(3)

@@ -209,6 +209,21 @@ def test_line_dedup(spark, sf_dir):
     assert linededup.deduplicate(frame.limit(0)).count() == 0
 
 
+def test_line_dedup_does_not_depend_on_batches(spark):
+    run = "one two three four five six seven eight nine ten, " * 2
+    rows = [(1, f"First words. {run}"), (2, f"Second words. {run}then more. {run}and {run}"), (3, f"{run}{run}"), (4, f"Other. {run}end. {run}")]
+    want, name = plain.line_dedup(rows), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for most in (1, 2, 10_000):
+            spark.conf.set(name, most)
+            for n, given in ((1, rows), (1, rows[::-1]), (4, rows)):
+                frame = docs(spark, [t for _, t in given], [i for i, _ in given]).repartition(n)
+                assert {r.doc_id: r.text for r in linededup.deduplicate(frame).collect()} == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_line_dedup_ids(spark):
     text = "one two three four five six seven eight nine ten, " * 3
     rows = linededup.deduplicate(docs(spark, [text, text, text, text], [None, None, 4, 4])).collect()
