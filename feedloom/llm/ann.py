@@ -129,7 +129,8 @@ def search(df: DataFrame, k: int = 20, every: int = 20, tables: int = TABLES, ma
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         x, q = V.matrix(left["vec"]), V.matrix(right["vec"])
-        return V.best_members(left, right, q @ x.T, lambda r, cols: (x[cols] * q[r]).sum(1), k + 1)
+        error = 2 * x.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()  # of either sum
+        return V.best_members(left, right, q @ x.T, lambda r, cols: (x[cols] * q[r]).sum(1), k + 1, error)
 
     index = items.mapInPandas(hashed, "cid long, vec array<double>, members array<long>, t int, bucket long")
     visits = V.dealt(queries, "qid").mapInPandas(probing, "qid long, vec array<double>, t int, bucket long")

@@ -37,10 +37,11 @@ def classes(vectors: DataFrame, keep: int) -> DataFrame:
 
     Rows of equal vectors tie, and ties go to smaller ids: of any number of
     them no more than `keep` can be among the first `keep`. Only these pass the
-    shuffle, as the limit by rank is applied before it.
+    shuffle, as the limit by rank is applied before it. Repeated rows go first,
+    as they would take the place of other ids.
     """
     rank = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
-    some = vectors.withColumn("r", rank).where(F.col("r") <= keep)
+    some = vectors.select("vec_id", "vec").distinct().withColumn("r", rank).where(F.col("r") <= keep)
     return some.groupBy("vec").agg(F.array_sort(F.array_distinct(F.collect_list("vec_id"))).alias("members")).select(
         F.col("members")[0].alias("cid"), "vec", "members")
 
@@ -52,11 +53,13 @@ def distinct_queries(vectors: DataFrame, every: int) -> tuple[DataFrame, DataFra
     return distinct.select("qid", "vec"), asked.join(distinct, "vec").select(F.col("vec_id").alias("query_id"), "qid").distinct()
 
 
-def top(scores: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest values of each row, in no order."""
+def top(scores: np.ndarray, k: int, slack: np.ndarray) -> np.ndarray:
+    """Which values of each row are the k largest or tie with the last of them, `slack` (a row's) below it included."""
+    usable = scores > -np.inf
     if scores.shape[1] <= k:
-        return np.tile(np.arange(scores.shape[1]), (scores.shape[0], 1))
-    return np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        return usable
+    kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+    return usable & (scores >= (kth - slack)[:, None])
 
 
 def block_search(items: DataFrame, queries: DataFrame, on: list[str], score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
@@ -90,15 +93,19 @@ def matrix(column: pd.Series) -> np.ndarray:
 FOUND = "qid long, ids array<long>, scores array<double>"
 
 
-def best_members(items: pd.DataFrame, queries: pd.DataFrame, scores: np.ndarray, exact: Callable, keep: int) -> pd.DataFrame:
-    """One row per query: the `keep` best ids of this block; `exact(query row, item rows)` gives the scores to keep."""
-    chosen = top(scores, keep + 8)
+def best_members(items: pd.DataFrame, queries: pd.DataFrame, scores: np.ndarray, exact: Callable, keep: int,
+                 error: np.ndarray | float = 0.0) -> pd.DataFrame:
+    """One row per query: the `keep` best ids of this block; `exact(query row, item rows)` gives the scores to keep.
+
+    `scores` differ from those by at most `error` (one number per query).
+    """
+    chosen = top(scores, keep, 2 * np.broadcast_to(error, len(queries)))
     members = items["members"].tolist()
     alone = all(len(m) == 1 for m in members)
     ids = np.array([m[0] for m in members], np.int64)
     out_v, out_s = [], []
     for r in range(len(queries)):
-        cols = chosen[r][np.isfinite(scores[r, chosen[r]])]
+        cols = np.flatnonzero(chosen[r])
         found, own = exact(r, cols), ids[cols]
         if not alone:
             times = [len(members[c]) for c in cols]

@@ -70,6 +70,43 @@ def test_searches_of_few_vectors(spark):
         assert [(r.query_id, r["rank"], r.vec_id) for r in two] == [(100, 1, 7)]
 
 
+def test_ties_go_to_smaller_ids(spark):
+    rng = np.random.default_rng(5)
+    one_hot = np.eye(64)[np.arange(320) % 64] * (1 + np.arange(320) // 64)[:, None]
+    coarse = rng.integers(-1, 2, (900, 6)).astype(float)
+    signs = np.sign(rng.normal(size=(400, 64)))
+    for x in (one_hot, coarse, signs):
+        ids = rng.permutation(len(x))
+        x[ids == 100] = 0  # a query for which all scores are equal
+        got = {}
+        for r in pivots.search(frame(spark, x, ids.tolist()).repartition(3)).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        assert sorted(got) == list(range(0, len(x), 50))
+        for q in np.flatnonzero(ids % 50 == 0):
+            assert [v for _, v in sorted(got[ids[q]])] == [v for v, _ in best(np.floor(256 * x), ids, q, 5)]
+
+
+def test_best_of_a_block_and_repeated_rows(spark):
+    import pandas as pd
+
+    from feedloom.llm import vectors as V
+
+    n = 300
+    x, q = np.ones((n, 3)), np.array([[1.0, 1, 1]])
+    x[:, 2] += np.arange(n) * 1e-18
+    items = pd.DataFrame({"members": [[i] for i in range(n)][::-1]})
+    scores = q @ x.T + np.random.default_rng(1).normal(size=(1, n)) * 1e-16  # rounded differently
+    found = V.best_members(items, pd.DataFrame({"qid": [7]}), scores, lambda r, cols: np.rint((x[cols] * q[r]).sum(1)), 21, 1e-14)
+    assert found["ids"][0].tolist() == list(range(21))
+    rows = [[1.0, 2.0]] * 60 + [[3.0, 1.0]] * 40
+    ids = [0] * 30 + list(range(1, 31)) + [100] * 25 + list(range(101, 116))
+    for search, k in ((pivots.search, 5), (ann.search, 20)):
+        got = {}
+        for r in search(frame(spark, rows, ids)).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        assert [v for _, v in sorted(got[100])] == ([*range(101, 106)] if k == 5 else [*range(101, 116), *range(0, 5)])
+
+
 # ---- Pages
 
 
