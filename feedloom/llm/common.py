@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from feedloom.operators.joins import cut, shared_folder  # noqa: F401  (for the modules beside)
 
@@ -103,3 +103,24 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     return edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root")).union(
         edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+
+
+def numbered(df: DataFrame, name: str, start: int = 1) -> DataFrame:
+    """`df`, written to the shared folder, with numbers from `start` without gaps, in the order of its partitions.
+
+    Rows are counted by partition, so only as many sums as there are partitions meet.
+    """
+    at, own, base = (fresh(df.columns, n) for n in ("_at", "_part", "_base"))
+    done = cut(df.withColumn(at, F.monotonically_increasing_id()))
+    part = F.shiftright(F.col(at), 33)
+    sizes = done.groupBy(part.alias(own)).agg(F.count("*").alias(base))
+    before = F.sum(base).over(Window.orderBy(own)) - F.col(base)
+    bases = F.broadcast(sizes.select(own, before.alias(base)))
+    return done.withColumn(own, part).join(bases, own).withColumn(
+        name, F.col(base) + F.col(at).bitwiseAND((1 << 33) - 1) + start).drop(at, own, base)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.llm import ann, bpe, linededup, mixing, pii, pivots, secrets, simhash, toxicity, wrapper
+from feedloom.llm import ann, bpe, collocations, linededup, mixing, pii, pivots, secrets, simhash, toxicity, wrapper
 from feedloom.llm.common import table
 
 QUERIES = {}
@@ -74,6 +74,11 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op11_phrase_collocations(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 ORACLES["op2_pivot_topk"] = """
@@ -109,3 +114,33 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
 JOIN x ON d.source IS NOT DISTINCT FROM x.source AND d.h = x.h
 """
+
+#: All phrases of one to three words with their counts, by language.
+PHRASES = r"""
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang,
+          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+e AS (SELECT lang, unnest(flatten(list_transform(range(1, least(len(w), 3) + 1), lambda k:
+        list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(list_slice(w, i, i + k - 1), ' '))))) AS phrase FROM p),
+c AS MATERIALIZED (SELECT lang, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM e GROUP BY lang, phrase)
+"""
+
+ORACLES["op11_phrase_collocations"] = f"""
+WITH {PHRASES},
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE len(w) = 1 GROUP BY lang),
+b AS MATERIALIZED (SELECT * FROM c WHERE len(w) > 1 AND f >= 10),
+k AS (SELECT lang, phrase, f AS a, w, unnest(range(1, len(w))) AS k FROM b),
+h AS MATERIALIZED (SELECT lang, phrase, a, k, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM k),
+s AS (SELECT h.lang, h.phrase, a, k, x.f AS l, y.f AS r, 1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS score
+      FROM h JOIN c x ON x.lang = h.lang AND x.phrase = head JOIN c y ON y.lang = h.lang AND y.phrase = tail),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, f FROM b WHERE len(w) = 3),
+j AS (SELECT lang, phrase, max(f) AS longer FROM i GROUP BY lang, phrase),
+q AS (SELECT m.lang, m.phrase, a, l, r, n, score
+      FROM m JOIN t ON t.lang = m.lang LEFT JOIN j ON j.lang = m.lang AND j.phrase = m.phrase
+      WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM q QUALIFY rank <= 2000
+"""
