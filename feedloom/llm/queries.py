@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.llm import ann, bpe, collocations, linededup, mixing, pii, pivots, secrets, simhash, toxicity, wrapper
+from feedloom.llm import ann, bpe, collocations, exactdedup, linededup, merkle, mixing, pii, pivots, secrets, simhash, toxicity, wrapper
 from feedloom.llm.common import table
 
 QUERIES = {}
@@ -79,6 +79,16 @@ def op11_phrase_collocations(spark, sf_dir):
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_exact_dedup(spark, sf_dir):
+    return exactdedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 ORACLES["op2_pivot_topk"] = """
@@ -144,3 +154,58 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, e
   a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
 FROM q QUALIFY rank <= 2000
 """
+
+ORACLES["op12_exact_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)
+"""
+
+UNSIGNED_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ord(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda x, _: xor(x >> 1, 3988292384::BIGINT * (x & 1))))"""
+
+ORACLES["op13_merkle_manifest"] = f"""
+WITH RECURSIVE enc AS (
+  SELECT doc_id, source,
+    concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+           coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+    text, xor({UNSIGNED_CRC.format('doc_id::VARCHAR')}, 4294967295::BIGINT) % 5 = 0 AS hit FROM documents),
+lv AS MATERIALIZED (
+  SELECT doc_id, dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+    sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS other,
+    coalesce(hit, false) AS hit FROM enc),
+up AS (
+  SELECT tree, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM lv
+  UNION ALL
+  SELECT tree, level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM up WHERE n > 1
+  GROUP BY tree, level, n, pos // 16),
+sub AS MATERIALIZED (SELECT tree, level AS height, h FROM up WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, tree AS pos, h, count(*) OVER () AS n FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM tops WHERE n > 1 GROUP BY level, n, pos // 16),
+nodes AS MATERIALIZED (
+  SELECT tree, level, pos, h FROM up WHERE n > 1
+  UNION ALL SELECT -1, level, pos, h FROM tops WHERE n > 1),
+beside AS MATERIALIZED (
+  SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.pos // 16 = b.pos // 16 GROUP BY a.tree, a.level, a.pos),
+walk AS (
+  SELECT doc_id, lv.tree AS own, leaf, CASE WHEN hit THEN other ELSE leaf END AS now, '' AS proof,
+    CASE WHEN height = 0 THEN -1 ELSE lv.tree END AS tree, 0 AS level, CASE WHEN height = 0 THEN lv.tree ELSE pos END AS pos, height
+  FROM lv JOIN sub ON sub.tree = lv.tree
+  UNION ALL
+  SELECT doc_id, own, leaf, sha256(l || now || r), proof || l || r,
+    CASE WHEN walk.tree >= 0 AND walk.level + 1 = height THEN -1 ELSE walk.tree END,
+    CASE WHEN walk.tree >= 0 AND walk.level + 1 = height THEN 0 ELSE walk.level + 1 END,
+    CASE WHEN walk.tree >= 0 AND walk.level + 1 = height THEN own ELSE walk.pos // 16 END, height
+  FROM walk JOIN beside ON beside.tree = walk.tree AND beside.level = walk.level AND beside.pos = walk.pos)
+SELECT doc_id, leaf, sub.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = t.h AS verified
+FROM walk JOIN sub ON sub.tree = own JOIN tops t ON t.n = 1
+WHERE walk.tree = -1 AND walk.level = t.level
+"""
