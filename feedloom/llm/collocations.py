@@ -46,8 +46,8 @@ LONGEST = 3
 FIRST = 2000
 #: A phrase goes if one that contains it has this share of its count.
 INSIDE = 0.5
-#: Words of a block, bytes of text looked at together, and keys (repeats counted) of a segment and of a filter.
-BLOCK_WORDS, SLICE_BYTES, SEGMENT_KEYS, FILTER_KEYS = 1 << 22, 1 << 22, 1 << 21, 1 << 22
+#: Words of a block, bytes of text and words looked at together, and keys (repeats counted) of a segment and of a filter.
+BLOCK_WORDS, SLICE_BYTES, WINDOW, SEGMENT_KEYS, FILTER_KEYS = 1 << 22, 1 << 22, 1 << 18, 1 << 21, 1 << 21
 SALTS = 32
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -180,15 +180,19 @@ def unpack(hi: np.ndarray, lo: np.ndarray, words: int, bits: int, shape: Shape)
     return out
 
 
-def keys_of(ids: np.ndarray, longest: int, bits: int, shape: Shape) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Permuted keys of all phrases of 2 to `longest` words in a row of numbers; 0 is no word."""
-    whole = ids[:-1] > 0
-    for size in range(2, longest + 1):
-        whole = whole[:len(ids) - size + 1] & (ids[size - 1:] > 0)
-        at = np.flatnonzero(whole)
-        for a in range(0, len(at), FILTER_KEYS):
-            some = at[a:a + FILTER_KEYS]
-            columns = [ids[some + k] for k in range(size)] + [np.zeros(len(some), np.uint64)] * (longest - size)
+def keys_of(ids: np.ndarray, text: np.ndarray, longest: int, bits: int, shape: Shape) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Permuted keys of all phrases of 2 to `longest` words in local numbers, given the word of each; 0 is no word."""
+    for a in range(0, len(text), WINDOW):
+        some = ids[text[a:a + WINDOW + longest - 1]]
+        n = min(WINDOW, len(text) - a)
+        whole = some > 0
+        for size in range(2, longest + 1):
+            n = min(n, len(some) - size + 1)
+            if n <= 0:
+                break
+            whole = whole[:n] & (some[size - 1:size - 1 + n] > 0)
+            at = np.flatnonzero(whole)
+            columns = [some[at + k] for k in range(size)] + [np.zeros(len(at), np.uint64)] * (longest - size)
             yield shape.permute(*pack(columns, bits, shape))
 
 
@@ -201,6 +205,7 @@ def shards(blocks: DataFrame, longest: int, bits: int, shape: Shape) -> DataFram
         def send() -> pa.RecordBatch:
             done = list(shape.filters(*(np.concatenate(x) for x in zip(*waiting))))
             waiting.clear()
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.int32()), pa.array([f for _, f in done], pa.binary())],
                                               ["segment", "filter"])
 
@@ -216,7 +221,7 @@ def shards(blocks: DataFrame, longest: int, bits: int, shape: Shape) -> DataFram
                 ids = np.zeros(int(text.max()) + 1, np.uint64)
                 ids[np.concatenate(local)] = np.concatenate(id_)
                 local, id_ = [], []
-                for hi, lo in keys_of(ids[text], longest, bits, shape):
+                for hi, lo in keys_of(ids, text, longest, bits, shape):
                     waiting.append((hi, lo))
                     held += len(hi)
                     if held >= FILTER_KEYS:

@@ -90,7 +90,7 @@ def test_phrases(spark, monkeypatch):
     frame = table_of(spark, [(i, t, lang, None, None) for i, (t, lang) in enumerate(rows)]).withColumnRenamed("n_chars", "n").repartition(5)
     plainly = mined(rows)
     assert sorted(tuple(r) for r in collocations.mine(frame).collect()) == plainly
-    for name, value in (("BLOCK_WORDS", 300), ("SLICE_BYTES", 50), ("SEGMENT_KEYS", 40), ("FILTER_KEYS", 64)):
+    for name, value in (("BLOCK_WORDS", 300), ("SLICE_BYTES", 50), ("WINDOW", 7), ("SEGMENT_KEYS", 40), ("FILTER_KEYS", 64)):
         monkeypatch.setattr(collocations, name, value)
     assert sorted(tuple(r) for r in collocations.mine(frame).collect()) == plainly
     assert sorted(tuple(r) for r in collocations.mine(frame, first=3).collect()) == mined(rows, first=3)
