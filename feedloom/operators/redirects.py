@@ -68,38 +68,39 @@ def redirect_edges(responses: DataFrame, follow: str | None = None) -> DataFrame
     return responses.select("url", next_url(follow).alias("target")).where(F.col("target").isNotNull())
 
 
-def resolve_redirects(edges: DataFrame, max_hops: int = MAX_HOPS, wanted: DataFrame | None = None) -> DataFrame:
+def resolve_redirects(edges: DataFrame, max_hops: int | None = MAX_HOPS, wanted: DataFrame | None = None) -> DataFrame:
     """Follow (url, target) edges to the end: url, final_url, hops.
 
-    Starts at every URL with an edge, or at those of `wanted` (url, distinct)
-    that have one. Each step joins only the URLs still moving and is written to
-    the shared checkpoint folder; it stops when none moves. A URL that comes back
-    to one of its chain moves no further. More than `max_hops`, or a
-    cycle, gives a null final_url. A target without an edge is final, whether
-    or not it was captured. `edges` is read once per step: cut it if it is costly.
+    By pointer jumping: every URL knows an address so many hops ahead; a round
+    replaces it by the one that this address knows, and adds up the hops. So
+    after r rounds all chains of less than 2^r hops have ended, and `max_hops`
+    of 10 takes four. More than `max_hops`, or a cycle, gives a null final_url.
+    Without a limit rounds go on while any chain ends: once none does, what is
+    left runs into a cycle, as a round at least doubles the ended part of a chain.
+
+    A target without an edge is final, whether or not it was captured. A row is
+    expected for each URL that moves; `wanted` (url) restricts the result. Each
+    round joins only the URLs still under way and is written to the shared
+    checkpoint folder.
     """
-    edges = edges.select("url", "target")
-    start = edges if wanted is None else edges.join(wanted.select("url"), "url", "left_semi")
-    moving = start.select(F.col("target").alias("current"), F.col("url").alias("start"), F.array("url", "target").alias("_seen"))
-    nexts = edges.withColumnRenamed("url", "current")
-    done, lost = None, []
-    for hop in range(1, max_hops + 1):
-        joined = cut(lookup_join(moving, nexts, "current", ["start"]))
-        ended = joined.where(F.col("target").isNull()).select(
-            F.col("start").alias("url"), F.col("current").alias("final_url"), F.lit(hop).alias("hops"))
-        done = ended if done is None else done.unionByName(ended)
-        back = F.array_contains("_seen", F.col("target"))
-        lost.append(joined.where(back))
-        moving = joined.where(F.col("target").isNotNull() & ~back).select(
-            F.col("target").alias("current"), "start", F.array_append("_seen", F.col("target")).alias("_seen"))
-        if moving.isEmpty():
+    state = cut(edges.select("url", F.col("target").alias("to"), F.lit(1).alias("hops"), F.lit(False).alias("done")))
+    rounds, before = 0, None
+    while max_hops is None or rounds < max_hops.bit_length():
+        moving = state.where("NOT done")
+        left = moving.count()
+        if left in (0, before):
             break
-    else:
-        lost.append(moving)
-    for some in lost:
-        done = done.unionByName(some.select(F.col("start").alias("url"), F.lit(None).cast("string").alias("final_url"),
-                                            F.lit(None).cast("int").alias("hops")))
-    return done
+        before = left if max_hops is None and rounds else None
+        far = state.select(F.col("url").alias("to"), F.col("to").alias("_next"), F.col("hops").alias("_more"), F.col("done").alias("_end"))
+        jumped = lookup_join(moving.drop("done"), far, "to", ["url"]).select(
+            "url", F.coalesce("_next", "to").alias("to"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"),
+            F.coalesce("_end", F.lit(True)).alias("done"))
+        state = cut(state.where("done").unionByName(jumped))
+        rounds += 1
+    if wanted is not None:
+        state = state.join(wanted.select("url").distinct(), "url", "left_semi")
+    reached = F.col("done") if max_hops is None else F.col("done") & (F.col("hops") <= max_hops)
+    return state.select("url", F.when(reached, F.col("to")).alias("final_url"), F.when(reached, F.col("hops")).alias("hops"))
 
 
 def final_responses(responses: DataFrame, resolved: DataFrame) -> DataFrame:

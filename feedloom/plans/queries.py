@@ -262,16 +262,31 @@ edges AS (
 moving AS (SELECT * FROM edges WHERE target IS NOT NULL)"""
 
 
+# Of every 40 pages: a chain of 11 hops, a cycle of four addresses that another leads to, and one that points at itself.
+_LONG_CHAINS = """
+SELECT 'http://moved.example.org/' || floor(page_id / 40)::BIGINT || '/' || page_id % 40 AS url,
+  'http://moved.example.org/' || floor(page_id / 40)::BIGINT || '/' || CASE WHEN page_id % 40 IN (23, 30) THEN 20 WHEN page_id % 40 = 35 THEN 35
+    ELSE page_id % 40 + 1 END AS target
+FROM pages WHERE page_id % 40 < 11 OR page_id % 40 IN (20, 21, 22, 23, 30, 35)"""
+
+
 @query("resolve_redirects", f"""WITH RECURSIVE {SQL_CAPTURES}, {_CURRENT},
+hop AS (SELECT url, target FROM moving UNION ALL {_LONG_CHAINS}),
 walk AS (
-  SELECT url, target AS final_url, 1 AS hops FROM moving
+  SELECT url, target AS final_url, 1 AS hops FROM hop
   UNION ALL
-  SELECT w.url, m.target, w.hops + 1 FROM walk w JOIN moving m ON m.url = w.final_url WHERE w.hops < 10)
-SELECT w.url, w.final_url, w.hops FROM walk w WHERE NOT EXISTS (SELECT 1 FROM moving m WHERE m.url = w.final_url)""")
+  SELECT w.url, m.target, w.hops + 1 FROM walk w JOIN hop m ON m.url = w.final_url WHERE w.hops < 10),
+ends AS (SELECT * FROM walk w WHERE NOT EXISTS (SELECT 1 FROM hop m WHERE m.url = w.final_url))
+SELECT h.url, e.final_url, e.hops FROM hop h LEFT JOIN ends e ON e.url = h.url""")
 def resolve_redirects(spark, sf):
     current = store.latest_response(derived.responses(spark, sf).where("code <> 304"))
     ready = resp.apply_http_equiv(current.withColumn("text", F.col("body").cast("string")))
-    return redirects.resolve_redirects(cut(redirects.redirect_edges(ready))).select("url", "final_url", "hops")
+    place = F.col("page_id") % 40
+    base = F.concat(F.lit("http://moved.example.org/"), F.floor(F.col("page_id") / 40).cast("string"), F.lit("/"))
+    after = F.when(place.isin(23, 30), 20).when(place == 35, 35).otherwise(place + 1)
+    chains = derived.pages(spark, sf).where((place < 11) | place.isin(20, 21, 22, 23, 30, 35)).select(
+        F.concat(base, place.cast("string")).alias("url"), F.concat(base, after.cast("string")).alias("target"))
+    return redirects.resolve_redirects(redirects.redirect_edges(ready).unionByName(chains)).select("url", "final_url", "hops")
 
 
 _LATEST = "SELECT * FROM captures QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched DESC) = 1"

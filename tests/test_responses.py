@@ -1,6 +1,7 @@
 """Captured responses: loading, decoding, redirects, the store."""
 
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,10 +111,37 @@ def test_redirects(loaded):
     assert "gone.txt" not in finals and "loop-a.txt" not in finals
 
 
-def test_hop_limit(spark):
-    edges = spark.createDataFrame([(f"u{i}", f"u{i + 1}") for i in range(12)], "url string, target string")
-    got = {r.url: r.final_url for r in redirects.resolve_redirects(edges).collect()}
-    assert got["u2"] == "u12" and got["u1"] is None and got["u11"] == "u12"
+def walked(edges, limit):
+    """The same by one step after another."""
+    out = {}
+    for url in edges:
+        at, hops, seen = url, 0, {url}
+        while at in edges and (limit is None or hops < limit):
+            at, hops = edges[at], hops + 1
+            if at in seen:
+                break
+            seen.add(at)
+        out[url] = (at, hops) if at not in edges else (None, None)
+    return out
+
+
+@pytest.mark.parametrize("limit", [1, 2, 7, 8, 10, None])
+def test_pointer_jumping(spark, limit):
+    rng = random.Random(4)
+    edges = {f"u{i}": f"u{i + 1}" for i in range(12)} | {f"long{i}": f"long{i + 1}" for i in range(70)}
+    edges |= {f"c{i}": f"c{(i + 1) % 5}" for i in range(5)} | {"self": "self", "into": "c2"}
+    edges |= {f"hub{i}": "u3" for i in range(300)} | {f"r{i}": f"r{rng.randrange(400)}" for i in range(200)}
+    df = spark.createDataFrame(list(edges.items()), "url string, target string").repartition(3)
+    got = {r.url: (r.final_url, r.hops) for r in redirects.resolve_redirects(df, limit).collect()}
+    assert got == walked(edges, limit)
+    some = spark.createDataFrame([("u2",), ("u2",), ("absent",), ("c1",)], "url string")
+    want = walked(edges, limit)
+    assert sorted((r.url, r.final_url) for r in redirects.resolve_redirects(df, limit, some).collect()) == [("c1", None), ("u2", want["u2"][0])]
+
+
+def test_pointer_jumping_of_nothing(spark):
+    assert redirects.resolve_redirects(spark.createDataFrame([], "url string, target string")).count() == 0
+    assert redirects.resolve_redirects(spark.createDataFrame([], "url string, target string"), None).count() == 0
 
 
 def test_refresh_forms(spark):
