@@ -18,12 +18,13 @@ def page_outcomes(pages: DataFrame, selector=None) -> DataFrame:
     """What filling from each decoded response gives: url, final_url, status, article.
 
     status is `failed` (not 2xx), `other` (not a text page, or empty) or
-    `page`; only pages are parsed.
+    `page`; only pages are parsed. Pages have `data` or its size, `data_bytes`.
     """
     kind = mime(F.col("headers"))
+    size = F.col("data_bytes") if "data_bytes" in pages.columns else F.length("data")
     status = (F.when(~is_ok(F.col("code")), "failed")
               .when(~kind.isin(*MIME_HTML, "text/plain"), "other")
-              .when(F.coalesce(F.length("data"), F.lit(0)) == 0, "other").otherwise("page"))
+              .when(F.coalesce(size, F.lit(0)) == 0, "other").otherwise("page"))
     known = pages.select("url", "final_url", status.alias("status"),
                          F.when(status == "page", F.col("text")).alias("html"))
     return extract_articles(known, "html", "final_url", selector=selector)

@@ -16,6 +16,7 @@ from feedloom.plans import derived
 from feedloom.plans.derived import NOW, SQL_CAPTURES, SQL_ITEMS
 from feedloom.plans.full_text import full_text_documents, full_text_feed
 from feedloom.sources import captures as sources
+from feedloom.sources.archive import Archive, write_archive
 from feedloom.sources.rules import custom_rule, load_rules, rule_by_path
 from feedloom.streaming import captures as streams
 
@@ -358,8 +359,11 @@ def merge_304(spark, sf):
 @query("latest_response", f"""{WITH_CAPTURES}
 SELECT url, code, fetched, md5(html) AS body_md5 FROM ({_LATEST})""")
 def latest_response(spark, sf):
-    return store.latest_response(derived.responses(spark, sf)).select(
-        "url", "code", epoch("fetched_at").alias("fetched"), F.md5("body").alias("body_md5"))
+    return _latest_columns(store.latest_response(derived.responses(spark, sf)))
+
+
+def _latest_columns(df):
+    return df.select("url", "code", epoch("fetched_at").alias("fetched"), F.md5("body").alias("body_md5"))
 
 
 @query("latest_response_as_of", f"""{WITH_CAPTURES}
@@ -965,6 +969,26 @@ def full_text_documents_query(spark, sf):
     return full_text_documents(responses, wanted, NOW, format="rss")
 
 
+def _archived(spark, captures):
+    """An archive of `captures` below the shared folder, and that folder."""
+    folder = _work_folder(spark)
+    write_archive(captures, folder)
+    return Archive(spark, folder), folder
+
+
+@query("full_text_feed_archive", ORACLES["full_text_feed"])
+def full_text_feed_archive(spark, sf):
+    responses, wanted = _world(spark, sf)
+    archive, folder = _archived(spark, responses)
+    return _kept(item_columns(full_text_feed(archive, wanted, NOW, resolve=True)[1]), folder)
+
+
+@query("archive_latest_response", ORACLES["latest_response"])
+def archive_latest_response(spark, sf):
+    archive, folder = _archived(spark, derived.responses(spark, sf))
+    return _kept(_latest_columns(archive.latest_response()), folder)
+
+
 # --- streams ---------------------------------------------------------------------------------------------------------------------------
 def _work_folder(spark):
     """A new folder below the shared checkpoint folder."""

@@ -8,56 +8,69 @@ from pyspark.sql import functions as F
 
 from feedloom.constants import BODY_CAP
 from feedloom.operators import redirects, responses as resp, store
-from feedloom.operators.joins import SALTS, keep_listed, lookup_join, shared_folder
+from feedloom.operators.joins import SALTS, cut, keep_listed, lookup_join, shared_folder
 from feedloom.sources import captures
 
-BASE = "http://localhost:8888/"
-HTML = "HTTP/1.1 200 OK\ncontent-type: text/html; charset=UTF-8\n\n<!DOCTYPE html>\n<html>\n<head>{}</head>\n<body>x</body></html>\n"
-RAW = {
-    "ok.txt": "HTTP/1.1 200 OK\r\ncontent-type: text/plain\r\n\r\nsuccess\r\n",
-    "301-abs.txt": "HTTP/1.1 301 Moved Permanently\nlocation: /ok.txt\n\n",
-    "301-rel.txt": "HTTP/1.1 301 Moved Permanently\nlocation: ./ok.txt\n\n",
-    "301-url.txt": f"HTTP/1.1 301 Moved Permanently\nLocation: {BASE}ok.txt\n\n",
-    "308.txt": "HTTP/1.1 308 Permanent Redirect\nlocation: /ok.txt\n\n/ok.txt\n",
-    "refresh.txt": "HTTP/1.1 200 OK\nrefresh: 0;url=/ok.txt\n\n",
-    "meta-abs.txt": HTML.format('<meta http-equiv="refresh" content="2; url = /ok.txt" />'),
-    "meta-rel.txt": HTML.format('<meta http-equiv="refresh" content="2; url = ./ok.txt" />'),
-    "meta-url.txt": HTML.format(f'<meta http-equiv="Refresh" content="2; URL={BASE}ok.txt" />'),
-    "alternate.txt": HTML.format('<link rel="alternate" type="application/rss+xml" href="/ok.txt" />'),
-    "chain.txt": "HTTP/1.1 302 Found\nlocation: /301-abs.txt\n\n",
-    "loop-a.txt": "HTTP/1.1 302 Found\nlocation: /loop-b.txt\n\n",
-    "loop-b.txt": "HTTP/1.1 302 Found\nlocation: /loop-a.txt\n\n",
-    "gone.txt": "HTTP/1.1 302 Found\nlocation: /not-captured.txt\n\n",
-    "utf8-header.txt": "HTTP/1.1 200 OK\ncontent-type: text/plain; charset=UTF-8\n\nsuccès\n",
-    "twice.txt": "HTTP/1.1 200 OK\nX-A: one\nx-a: two\nno colon here\n\nbody\n\nmore",
-    "head-only.txt": "HTTP/1.1 204 No Content\nx-b: c",
+BASE = "https://wetter.example.net/log/"
+WORD, FAR = "Größe: 7 µm", "今天有雨"
+
+
+def capture(status, *headers, body=b"", eol="\n"):
+    """A raw capture: status line, headers, blank line, body."""
+    return eol.join([f"HTTP/1.1 {status}", *headers, "", ""]).encode() + (body if isinstance(body, bytes) else body.encode())
+
+
+def page_with(tag):
+    return capture("200 OK", "Content-Type: text/html;charset=utf-8", body=f"<title>Station</title>{tag}<p>no rain")
+
+
+HERE = {
+    "measured": capture("200 OK", "content-type: text/plain", body="12.5 C\r\n", eol="\r\n"),
+    "moved/root": capture("301 Gone Elsewhere", "location: /log/measured"),
+    "moved/beside": capture("307 For Now", "location: ../measured", body="see there"),
+    "moved/full": capture("303 See Other", f"LOCATION: {BASE}measured"),
+    "moved/kept": capture("308 For Good", "Location:   /log/measured  "),
+    "wait/header": capture("200 OK", "refresh: 15; URL='/log/measured'"),
+    "wait/root": page_with('<meta content="9;url=/log/measured" http-equiv="REFRESH">'),
+    "wait/beside": page_with("<meta http-equiv='refresh' content='1 ;URL=../measured'/>"),
+    "wait/full": page_with(f'<meta http-equiv="refresh" content="0;url={BASE}measured">'),
+    "announced": page_with('<link href="measured" title="Log" type="application/atom+xml" rel="alternate">'),
+    "twice/moved": capture("302 Found", "location: /log/moved/beside"),
+    "round/one": capture("302 Found", "location: two"),
+    "round/two": capture("301 Moved", "location: three"),
+    "round/three": capture("302 Found", "location: one"),
+    "lost": capture("302 Found", "location: ?nowhere"),
+    "repeated": capture("200 OK", "Wind: north", "wind: south", "a line of its own", body="calm\n\ncalm again"),
+    "no-blank-line": b"HTTP/1.1 205 Start Over\nrain: 3",
+    "code/utf": capture("200 OK", 'content-type: text/plain; Charset="utf-8"', body=WORD),
+    "code/latin": capture("200 OK", "content-type: text/plain; charset=ISO-8859-15", body=WORD.replace("µ", "u").encode("latin-1")),
+    "code/unsaid": capture("200 OK", "content-type: text/plain", body=WORD.encode("cp1252")),
+    "code/unknown": capture("200 OK", "content-type: text/plain; charset=station-7", body=WORD),
+    "code/far": capture("200 OK", "content-type: text/plain; charset=GB2312", body=FAR.encode("gbk")),
+    "code/far-meta": capture("200 OK", "content-type: text/html", body="<meta charset=gb2312>".encode() + FAR.encode("gbk")),
+    "zip/whole": capture("200 OK", "Content-Encoding: gzip", body=gzip.compress(b"rain " * 3)),
+    "zip/cut": capture("200 OK", "Content-Encoding: gzip", body=gzip.compress(b"rain, then sun. " * 500)[:-9]),
+    "zip/not": capture("200 OK", "Content-Encoding: gzip", body="plain after all"),
+    "long": capture("200 OK", "content-type: text/plain", body=b"z" * (BODY_CAP + 70_000)),
 }
 
 
 @pytest.fixture(scope="module")
 def loaded(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("captures")
-    for name, raw in RAW.items():
-        (folder / name).write_bytes(raw.encode())
-    head = b"HTTP/1.1 200 OK\ncontent-type: text/%s\n\n"
-    (folder / "gb-header.txt").write_bytes(head % b"plain; charset=gb2312" + "成功".encode("gbk"))
-    (folder / "gb-meta.txt").write_bytes(head % b"html" + '<meta charset="gb2312">成功'.encode("gbk"))
-    (folder / "latin-header.txt").write_bytes(head % b"plain; charset=iso-8859-1" + "succès".encode("latin-1"))
-    (folder / "latin-missing.txt").write_bytes(head % b"plain" + "succès".encode("latin-1"))
-    (folder / "bad-name.txt").write_bytes(head % b"plain; charset=no-such" + "succès".encode())
-    (folder / "gzip.txt").write_bytes(b"HTTP/1.1 200 OK\ncontent-encoding: gzip\n\n" + gzip.compress(b"success\n"))
-    (folder / "gzip-cut.txt").write_bytes(
-        b"HTTP/1.1 200 OK\ncontent-encoding: gzip\n\n" + gzip.compress(b"success\n" * 400)[:-12])
-    (folder / "big.txt").write_bytes(b"HTTP/1.1 200 OK\ncontent-type: text/plain\n\n" + b"a" * (1 << 20))
+    for name, raw in HERE.items():
+        (folder / name).parent.mkdir(exist_ok=True)
+        (folder / name).write_bytes(raw)
     return captures.load_responses(spark, str(folder), BASE).cache()
 
 
 def test_load(loaded):
     rows = {r.url.removeprefix(BASE): r for r in loaded.collect()}
-    assert rows["ok.txt"].body == b"success\r\n" and rows["ok.txt"].headers == {"content-type": "text/plain"}
-    assert (rows["301-abs.txt"].code, rows["301-abs.txt"].msg) == (301, "Moved Permanently")
-    assert rows["twice.txt"].headers == {"x-a": "one"} and rows["twice.txt"].body == b"body\n\nmore"
-    assert (rows["head-only.txt"].code, rows["head-only.txt"].body) == (204, b"")
+    assert sorted(rows) == sorted(HERE)
+    assert rows["measured"].body == b"12.5 C\r\n" and rows["measured"].headers == {"content-type": "text/plain"}
+    assert (rows["moved/root"].code, rows["moved/root"].msg) == (301, "Gone Elsewhere")
+    assert rows["repeated"].headers == {"wind": "north"} and rows["repeated"].body == b"calm\n\ncalm again"
+    assert (rows["no-blank-line"].code, rows["no-blank-line"].body, rows["no-blank-line"].headers) == (205, b"", {"rain": "3"})
 
 
 def test_load_long_heads_and_folders(spark, tmp_path):
@@ -85,30 +98,28 @@ def test_a_cluster_must_name_its_folder():
 
 def test_decode(loaded):
     rows = {r.url.removeprefix(BASE): r for r in resp.decode_bodies(loaded).collect()}
-    for name in ("utf8-header", "latin-header", "latin-missing", "bad-name"):
-        assert rows[name + ".txt"].text.strip() == "succès", name
-    for name in ("gb-header", "gb-meta"):
-        assert rows[name + ".txt"].text.endswith("成功") and rows[name + ".txt"].encoding == "gbk"
-    assert rows["gzip.txt"].text == "success\n"
-    assert rows["gzip-cut.txt"].text.startswith("success\nsuccess\n")
-    assert len(rows["big.txt"].data) == BODY_CAP
+    assert {n: rows[f"code/{n}"].text for n in ("utf", "unsaid", "unknown")} == dict.fromkeys(("utf", "unsaid", "unknown"), WORD)
+    assert rows["code/latin"].text == WORD.replace("µ", "u")
+    assert rows["code/far"].text == FAR and rows["code/far-meta"].text.endswith(FAR)
+    assert {rows[n].encoding for n in ("code/far", "code/far-meta")} == {"gbk"}
+    assert rows["zip/whole"].text == "rain rain rain " and rows["zip/not"].text == "plain after all"
+    assert rows["zip/cut"].text.startswith("rain, then sun. rain")
+    assert len(rows["long"].data) == BODY_CAP
 
 
 def test_redirects(loaded):
     pages = resp.apply_http_equiv(resp.decode_bodies(loaded))
-    edges = redirects.redirect_edges(pages, "rss")
+    edges = cut(redirects.redirect_edges(pages, "rss"))
     got = {r.url.removeprefix(BASE): r for r in redirects.resolve_redirects(edges).collect()}
-    for name in ("301-abs", "301-rel", "301-url", "308", "refresh", "meta-abs", "meta-rel", "meta-url", "alternate"):
-        assert (got[name + ".txt"].final_url, got[name + ".txt"].hops) == (BASE + "ok.txt", 1), name
-    assert (got["chain.txt"].final_url, got["chain.txt"].hops) == (BASE + "ok.txt", 2)
-    assert got["loop-a.txt"].final_url is None and got["loop-b.txt"].final_url is None
-    assert got["gone.txt"].final_url == BASE + "not-captured.txt"
-    plain = {r.url.removeprefix(BASE) for r in redirects.redirect_edges(pages).collect()}
-    assert "alternate.txt" not in plain
-    finals = {r.url.removeprefix(BASE): r for r in redirects.final_responses(
-        pages, redirects.resolve_redirects(edges)).collect()}
-    assert finals["chain.txt"].text == "success\r\n" and finals["ok.txt"].final_url == BASE + "ok.txt"
-    assert "gone.txt" not in finals and "loop-a.txt" not in finals
+    once = [n for n in HERE if n.startswith(("moved/", "wait/"))] + ["announced"]
+    assert {n: (got[n].final_url, got[n].hops) for n in once} == dict.fromkeys(once, (BASE + "measured", 1))
+    assert (got["twice/moved"].final_url, got["twice/moved"].hops) == (BASE + "measured", 2)
+    assert [got[f"round/{n}"].final_url for n in ("one", "two", "three")] == [None] * 3
+    assert got["lost"].final_url == BASE + "lost?nowhere"
+    assert "announced" not in {r.url.removeprefix(BASE) for r in redirects.redirect_edges(pages).collect()}
+    finals = {r.url.removeprefix(BASE): r for r in redirects.final_responses(pages, redirects.resolve_redirects(edges)).collect()}
+    assert finals["twice/moved"].text == "12.5 C\r\n" and finals["measured"].final_url == BASE + "measured"
+    assert not {"lost", "round/one"} & set(finals)
 
 
 def walked(edges, limit):
