@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 from html import escape
 from html.parser import HTMLParser
+from operator import attrgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -24,7 +26,6 @@ NODE = T.StructType([
     T.StructField("last_desc", T.IntegerType()),    # last element of the subtree
     T.StructField("parent_id", T.IntegerType()),
     T.StructField("depth", T.IntegerType()),
-    T.StructField("path", T.ArrayType(T.IntegerType())),   # ancestors, outermost first
     T.StructField("kids", T.ArrayType(T.IntegerType())),
     T.StructField("tag", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
@@ -69,7 +70,6 @@ CLOSED_BY = {
 # An end tag cannot close an open element of higher rank.
 END_RANK = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180,
             "table": 190, "head": 200, "body": 200, "html": 220}
-MAX_DEPTH = 256     # deeper elements become siblings at this depth
 
 
 # A reference without its semicolon is plain text; scripts and styles hold no references.
@@ -80,6 +80,13 @@ def start_tag(tag, attrs):
     return "<" + tag + "".join(f' {k}="{escape(v, True)}"' for k, v in attrs.items()) + ">"
 
 
+class _Node:
+    """An element while its page is read; the names are those of NODE."""
+
+    __slots__ = ("node_id", "last_desc", "parent_id", "depth", "kids", "tag", "attrs", "t0", "t1", "b0", "b1", "o0", "o1",
+                 "m0", "m1", "a0", "a1", "piece")
+
+
 class _Tree(HTMLParser):
     """Collects the columns of one page. `strict` input is tidy markup of a subtree."""
 
@@ -89,6 +96,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.strict = strict
         self.nodes, self.stack, self.links = [], [], []
+        self.open = {}      # how many elements of each tag are open
         self.frame = {}     # the first <html>, <head> and <body>
         self.text, self.markup = [], []
         self.chars = self.bytes = self.out = 0
@@ -99,75 +107,78 @@ class _Tree(HTMLParser):
     # writing -----------------------------------------------------------------
     def _emit(self, piece):
         self.markup.append(piece)
-        self.out += len(piece.encode("utf-8", "replace"))
+        self.out += _size(piece)
 
     def _open(self, tag, attrs):
-        parent = self.stack[-1] if self.stack else None
-        node = {"node_id": len(self.nodes), "parent_id": parent["node_id"] if parent else None,
-                "depth": len(self.stack), "path": [n["node_id"] for n in self.stack], "kids": [],
-                "tag": tag, "attrs": attrs, "t0": self.chars, "b0": self.bytes, "o0": self.out}
+        node, parent = _Node(), self.stack[-1] if self.stack else None
+        node.node_id, node.parent_id, node.depth = len(self.nodes), parent.node_id if parent else -1, len(self.stack)
+        node.kids, node.tag, node.attrs = [], tag, attrs
+        node.t0, node.b0, node.o0 = self.chars, self.bytes, self.out
         if parent:
-            parent["kids"].append(node["node_id"])
+            parent.kids.append(node.node_id)
         self.nodes.append(node)
         self.stack.append(node)
+        self.open[tag] = self.open.get(tag, 0) + 1
         if tag in ("html", "head", "body"):
             self.frame.setdefault(tag, node)
         if tag == "a":
-            node["slot"], node["piece"] = len(self.links), len(self.text)
+            node.piece = len(self.links), len(self.text)
             self.links.append("")
-        node["a0"] = len(self.links)
+        node.a0 = len(self.links)
         self._emit(start_tag(tag, attrs))
-        node["m0"] = self.out
+        node.m0 = self.out
         return node
 
     def _close(self):
         node = self.stack.pop()
-        node.update(last_desc=len(self.nodes) - 1, t1=self.chars, b1=self.bytes, m1=self.out, a1=len(self.links))
-        if node["tag"] == "a":
-            self.links[node.pop("slot")] = "".join(self.text[node.pop("piece"):])
-        if node["tag"] not in VOID:
-            self._emit(f"</{node['tag']}>")
-        node["o1"] = self.out
+        self.open[node.tag] -= 1
+        node.last_desc, node.t1, node.b1, node.m1, node.a1 = len(self.nodes) - 1, self.chars, self.bytes, self.out, len(self.links)
+        if node.tag == "a":
+            slot, piece = node.piece
+            self.links[slot] = "".join(self.text[piece:])
+        if node.tag not in VOID:
+            self._emit(f"</{node.tag}>")
+        node.o1 = self.out
 
     # implied structure -----------------------------------------------------------
     def _imply(self, tag):
         if not self.stack:
             self._open("html", {})
-        names = [n["tag"] for n in self.stack]
+        last = self.stack[-1].tag
         if tag in ("head", "body", "frameset", "html"):
-            if tag != "head" and names[-1] == "head":
+            if tag != "head" and last == "head":
                 self._close()
             return
-        seen = {self.nodes[k]["tag"] for k in self.nodes[0]["kids"]}
         if tag in HEAD_ONLY:
-            if len(names) == 1 and "head" not in seen and "body" not in seen:
+            if len(self.stack) == 1 and not self._has("head") and not self._has("body"):
                 self._open("head", {})
         else:
-            if names[-1] == "head":
+            if last == "head":
                 self._close()
-                names.pop()
-            if "body" not in names and "head" not in names and "body" not in seen:
+            if not self.open.get("body") and not self.open.get("head") and not self._has("body"):
                 self._open("body", {})
 
+    def _has(self, tag):
+        """Whether the page's element has a child of this tag."""
+        return tag in self.frame and self.frame[tag].depth == 1
+
     # parser events -------------------------------------------------------------------
     def handle_starttag(self, tag, attrs):
         values = {}
         for key, value in attrs:
             values.setdefault(key, value or "")
         if not self.strict:
-            while len(self.stack) > 1 and tag in CLOSED_BY.get(self.stack[-1]["tag"], ()):
+            while len(self.stack) > 1 and tag in CLOSED_BY.get(self.stack[-1].tag, ()):
                 self._close()
             if tag in ("html", "head", "body"):
                 same = self.frame.get(tag)
                 if same is not None:
-                    same["attrs"] = {**values, **same["attrs"]}
+                    same.attrs = {**values, **same.attrs}
                     return
             if tag == "html" and not self.stack:
                 self._open(tag, values)
                 return
             self._imply(tag)
-            while len(self.stack) >= MAX_DEPTH:
-                self._close()
         self._open(tag, values)
         if tag in VOID:
             self._close()
@@ -182,12 +193,12 @@ class _Tree(HTMLParser):
         if tag in VOID or (tag in ("html", "body") and not self.strict):
             return
         rank = END_RANK.get(tag, 100)
-        for back, node in enumerate(reversed(self.stack), 1):
-            if node["tag"] == tag:
+        for back, node in enumerate(reversed(self.stack) if self.open.get(tag) else (), 1):
+            if node.tag == tag:
                 for _ in range(back):
                     self._close()
                 return
-            if END_RANK.get(node["tag"], 100) > rank:
+            if END_RANK.get(node.tag, 100) > rank:
                 break
         if tag == "p" and not self.strict and self.stack:
             self._imply("p")
@@ -196,19 +207,19 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data):
         if not self.strict:
-            where = self.stack[-1]["tag"] if self.stack else None
+            where = self.stack[-1].tag if self.stack else None
             if where in (None, "html", "head"):
                 if not data.strip():
                     return
                 self._imply("p")
-                if self.stack[-1]["tag"] in ("html", "body") and where != "body":
+                if self.stack[-1].tag in ("html", "body") and where != "body":
                     self._open("p", {})
         elif not self.stack:
             return
         self.text.append(data)
         self.chars += len(data)
-        self.bytes += len(data.encode("utf-8", "replace"))
-        self._emit(data if self.stack[-1]["tag"] in RAW else escape(data, False))
+        self.bytes += _size(data)
+        self._emit(data if self.stack[-1].tag in RAW else escape(data, False))
 
     # result ------------------------------------------------------------------------------
     def finish(self, html):
@@ -224,21 +235,58 @@ class _Tree(HTMLParser):
         return self
 
 
+def _size(text):
+    return len(text) if text.isascii() else len(text.encode("utf-8", "replace"))
+
+
 def parse_page(html):
     """Tree of one page as a plain record matching `DOM`."""
-    tree = _Tree().finish(html)
-    for node in tree.nodes:
-        node["attrs"] = list(node["attrs"].items())
-    return {"text": "".join(tree.text).encode("utf-8", "replace"),
-            "markup": "".join(tree.markup).encode("utf-8", "replace"),
-            "links": tree.links, "nodes": tree.nodes}
+    return _columns([_Tree().finish(html)])[0].as_py()
 
 
 _DOM_ARROW = to_arrow_type(DOM)
+_NUMBERS = [f.name for f in NODE if f.dataType == T.IntegerType()]
+
+
+def _lists(kind, lists):
+    """A list array of this type, from a flat one."""
+    values = [x for some in lists for x in some]
+    ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind.value_type), type=kind)
+
+
+def _columns(trees) -> pa.Array:
+    """Trees (None: null) as one array: a flat column for each field of all nodes, cut into pages."""
+    nodes = [n for tree in trees if tree for n in tree.nodes]
+    kind = _DOM_ARROW.field("nodes").type
+    fields = {f.name: f.type for f in kind.value_type}
+    numbers = np.array(list(map(attrgetter(*_NUMBERS), nodes)), np.int32).reshape(len(nodes), len(_NUMBERS))
+    columns = {name: pa.array(numbers[:, k]) for k, name in enumerate(_NUMBERS)}
+    parent = numbers[:, _NUMBERS.index("parent_id")]
+    columns["parent_id"] = pa.array(parent, mask=parent < 0)
+    columns["kids"] = _lists(fields["kids"], [n.kids for n in nodes])
+    columns["tag"] = pa.array([n.tag for n in nodes], pa.string())
+    ends = np.cumsum([0, *(len(n.attrs) for n in nodes)], dtype=np.int32)
+    columns["attrs"] = pa.MapArray.from_arrays(
+        pa.array(ends), pa.array([k for n in nodes for k in n.attrs], pa.string()),
+        pa.array([v for n in nodes for v in n.attrs.values()], pa.string()), type=fields["attrs"])
+    flat = pa.StructArray.from_arrays([columns[name] for name in fields], fields=list(kind.value_type))
+    ends = np.cumsum([0, *(len(tree.nodes) if tree else 0 for tree in trees)], dtype=np.int32)
+    parts = {
+        "text": pa.array([_bytes(tree.text) if tree else b"" for tree in trees], pa.binary()),
+        "markup": pa.array([_bytes(tree.markup) if tree else b"" for tree in trees], pa.binary()),
+        "links": _lists(_DOM_ARROW.field("links").type, [tree.links if tree else [] for tree in trees]),
+        "nodes": pa.ListArray.from_arrays(pa.array(ends), flat, type=kind)}
+    return pa.StructArray.from_arrays([parts[f.name] for f in _DOM_ARROW], fields=list(_DOM_ARROW),
+                                      mask=pa.array([tree is None for tree in trees], pa.bool_()))
+
+
+def _bytes(pieces):
+    return "".join(pieces).encode("utf-8", "replace")
 
 
 def _parse_pages(html: pa.Array) -> pa.Array:
-    return pa.array([None if h is None else parse_page(h) for h in html.to_pylist()], type=_DOM_ARROW)
+    return _columns([None if h is None else _Tree().finish(h) for h in html.to_pylist()])
 
 
 # Non-deterministic only in name: it keeps the optimizer from copying the parse
@@ -265,6 +313,27 @@ def outer_markup(dom: Column, node: Column) -> Column:
     return F.substring(dom.markup, node.o0 + 1, node.o1 - node.o0).cast("string")
 
 
+def under(dom: Column, flags: Column) -> Column:
+    """For every element, whether an ancestor of it is flagged (an array of booleans in node order).
+
+    By pointer jumping: an element looks at its parent, then at what that one
+    knows, and so on in steps of twice the length. So no element needs a list
+    of its ancestors, and a page of any depth takes the logarithm of it in rounds.
+    """
+    deepest = F.array_max(F.transform(dom.nodes, lambda n: n.depth))
+    rounds = F.ceil(F.log2(deepest + 1)).cast("int")
+    start = F.struct(
+        F.transform(dom.nodes, lambda n: F.coalesce(F.get(flags, n.parent_id), F.lit(False))).alias("hit"),
+        F.transform(dom.nodes, lambda n: n.parent_id).alias("up"))
+
+    def step(now, _):
+        hit = F.transform(now["hit"], lambda h, i: h | F.coalesce(F.get(now["hit"], F.get(now["up"], i)), F.lit(False)))
+        return F.struct(hit.alias("hit"), F.transform(now["up"], lambda u: F.get(now["up"], u)).alias("up"))
+
+    return F.aggregate(F.when(rounds > 0, F.sequence(F.lit(1), rounds)).otherwise(F.array().cast("array<int>")),
+                       start, step, lambda now: now["hit"])
+
+
 def descendants(dom: Column, node: Column) -> Column:
     """Elements strictly inside a node: one slice, because ids are document order."""
     return F.slice(dom.nodes, node.node_id + 2, node.last_desc - node.node_id)
@@ -290,9 +359,6 @@ def rewritten_markup(dom: Column, base: Column, drop: tuple = ()) -> Column:
     What changes are spans of the tidy markup: start tags with a link, and
     whole dropped elements that lie in no other. The pieces between them stay.
     """
-    def dropped(nodes, node):
-        return F.exists(node.path, lambda a: F.get(nodes, a).tag.isin(*drop))
-
     def span(node):
         gone = node.tag.isin(*drop) if drop else F.lit(False)
         return F.struct(node.o0.alias("start"), F.when(gone, node.o1).otherwise(node.m0).alias("end"),
@@ -304,7 +370,8 @@ def rewritten_markup(dom: Column, base: Column, drop: tuple = ()) -> Column:
 
     some = F.filter(dom.nodes, touched)
     if drop:
-        some = F.filter(some, lambda n: ~dropped(dom.nodes, n))
+        inner = under(dom, F.transform(dom.nodes, lambda n: n.tag.isin(*drop)))
+        some = let(inner, lambda inner: F.filter(some, lambda n: ~F.get(inner, n.node_id)))
 
     def pieces(spans):
         def piece(s, i):

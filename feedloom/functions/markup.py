@@ -35,12 +35,21 @@ class Element:
         return [p for p in self.parts if not isinstance(p, str)]
 
     def walk(self):
-        yield self
-        for child in self.children():
-            yield from child.walk()
+        stack = [self]
+        while stack:
+            element = stack.pop()
+            yield element
+            stack.extend(reversed(element.children()))
 
     def text(self):
-        return "".join(p if isinstance(p, str) else p.text() for p in self.parts)
+        out, stack = [], [self]
+        while stack:
+            part = stack.pop()
+            if isinstance(part, str):
+                out.append(part)
+            else:
+                stack.extend(reversed(part.parts))
+        return "".join(out)
 
     def link_text(self):
         return " ".join(e.text() for e in self.walk() if e.tag == "a" and e is not self)
@@ -55,9 +64,17 @@ class Element:
         return self.run(0) + " ".join(self.run(i + 1) for i, p in enumerate(self.parts) if not isinstance(p, str))
 
     def html(self):
-        inner = "".join((p if self.tag in RAW else escape(p, False)) if isinstance(p, str) else p.html()
-                        for p in self.parts)
-        return start_tag(self.tag, self.attrs) + inner + ("" if self.tag in VOID else f"</{self.tag}>")
+        out, stack = [], [(self, False)]
+        while stack:
+            part, raw = stack.pop()
+            if isinstance(part, str):
+                out.append(part if raw else escape(part, False))
+                continue
+            out.append(start_tag(part.tag, part.attrs))
+            if part.tag not in VOID:
+                stack.append((f"</{part.tag}>", True))
+            stack.extend((p, part.tag in RAW) for p in reversed(part.parts))
+        return "".join(out)
 
 
 class _Builder(_Tree):
@@ -65,54 +82,53 @@ class _Builder(_Tree):
 
     def __init__(self, strict, keep=()):
         super().__init__(strict)
-        self.flags, self.open, self.root = keep, [], None
+        self.flags, self.elements, self.root = keep, [], None
 
     def _open(self, tag, attrs):
         node = super()._open(tag, attrs)
         element = Element(tag, attrs)
-        element.keep = node["node_id"] < len(self.flags) and bool(self.flags[node["node_id"]])
-        if self.open:
-            self.open[-1].parts.append(element)
+        element.keep = node.node_id < len(self.flags) and bool(self.flags[node.node_id])
+        if self.elements:
+            self.elements[-1].parts.append(element)
         else:
             self.root = self.root or element
-        self.open.append(element)
+        self.elements.append(element)
         return node
 
     def _close(self):
         super()._close()
-        self.open.pop()
+        self.elements.pop()
 
     def handle_data(self, data):
         before = len(self.text)
         super().handle_data(data)
-        if len(self.text) > before and self.open:
-            self.open[-1].parts.append(data)
+        if len(self.text) > before and self.elements:
+            self.elements[-1].parts.append(data)
 
 
-def _clean_children(element, inner=True):
-    """Clean what is inside an element, in one pass over its parts.
+def _clean_inside(root, inner=True):
+    """Clean what is inside an element, innermost elements first, without recursion: pages may be of any depth.
 
-    A <br> followed by text ends the element; the pieces behind are returned
-    as new siblings of it. An element with nothing around it (`inner` false) is not split.
+    A <br> followed by text ends an element; the pieces behind become new
+    siblings of it. A root with nothing around it (`inner` false) is not split.
     """
-    pieces, old = [[]], element.parts
-    for i, part in enumerate(old):
-        if isinstance(part, str):
-            pieces[-1].append(part)
-            continue
-        behind = _clean_children(part)
-        left = _clean(part)
-        if part.tag == "br" and left == [part] and not part.keep and inner and words(element.run(i + 1)):
-            pieces.append([])
-        else:
-            pieces[-1] += left
-        pieces[-1] += behind
-    element.parts = pieces[0]
-    rest = []
-    for piece in pieces[1:]:
-        rest.append(Element(element.tag))
-        rest[-1].parts = piece
-    return rest
+    behind = {}     # of an element: the siblings that follow it
+    for element in reversed(list(root.walk())):
+        pieces, old = [[]], element.parts
+        for i, part in enumerate(old):
+            if isinstance(part, str):
+                pieces[-1].append(part)
+                continue
+            left = _clean(part)
+            if part.tag == "br" and left == [part] and not part.keep and (inner or element is not root) and words(element.run(i + 1)):
+                pieces.append([])
+            else:
+                pieces[-1] += left
+            pieces[-1] += behind.pop(id(part))
+        element.parts, behind[id(element)] = pieces[0], []
+        for piece in pieces[1:]:
+            behind[id(element)].append(Element(element.tag))
+            behind[id(element)][-1].parts = piece
 
 
 def _clean(node):
@@ -155,7 +171,7 @@ def clean_article(markup, keep, inner, base):
     node has a parent on its page.
     """
     root = _Builder(True, keep).finish(markup).root
-    _clean_children(root, inner)
+    _clean_inside(root, inner)
     text, links = root.text(), root.link_text()
     if base:
         absolutize(root, base)

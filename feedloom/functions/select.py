@@ -85,7 +85,7 @@ def first_match(dom: str, selector) -> str:
 def _along(dom: str, item: str, select: Select) -> str:
     nodes = {
         "self": f"array({item})",
-        "ancestor": f"transform({item}.path, a -> get({dom}.nodes, a))",
+        "ancestor": f"filter(slice({dom}.nodes, 1, {item}.node_id), a -> a.last_desc >= {item}.node_id)",
         "child": f"transform({item}.kids, k -> get({dom}.nodes, k))",
         "descendant": f"slice({dom}.nodes, {item}.node_id + 2, {item}.last_desc - {item}.node_id)",
     }[select.axis]

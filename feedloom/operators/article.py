@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedloom.constants import (CLASS_BAD, CLASS_GOOD, TAGS_BAD, TAGS_DANGEROUS, TAGS_GOOD, TAGS_JUNK)
-from feedloom.functions.dom import html_dom, node_link_text, node_text, outer_markup, rewritten_markup
+from feedloom.functions.dom import html_dom, node_link_text, node_text, outer_markup, rewritten_markup, under
 from feedloom.functions.markup import clean_markup
 from feedloom.functions.select import first_match
 from feedloom.functions.text import stride_words
@@ -79,17 +79,16 @@ def with_scores(doms: DataFrame) -> DataFrame:
     def at(i):
         return F.get(F.col("marks"), i).own
 
-    def visited(n):
-        return F.forall(F.slice(n.path, F.lit(4), F.greatest(F.size(n.path) - 3, F.lit(0))), lambda a: at(a) > 0)
+    barred = under(dom, F.transform(dom.nodes, lambda n: (n.depth >= 3) & ~(at(n.node_id) > 0)))
 
-    def spread(n):
+    def spread(n, visited):
         children = F.aggregate(n.kids, F.lit(0.0), lambda acc, k: acc + F.when(at(k) >= 2, at(k) / 2).otherwise(0.0))
-        return F.when(visited(n) & ((n.depth <= 2) | (at(n.node_id) > 0)),
+        return F.when(visited & ((n.depth <= 2) | (at(n.node_id) > 0)),
                       F.coalesce(at(n.node_id), F.lit(0.0)) + children).otherwise(0.0)
 
     return (marked
-            .withColumn("visited", F.transform(dom.nodes, lambda n: (n.node_id > 0) & visited(n)))
-            .withColumn("score", F.transform(dom.nodes, spread)))
+            .withColumn("visited", F.transform(barred, lambda b, i: (i > 0) & ~b))
+            .withColumn("score", F.zip_with(dom.nodes, F.col("visited"), lambda n, v: spread(n, v | (n.node_id == 0)))))
 
 
 def score_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -121,8 +120,9 @@ def with_best(scored: DataFrame, threshold: float = 5, override: Column | None =
     first, second = F.get(F.col("ranked"), F.lit(0)), F.get(F.col("ranked"), F.lit(1))
 
     def chain(node_id):
-        path = F.get(dom.nodes, node_id).path
-        return F.concat(F.array(node_id), F.slice(F.reverse(path), 1, 3))
+        def parent(of):
+            return F.get(dom.nodes, of).parent_id
+        return F.filter(F.array(node_id, parent(node_id), parent(parent(node_id)), parent(parent(parent(node_id)))), lambda a: a.isNotNull())
 
     shared = F.get(F.array_intersect(chain(first.node_id), chain(second.node_id)), F.lit(0))
     best = F.when(first["rank"] <= -threshold, F.coalesce(shared, first.node_id))

@@ -118,8 +118,38 @@ def test_tree_rules():
         ("html", 0), ("body", 1), ("ul", 2), ("li", 3), ("ul", 4), ("li", 5), ("li", 3)]
     assert parse_page("<p>a&amp;&amp b&copy c&lt;<a href='?x=1&copy=2'>&eacute;</a><script>x&y</script>")["text"].decode() == \
         "a&&amp b&copy c<éx&y"
-    deep = parse_page("<div>" * 2000 + "x")
-    assert max(n["depth"] for n in deep["nodes"]) < 256 and deep["text"] == b"x"
+    deep = parse_page("<div>" * 5000 + "x")
+    assert max(n["depth"] for n in deep["nodes"]) == 5001 and deep["text"] == b"x"
+
+
+def test_pages_of_any_depth(spark):
+    words = "words that stand in the middle of the page and count " * 12
+    page = "<div>" * 3000 + f"<article><h1>T</h1><p>{words}</p><p>{words}<a href='z'>z</a></p></article>" + "</div>" * 3000
+    df = spark.createDataFrame([(1, "http://h/", page), (2, "http://h/", "<p>x<script>a<b>c</b></script>" + "<i>" * 4000), (3, None, None)],
+                               "page_id int, url string, html string")
+    found = {r.page_id: r.article for r in article.extract_articles(df).collect()}
+    assert found[1].startswith("<article><h1>T</h1><p>words") and 'href="http://h/z"' in found[1] and found[2] is None
+    assert {r.page_id: r.d for r in article.html_nodes(df).groupBy("page_id").agg(F.max("depth").alias("d")).collect()} == {1: 3004, 2: 4002, 3: None}
+    assert "script" not in article.sanitize_page(df).where("page_id = 2").first().html
+
+
+def test_gate_from_ancestors(spark):
+    import random
+
+    from feedloom.functions.dom import html_dom, under
+
+    rng = random.Random(6)
+    pages = ["", "x", *("".join(rng.choice(["<div>", "<b>", "</div>", "</b>", "<p>", "<script>", "</script>", "t"]) for _ in range(80)) for _ in range(30))]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string").withColumn("dom", html_dom(F.col("html")))
+    flag = F.transform(F.col("dom.nodes"), lambda n: n.tag.isin("b", "script"))
+    for r in df.select("dom.nodes", under(F.col("dom"), flag).alias("inner")).collect():
+        want = []
+        for n in r.nodes:
+            up = n.parent_id
+            while up is not None and r.nodes[up].tag not in ("b", "script"):
+                up = r.nodes[up].parent_id
+            want.append(up is not None)
+        assert r.inner == want
 
 
 def test_offsets(spark):
