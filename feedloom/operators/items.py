@@ -99,26 +99,39 @@ def rank_items(items: DataFrame, order: str = "first", now=None, limit: int | No
     return items.withColumn("rank", F.row_number().over(per_feed)).where(F.col("rank") <= limit)
 
 
-def rank_all_items(items: DataFrame, order: str = "first", now=None, partitions: int | None = None) -> DataFrame:
+def rank_all_items(items: DataFrame, order: str = "first", now=None, partitions: int | None = None,
+                   broadcast_bytes: int = 64 << 20) -> DataFrame:
     """`rank_items` without a limit for feeds of any size.
 
-    Rows are range-partitioned by feed and key, so a huge feed spans many
-    tasks; each row's rank is its place in the task plus the rows of its feed
-    in the tasks before. Items without a feed are ranked as one feed.
+    Only keys are sorted: (feed, time, position) is range-partitioned, so a
+    huge feed spans many tasks, and a key's rank is its place in the task plus
+    the rows of its feed in the tasks before. The items then get their ranks
+    by a join, which moves them once, or not at all if the measured size of the ranks allows
+    a broadcast. Items without a feed are ranked as one feed; rows that repeat
+    a key are numbered in any order, and only they are brought together.
     """
     at = F.coalesce("updated", "time", F.lit(now).cast("timestamp")) if order in ("oldest", "newest") else F.lit(None).cast("timestamp")
     down = order in ("last", "newest")
-    sort = [F.col(c).desc() if down else F.col(c).asc() for c in ("_at", "pos", "_tie")]
+    key = ["_feed", "_at", "_pos"]
+    sort = [F.col(c).desc() if down else F.col(c).asc() for c in ("_at", "_pos")]
     n = partitions or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = items.withColumn("_at", at).withColumn("_tie", F.rand(0))
-    placed = cut(keyed.repartitionByRange(n, F.col("feed_id"), *sort).withColumn("_part", F.spark_partition_id()))
-    local = placed.withColumn("_n", F.row_number().over(Window.partitionBy("feed_id", "_part").orderBy(*sort)))
-    before = Window.partitionBy("_feed").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (placed.groupBy(F.col("feed_id").alias("_feed"), F.col("_part").alias("_in")).agg(F.count("*").alias("_rows"))
-              .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows"))
-    same = local["feed_id"].eqNullSafe(starts["_feed"]) & (local["_part"] == starts["_in"])
-    return local.join(starts, same).withColumn("rank", (F.col("_n") + F.col("_before")).cast("int")).drop(
-        "_at", "_tie", "_part", "_n", "_before", "_feed", "_in")
+    keys = items.select(F.col("feed_id").alias("_feed"), at.alias("_at"), F.col("pos").alias("_pos")).groupBy(*key).agg(F.count("*").alias("_rows"))
+    placed = cut(keys.repartitionByRange(n, F.col("_feed"), *sort).withColumn("_part", F.spark_partition_id()))
+    local = placed.withColumn("_upto", F.sum("_rows").over(Window.partitionBy("_feed", "_part").orderBy(*sort)))
+    before = Window.partitionBy("_f").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (placed.groupBy(F.col("_feed").alias("_f"), F.col("_part").alias("_in")).agg(F.sum("_rows").alias("_own"))
+              .withColumn("_before", F.coalesce(F.sum("_own").over(before), F.lit(0))).drop("_own"))
+    same = local["_feed"].eqNullSafe(starts["_f"]) & (local["_part"] == starts["_in"])
+    ranks = local.join(starts, same).select(*key, "_rows", (F.col("_upto") - F.col("_rows") + F.col("_before") + 1).cast("int").alias("rank"))
+    size = placed.agg(F.sum(F.coalesce(F.octet_length("_feed"), F.lit(0)) + 80), F.max("_rows")).first()
+    ranks = F.broadcast(ranks) if (size[0] or 0) <= broadcast_bytes else ranks
+    ranked = items.withColumn("_when", at)
+    matched = ranked["feed_id"].eqNullSafe(ranks["_feed"]) & ranked["_when"].eqNullSafe(ranks["_at"]) & ranked["pos"].eqNullSafe(ranks["_pos"])
+    ranked = ranked.join(ranks, matched)
+    if (size[1] or 0) > 1:
+        again = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))) - 1
+        ranked = ranked.where("_rows = 1").unionByName(ranked.where("_rows > 1").withColumn("rank", F.col("rank") + again))
+    return ranked.select(*items.columns, "rank")
 
 
 def hard_cap(items: DataFrame, order: str = "first", now=None, lim_item: int = LIM_ITEM) -> DataFrame:

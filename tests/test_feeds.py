@@ -229,6 +229,23 @@ def test_items_without_keys_and_repeats_stay(spark):
     assert ranks == list(range(1, 61))
 
 
+@pytest.mark.parametrize("limit", [0, 64 << 20])
+def test_ranks_of_repeated_and_null_keys(spark, limit):
+    rows = [("a", 1), ("a", 1), ("a", 0), (None, 5), (None, 5), (None, None), ("b", None), ("b", 2), ("b", 2), ("b", 2)]
+    df = spark.createDataFrame([(f, p, None, None, "t" * 9) for f, p in rows], "feed_id string, pos int, time timestamp, updated timestamp, title string")
+    for order in ("first", "last", "newest"):
+        ranked = repair.rank_all_items(df.repartition(3), order, "2024-01-01", 2, limit)
+        assert ranked.columns == [*df.columns, "rank"]
+        got = sorted(((r.feed_id, r.pos, r["rank"]) for r in ranked.collect()), key=str)
+        plain = df.withColumn("rank", F.expr("row_number() OVER (PARTITION BY feed_id ORDER BY pos " + ("ASC" if order == "first" else "DESC") + ")"))
+        assert got == sorted(((r.feed_id, r.pos, r["rank"]) for r in plain.collect()), key=str)
+
+
+def test_ranking_sorts_keys_only(spark, hot):
+    plan = repair.rank_all_items(hot, "newest", "2024-01-01")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "BroadcastHashJoin" in plan  # the sort of the keys is done, the items stay
+
+
 def test_capped_feed_is_one_document(spark, hot):
     feed_rows = hot.select("feed_id", F.lit("T").alias("title"), F.lit("D").alias("desc")).distinct()
     for order in ("newest", "last"):
