@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom.constants import PERMANENT_SECONDS, STORE_SIZE
-from feedloom.operators.joins import lookup_join, seconds_between
+from feedloom.operators.joins import cut, lookup_join, seconds_between
 
 
 def cache_directives(headers: Column) -> Column:
@@ -91,35 +91,56 @@ def latest_response(responses: DataFrame, as_of=None) -> DataFrame:
     return newest(seen, *tie_break())
 
 
-def merge_304(responses: DataFrame, slot_seconds: int = 3600) -> DataFrame:
+def _listed(rows: DataFrame, places: DataFrame, how: str, broadcast_bytes: int) -> DataFrame:
+    """`rows` joined to `places` (url, fetched_at, ...), which are broadcast if their measured size is small."""
+    size = places.agg(F.sum(F.octet_length("url") + 80)).first()[0] or 0
+    return rows.join(F.broadcast(places) if size <= broadcast_bytes else places, ["url", "fetched_at"], how)
+
+
+def merge_304(responses: DataFrame, partitions: int | None = None, broadcast_bytes: int = 64 << 20, hot: int = 10_000) -> DataFrame:
     """A 304 takes code, message, headers, body and time of the last full capture of its URL.
 
-    Adds `revalidated_at`, the time of the 304. The last full capture is found
-    on narrow rows, first inside a time slot, then over the slots of a URL, so
-    even a URL with most of all captures is never sorted in one task.
+    Adds `revalidated_at`, the time of the 304. An as-of search on keys alone:
+    (url, time) is range-partitioned, each task carries the last full capture
+    along, and what a URL brings from earlier tasks is summed up per task, so
+    that a URL with most of all captures spans many tasks. Bodies then meet the
+    304s once: not shuffled at all if the list of 304s is small, else by one
+    join, apart from captures that more than `hot` 304s confirm, whose rows are
+    salted. Of full captures of one instant the first by code, size and hash counts.
     """
-    slot = F.floor(F.unix_seconds("fetched_at") / slot_seconds)
-    full_at = F.when(F.col("code") != 304, F.col("fetched_at"))
-    keys = responses.select("url", "fetched_at", "code", slot.alias("_slot"))
-    inside = Window.partitionBy("url", "_slot").orderBy("fetched_at", F.col("code") == 304)
-    before = Window.partitionBy("url").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = (keys.groupBy("url", "_slot").agg(F.max(full_at).alias("_full"))
+    n = partitions or int(responses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = responses.select("url", "fetched_at", (F.col("code") == 304).alias("_empty")).where("_empty IS NOT NULL")
+    placed = cut(keys.groupBy("url", "fetched_at", "_empty").agg(F.count("*").alias("_rows"))
+                 .repartitionByRange(n, "url", "fetched_at", "_empty").withColumn("_part", F.spark_partition_id()))
+    full_at = F.when(~F.col("_empty"), F.col("fetched_at"))
+    inside = Window.partitionBy("url", "_part").orderBy("fetched_at", "_empty").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("url").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (placed.groupBy("url", "_part").agg(F.max(full_at).alias("_full"))
              .withColumn("_before", F.max("_full").over(before)).drop("_full"))
-    marked = (keys.withColumn("_inside", F.last(full_at, ignorenulls=True).over(
-                  inside.rowsBetween(Window.unboundedPreceding, 0)))
-              .where(F.col("code") == 304).join(slots, ["url", "_slot"])
-              .select("url", F.col("fetched_at").alias("revalidated_at"),
-                      F.coalesce("_inside", "_before").alias("_at")))
-    full = responses.where(F.col("code") != 304)
-    one = Window.partitionBy("url", "fetched_at").orderBy(*tie_break())
-    sources = (full.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-               .withColumn("_key", F.struct("url", "fetched_at")))
-    wanted = (marked.where(F.col("_at").isNotNull())
-              .select("revalidated_at", F.struct("url", F.col("_at").alias("fetched_at")).alias("_key")))
-    merged = lookup_join(wanted, sources, "_key", ["revalidated_at"], how="inner").drop("_key")
-    orphans = (responses.where(F.col("code") == 304)
-               .join(marked.where(F.col("_at").isNull()).select(
-                   "url", F.col("revalidated_at").alias("fetched_at")).distinct(), ["url", "fetched_at"], "left_semi"))
+    marked = cut(placed.withColumn("_inside", F.last(full_at, ignorenulls=True).over(inside)).where("_empty")
+                 .join(parts, ["url", "_part"]).select("url", F.col("fetched_at").alias("revalidated_at"), "_rows",
+                                                       F.coalesce("_inside", "_before").alias("_at")))
+    full = responses.where("code <> 304")
+    sources, ties = full, placed.where("NOT _empty AND _rows > 1").select("url", "fetched_at")
+    if not ties.isEmpty():
+        one = Window.partitionBy("url", "fetched_at").orderBy(*tie_break())
+        first = _listed(full, ties, "left_semi", broadcast_bytes).withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+        sources = _listed(full, ties, "left_anti", broadcast_bytes).unionByName(first)
+    wanted = marked.where("_at IS NOT NULL").select(
+        "url", F.col("_at").alias("fetched_at"), "revalidated_at", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")).alias("_copy")).drop("_copy")
+    size = wanted.agg(F.sum(F.octet_length("url") + 80)).first()[0] or 0
+    if size <= broadcast_bytes:
+        merged = sources.join(F.broadcast(wanted), ["url", "fetched_at"])
+    else:
+        often = cut(wanted.groupBy("url", "fetched_at").count().where(F.col("count") > hot).drop("count"))
+        merged = sources.join(_listed(wanted, often, "left_anti", broadcast_bytes), ["url", "fetched_at"])
+        if not often.isEmpty():
+            key = F.struct("url", "fetched_at").alias("_key")
+            copies = _listed(sources, often, "left_semi", broadcast_bytes).select("*", key)
+            many = _listed(wanted, often, "left_semi", broadcast_bytes).select(key, "revalidated_at")
+            merged = merged.unionByName(lookup_join(many, copies, "_key", ["revalidated_at"], how="inner").drop("_key"))
+    alone = marked.where("_at IS NULL").select("url", F.col("revalidated_at").alias("fetched_at"))
+    orphans = _listed(responses.where("code = 304"), alone, "left_semi", broadcast_bytes)
     never = F.lit(None).cast("timestamp")
     return (full.withColumn("revalidated_at", never)
             .unionByName(merged).unionByName(orphans.withColumn("revalidated_at", never)))

@@ -212,19 +212,54 @@ def test_cacheable(spark):
     assert urls(store.cacheable(df, force_min=0)) == ["a", "b", "c", "d"]
 
 
-@pytest.mark.parametrize("slot", [1, 3600, 10**7])
-def test_merge_304(spark, slot):
+@pytest.mark.parametrize("how", [(1,), (7,), (3, 0), (3, 0, 1)])
+def test_merge_304(spark, how):
     df = responses(
         spark, response("u", "09:00:00", 304), response("u", "10:00:00", body="v1", etag="1"), response("u", "10:30:00", 304),
         response("u", "13:00:00", 304), response("u", "14:00:00", body="v2"), response("u", "14:00:00", 304),
         response("w", "10:00:00", 304))
     got = sorted((r.url, str(r.revalidated_at)[11:16], str(r.fetched_at)[11:16], r.code, r.body.decode())
-                 for r in store.merge_304(df, slot).collect())
+                 for r in store.merge_304(df, *how).collect())
     assert got == [("u", "", "09:00", 304, "b"), ("u", "", "10:00", 200, "v1"), ("u", "", "14:00", 200, "v2"),
                    ("u", "10:30", "10:00", 200, "v1"), ("u", "13:00", "10:00", 200, "v1"),
                    ("u", "14:00", "14:00", 200, "v2"), ("w", "", "10:00", 304, "b")]
 
 
+@pytest.mark.parametrize("how", [(), (5, 0), (5, 0, 20)])
+def test_merge_304_of_a_hot_url(spark, how):
+    """Most captures are of one URL; ties of one instant, repeated 304s and URLs without a full capture occur."""
+    rng, rows = random.Random(9), []
+    for k in range(700):
+        url = "hot" if k % 3 else f"u{rng.randrange(40)}"
+        rows.append((url, rng.choice([304, 304, 304, 304, 200, 404]), rng.randrange(400), f"body {k % 50}"))
+    rows += [("quiet", 304, 1, ""), ("quiet", 304, 1, ""), ("quiet", 200, 5, "late"), ("quiet", 304, 5, "")] + [("quiet", 304, 9, "")] * 3
+    rows += [("hot", 200, 1000, "last")] + [("hot", 304, 1001 + k, "") for k in range(60)]
+    df = spark.createDataFrame(rows, "url string, code int, s int, b string").select(
+        "url", "code", F.lit("m").alias("msg"), F.col("b").cast("binary").alias("body"), F.timestamp_seconds("s").alias("fetched_at")).repartition(6)
+    kept = {}
+    for u, c, t, b in rows:
+        if c != 304:
+            kept.setdefault(u, []).append((t, c, b))
+    want = [(u, c, t, None, b) for u, full in kept.items() for t, c, b in full]
+    for u, c, t, b in rows:
+        if c == 304:
+            last = max((x[0] for x in kept.get(u, []) if x[0] <= t), default=None)
+            ties = [x for x in kept.get(u, []) if x[0] == last]
+            best = min(ties, key=lambda x: (x[1], len(x[2]))) if ties else None
+            want.append((u, best[1], last, t, None) if best else (u, 304, t, None, b))
+    got = [(r.url, r.code, int(r.fetched_at.timestamp()), r.revalidated_at and int(r.revalidated_at.timestamp()),
+            None if r.revalidated_at else r.body.decode()) for r in store.merge_304(df, *how).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_merge_304_shuffles_no_body_for_a_short_list(spark, tmp_path):
+    rows = [(u, c, "m", b"x", f"2024-01-01 0{i}:00:00") for u in "ab" for i, c in enumerate((200, 304, 304, 404, 304))]
+    df = spark.createDataFrame(rows, "url string, code int, msg string, body binary, at string")
+    df.withColumn("fetched_at", F.col("at").cast("timestamp")).drop("at").write.parquet(f"{tmp_path}/c")
+    plan = store.merge_304(spark.read.parquet(f"{tmp_path}/c"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "body" in plan
+
+
 def test_trim(spark):
     df = responses(spark, *[response(f"u{i}", f"10:00:{i:02}") for i in range(9)], response("u0", "11:00:00"))
     assert sorted(r.url for r in store.trim_store(df, 2).collect()) == ["u0", "u8"]
