@@ -831,14 +831,14 @@ def best_node(spark, sf):
         "page_id", "best_tag", F.round("best_score", 6).alias("best_score"))
 
 
-@query("node_override", r"""
-SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'section' WHEN page_id % 3 = 1 THEN 'div' END AS best_tag FROM pages""")
+@query("node_override", f"""
+WITH {_BEST} SELECT picked.page_id, CASE WHEN picked.page_id % 3 = 0 THEN 'section' ELSE e.tag END AS best_tag
+FROM picked LEFT JOIN elements e ON e.page_id = picked.page_id AND e.ord = picked.ord""")
 def node_override(spark, sf):
-    # Wanted is the first <section>; else the parent of the long paragraph, if there is one.
-    long = F.lit("words to read and to count " * 8)
-    given = F.concat(F.lit("<html><body><div><p>"), F.when(F.col("page_id") % 3 == 2, F.lit("short")).otherwise(long), F.lit("</p></div>"),
-                     F.when(F.col("page_id") % 3 == 0, F.lit("<section>x</section>")).otherwise(""), F.lit("</body></html>"))
-    return article.best_node(derived.pages(spark, sf).withColumn("html", given), selector=Select(tag="section")).select("page_id", "best_tag")
+    # Every third page has a <section>, which is wanted wherever it is; the others keep their best element.
+    marked = F.when(F.col("page_id") % 3 == 0, F.replace("html", F.lit("</footer>"), F.lit("<section>x</section></footer>")))
+    given = derived.pages(spark, sf).withColumn("html", F.coalesce(marked, "html"))
+    return article.best_node(given, selector=Select(tag="section")).select("page_id", "best_tag")
 
 
 # Cleaned articles of the test pages: paragraphs without words go, the list of links and the footer go with <body>.
@@ -885,29 +885,27 @@ def link_density(spark, sf):
 _ROOT = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
 
 
-@query("absolute_links", rf"""
-SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1),
-  lambda h: {_ROOT} || h), ' ') AS hrefs, {_ROOT} || '/pics/a.png' AS src, true AS rest
-FROM pages""")
-def absolute_links(spark, sf):
-    with_image = F.replace("html", F.lit("</h1>"), F.lit('</h1><img alt="x" src=" /pics/a.png">'))
-    df = article.absolute_links(derived.pages(spark, sf).withColumn("html", with_image))
-    hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    return df.select("page_id", F.array_join(hrefs, " ").alias("hrefs"),
-                     F.regexp_extract("html", '<img alt="x" src="([^"]*)">', 1).alias("src"), F.contains("html", F.lit("</html>")).alias("rest"))
+# Whole markup of a page: no declaration or comments, what is left open closed, links absolute, and
+# references as characters (one cut off at the end of a title is text); `{}` adds what the query puts behind the heading.
+_WHOLE = rf"""replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  html, '&([a-z]*)</title>', '&amp;\1</title>'), '(</body></html>)?$', '</body></html>'), '<!DOCTYPE[^>]*>|<!--.*?-->', '', 'gs'), '<a href="(/[^"]*)"', '<a href="' || {_ROOT} || '\1"', 'g'),
+  '<br>(</p>)?', '<br></b></p>', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '</h1>', '</h1>' || {{}})"""
 
 
-_FRAGMENT = """'<html><head></head><body><p>' || page_id || '</p>{} behind<a href="' || {} || '">x</a>{}</body></html>'"""
+@query("absolute_links", f"""
+SELECT page_id, {_WHOLE.format("""'<img alt="x" src="' || """ + _ROOT + """ || '/pics/a.png">'""")} AS html FROM pages""")
+def absolute_links(spark, sf):
+    with_image = F.replace("html", F.lit("</h1>"), F.lit('</h1><img alt="x" src=" /pics/a.png">'))
+    return article.absolute_links(derived.pages(spark, sf).withColumn("html", with_image)).select("page_id", "html")
 
 
 @query("sanitize_page", f"""
-SELECT page_id, {_FRAGMENT.format("", _ROOT + " || '/r/' || page_id", " end")} AS html FROM pages""")
+SELECT page_id, regexp_replace({_WHOLE.format("' behind<a href=\"' || " + _ROOT + " || '/r/' || page_id || '\">x</a> end'")},
+  '<script>.*?</script>', '', 'gs') AS html FROM pages""")
 def sanitize_page(spark, sf):
-    given = F.concat(F.lit("<html><head></head><body><p>"), F.col("page_id").cast("string"),
-                     F.lit('</p><script src="s.js">var a = "<p>no</p>";</script> behind<a href="/r/'), F.col("page_id").cast("string"),
-                     F.lit('">x</a><noscript><a href="/n">n</a></noscript><iframe src="/i"></iframe> end</body></html>'))
-    df = article.sanitize_page(derived.pages(spark, sf).withColumn("html", given))
-    return df.select("page_id", "html")
+    dropped = F.concat(F.lit('</h1><script src="s.js">var a = "<p>no</p>";</script> behind<a href="/r/'), F.col("page_id").cast("string"),
+                       F.lit('">x</a><noscript><a href="/n">n</a></noscript><iframe src="/i"></iframe> end'))
+    return article.sanitize_page(derived.pages(spark, sf).withColumn("html", F.replace(F.col("html"), F.lit("</h1>"), dropped))).select("page_id", "html")
 
 
 @query("extract_articles", f"WITH {_CLEANED} SELECT x.page_id, p.url, x.article FROM extracted x JOIN pages p USING (page_id)")
