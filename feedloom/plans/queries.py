@@ -886,9 +886,9 @@ _ROOT = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
 
 
 # Whole markup of a page: no declaration or comments, what is left open closed, links absolute, and
-# references as characters (one cut off at the end of a title is text); `{}` adds what the query puts behind the heading.
+# references as characters (one cut off by a tag is text); `{}` adds what the query puts behind the heading.
 _WHOLE = rf"""replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-  html, '&([a-z]*)</title>', '&amp;\1</title>'), '(</body></html>)?$', '</body></html>'), '<!DOCTYPE[^>]*>|<!--.*?-->', '', 'gs'), '<a href="(/[^"]*)"', '<a href="' || {_ROOT} || '\1"', 'g'),
+  html, '&([a-z]*)<', '&amp;\1<', 'g'), '(</body></html>)?$', '</body></html>'), '<!DOCTYPE[^>]*>|<!--.*?-->', '', 'gs'), '<a href="(/[^"]*)"', '<a href="' || {_ROOT} || '\1"', 'g'),
   '<br>(</p>)?', '<br></b></p>', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '</h1>', '</h1>' || {{}})"""
 
 
