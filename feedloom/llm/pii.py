@@ -1,31 +1,36 @@
 """Personal data: patterns, and information-theoretic sanitisation of what gives them away.
 
 Four patterns find the protected entities of every text. The corpus then tells
-how strongly other words reveal them: a term (a run of three letters or more) in
-the context of an entity's mentions has pointwise mutual information
-PMI = log(c * N / (df(term) * df(entity))) with it, where c counts the
-documents that have the term in the entity's context, df the documents of the
+how strongly other words reveal them: a term (a run of letters and digits) has
+pointwise mutual information PMI = log(c * N / (df(term) * df(entity))) with an
+entity, where c counts the documents that have both, df the documents of the
 whole corpus that hold either, N all documents. The entity's information is
-IC = log(N / df(entity)). A term whose PMI reaches `threshold` of the IC, in
-`support` documents with different contexts at least, discloses the entity; where it stands in such a
-context it is a span of kind `term`, too. Sanitising generalises an entity to
-its kind and removes disclosing terms.
-
-Everything is built-in expressions, joins and sums. A context is WINDOW
-characters to either side, so pairs of term and entity grow with the mentions,
-not with all pairs of a document. Only the pairs and documents that have
-entities go through joins; of all texts, just words are counted.
+IC = log(N / df(entity)). A term whose PMI reaches `threshold` of the IC
+discloses the entity, and every place where it stands in a document with that
+entity is a span of kind `term`, too. What c counts must be `support` documents
+at least, of which `support` and half have different words around the term, so
+that copies of one document do not make all of its words telling. Sanitising
+generalises an entity to its kind and removes disclosing terms.
+
+Everything is built-in expressions, joins and sums. Entities of fewer than
+`support` documents leave first. As c is at most df(entity), a telling term has
+df(term) <= N^(1 - threshold) * df(entity)^threshold; of the documents with
+entities only such terms meet their entities, and of all other documents only
+words that occur among those are counted. Joins by term and row are salted or
+by document; texts of documents without entities do not move.
 
 Defined cases: a null text is empty; spans count code points, ends are
 exclusive; documents with the same id are told apart; without entities there
-are no spans; other columns stay.
+are no spans; a very long text is split into words once and counted by sums
+(its terms and entities meet within its row's key only); other columns stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom.llm.common import cut, fresh, text_of
+from feedloom.operators.joins import lookup_join
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Java forms of the patterns. Possessive, as nothing follows that could need a retry; a match begins where a run does or the last one ended.
@@ -34,8 +39,13 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-TERM = r"\p{L}{3,}"
-WINDOW = 80
+TERM = r"[\p{L}\p{N}]+"
+#: Where a term or what is between two terms begins.
+EDGE = r"(?<=[\p{L}\p{N}])(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])(?=[\p{L}\p{N}])"
+#: Words on either side of a term by which documents differ.
+AROUND = 8
+#: A list of words is broadcast up to this measured size.
+BROADCAST_BYTES = 64 << 20
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -77,19 +87,59 @@ def base(text: Column) -> Column:
              lambda s: F.length(digits(s["value"])).between(8, 15)))
 
 
-def contexts(text: Column, spans: Column) -> Column:
-    """For each span the text before and after it, without words that the window cuts in two."""
-    def around(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - WINDOW + 1, F.lit(1)), F.least(s["start"], F.lit(WINDOW)))
-        after = F.substring(text, s["end"] + 1, F.lit(WINDOW))
-        cut_off = F.when(s["start"] > WINDOW, F.length(F.regexp_extract(before, r"^\p{L}+", 0))).otherwise(0)
-        before_part = F.substring(before, cut_off + 1, F.lit(WINDOW))
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-                        F.lower(F.when(s["kind"] == 0, s["value"]).when(s["kind"] == 1, s["value"]).otherwise(digits(s["value"]))).alias("entity"),
-                        (F.greatest(s["start"] - WINDOW, F.lit(0)) + cut_off).alias("from"), before_part.alias("before"),
-                        F.when(F.length(after) == WINDOW, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after).alias("after"))
+def entity_of(s: Column) -> Column:
+    """What names the entity of a span: its value, of numbers their digits."""
+    return F.lower(F.when(s["kind"] < 2, s["value"]).otherwise(digits(s["value"])))
+
+
+def terms_of(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
+
+
+def frequencies(texts: Column, docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, dt): documents that hold each of the `wanted` terms, each counted once a document.
+
+    A small list is broadcast, so that other words are not even summed; a larger one joins the sums.
+    """
+    words = docs.select(F.explode(F.array_distinct(terms_of(texts))).alias("term"))
+    size = wanted.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("dt"))
+    return words.groupBy("term").agg(F.count("*").alias("dt")).join(wanted, "term", "left_semi")
+
+
+def telling(docs: DataFrame, whole: Column, marked: DataFrame, n: int, threshold: float, support: int) -> tuple[DataFrame, DataFrame]:
+    """(mentions, pairs): (row, kind, entity) of the entities that may be disclosed, and (term, kind, entity) that disclose one.
 
-    return F.transform(spans, around)
+    `marked` has row, base spans and, where there are any, the text.
+    """
+    some = marked.where(F.size("spans") > 0)
+    mentions = some.select("row", F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(
+        s["kind"].alias("kind"), entity_of(s).alias("entity"))))).alias("e")).select("row", "e.*")
+    entities = mentions.groupBy("kind", "entity").agg(F.count("*").alias("de")).where((F.col("de") >= support) & (F.col("de") < n))
+    entities = cut(entities)
+    held = mentions.withColumn("key", F.struct("kind", "entity"))
+    held = cut(lookup_join(held, entities.select(F.struct("kind", "entity").alias("key"), "de"), "key", ["row"], how="inner").drop("key"))
+    most = entities.agg(F.max("de")).first()[0]
+    told = "term string, kind int, entity string"
+    if most is None:
+        return held, docs.sparkSession.createDataFrame([], told)
+    rows = some.join(held.select("row").distinct(), "row", "left_semi").select("row", terms_of(F.col("text")).alias("w"))
+    words = rows.select("row", F.explode(F.transform("w", lambda t, i: F.struct(t.alias("term"), F.xxhash64(
+        F.slice("w", F.greatest(i - AROUND + 1, F.lit(1)), F.least(i, F.lit(AROUND)) + 1 + AROUND)).alias("context")))).alias("x"))
+    words = cut(words.groupBy("row", "x.term").agg(F.min("x.context").alias("context")))
+    own = words.groupBy("term").agg(F.count("*").alias("d")).where(F.col("d") >= support)
+    bound = n ** (1 - threshold) * most ** threshold + 1
+    known = cut(frequencies(whole, docs, cut(own.select("term"))).where(F.col("dt") <= bound))
+    near = lookup_join(words, known, "term", ["row"], how="inner")
+    both = near.join(held, "row").where(F.col("dt") <= F.pow(F.lit(float(n)), F.lit(1 - threshold)) * F.pow("de", F.lit(threshold)) + 1)
+    # A row has a term and an entity once, so rows count documents.
+    sums = both.groupBy("term", "kind", "entity", "dt", "de", "context").agg(F.count("*").alias("c")).groupBy(
+        "term", "kind", "entity", "dt", "de").agg(F.sum("c").alias("c"), F.count("*").alias("d"))
+    enough = (F.col("c") >= support) & (F.col("d") >= support) & (2 * F.col("d") >= F.col("c"))
+    information = F.log(F.lit(float(n)) / F.col("de"))
+    pmi = F.log(F.col("c") * float(n) / (F.col("dt") * F.col("de").cast("double")))
+    return held, cut(sums.where(enough & (pmi >= threshold * information - 1e-12)).select("term", "kind", "entity"))
 
 
 def find(docs: DataFrame, threshold: float = 0.75, support: int = 3, text: str = "text",
@@ -99,42 +149,32 @@ def find(docs: DataFrame, threshold: float = 0.75, support: int = 3, text: str =
     The input is written once with its base spans, so that rows keep their
     identity however often a lost task is run again.
     """
-    row, out = fresh(docs.columns, "_row"), fresh(docs.columns, "spans")
-    ctx = fresh(docs.columns, "_ctx")
+    row, out, own = (fresh(docs.columns, c) for c in ("_row", "spans", "_own"))
     whole = text_of(F.col(f"`{text}`"))
-    marked = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(out, base(whole))
-    marked = marked.withColumn(ctx, contexts(whole, F.col(out)))
     kept = docs.columns if keep is None else keep
-    marked = cut(marked.select(row, *[F.col(f"`{c}`") for c in kept], out, ctx))
-    n = marked.count()
-    mentions = marked.where(F.size(ctx) > 0).select(F.col(row).alias("row"), F.explode(ctx).alias("c")).select("row", "c.*")
-    words = mentions.select("row", "kind", "entity", F.explode(F.concat(
-        F.transform(matches(F.col("before"), TERM), lambda s: F.struct(
-            F.lower(s["value"]).alias("term"), (s["start"] + F.col("from")).alias("start"), (s["end"] + F.col("from")).alias("end"))),
-        F.transform(matches(F.col("after"), TERM), lambda s: F.struct(
-            F.lower(s["value"]).alias("term"), (s["start"] + F.col("end")).alias("start"), (s["end"] + F.col("end")).alias("end"))))).alias("w"),
-        F.xxhash64("before", "after").alias("context")).select("row", "kind", "entity", "context", "w.*")
-    words = cut(words)
-    pairs = words.groupBy("term", "kind", "entity").agg(F.count_distinct("row").alias("c"), F.count_distinct("context").alias("d"))
-    pairs = pairs.where((F.col("c") >= support) & (F.col("d") >= support))
-    entities = mentions.groupBy("kind", "entity").agg(F.count_distinct("row").alias("de"))
-    # Words of all documents, each once a document: summed up before the shuffle.
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit(TERM), F.lit(0)))).alias("term"))
-    frequency = terms.groupBy("term").agg(F.count("*").alias("dt"))
-    known = pairs.join(entities, ["kind", "entity"]).join(frequency, "term")
-    information = F.log(F.lit(float(n)) / F.col("de"))
-    pmi = F.log(F.col("c") * float(n) / (F.col("dt") * F.col("de").cast("double")))
-    telling = known.where((information > 0) & (pmi >= threshold * information)).select("term", "kind", "entity")
-    spotted = words.join(telling, ["term", "kind", "entity"]).select("row", "start", "end").distinct()
-    spotted = spotted.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("more"))
-    joined = marked.join(spotted, marked[row] == spotted["row"], "left").drop("row")
+    marked = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(out, base(whole))
+    marked = cut(marked.select(row, *[F.col(f"`{c}`") for c in kept], out, F.when(F.size(out) > 0, whole).alias(own)))
+    narrow = marked.select(F.col(row).alias("row"), F.col(out).alias("spans"), F.col(own).alias("text"))
+    held, pairs = telling(docs, whole, narrow, marked.count(), threshold, support)
+    key = F.struct("kind", "entity").alias("key")
+    listed = pairs.groupBy(key).agg(F.collect_set("term").alias("terms"))
+    # Of each document that mentions one, the terms that disclose an entity of it.
+    told = cut(lookup_join(held.select("row", key), listed, "key", ["row"], how="inner").select("row", F.explode("terms").alias("term")).distinct())
+    pieces = narrow.join(told.select("row").distinct(), "row", "left_semi").select("row", F.posexplode(F.split("text", EDGE, -1)).alias("at", "piece"))
+    before = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("int"))
+    placed = placed.select("row", F.lower("piece").alias("term"), "start", (F.col("start") + F.length("piece")).alias("end"))
+    spotted = placed.join(told, ["row", "term"], "left_semi").groupBy("row").agg(
+        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("more"))
+    more = fresh(marked.columns, "_more")
+    joined = marked.join(spotted.select(F.col("row").alias(row), F.col("more").alias(more)), row, "left")
     kinds = F.array(*[F.lit(k) for k in KINDS])
     plain = F.transform(F.col(out), lambda s: F.struct(F.element_at(kinds, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     # A term inside of an entity is covered already.
-    free = F.filter(F.coalesce("more", F.array().cast("array<struct<start:int,end:int>>")),
+    free = F.filter(F.coalesce(more, F.array().cast("array<struct<start:int,end:int>>")),
                     lambda t: ~F.exists(F.col(out), lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
     extra = F.transform(free, lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
-    return joined.withColumn(out, F.concat(plain, extra)).drop(row, ctx, "more")
+    return joined.withColumn(out, F.concat(plain, extra)).drop(row, own, more)
 
 
 def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:

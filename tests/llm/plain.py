@@ -34,6 +34,45 @@ def personal(t):
     return [(k, m.start(), m.end()) for k, m in out]
 
 
+def telling(texts, threshold=0.75, support=3, around=8):
+    """For each text the spans of its disclosing terms, by counting all pairs of a term and an entity of a document."""
+    import math
+    import unicodedata
+
+    def words(t):
+        out, at = [], 0
+        while at < len(t):
+            end = at
+            while end < len(t) and unicodedata.category(t[end])[0] in "LN":
+                end += 1
+            if end > at:
+                out.append((t[at:end].lower(), at, end))
+            at = max(end, at + 1)
+        return out
+
+    mentions, found, pairs, df, de = [], [], {}, {}, {}
+    for t in texts:
+        spans = personal(t or "")
+        mentions.append({(k, t[a:b].lower() if k in ("email", "ip") else digits(t[a:b])) for k, a, b in spans})
+        found.append((spans, words(t or "")))
+        for e in mentions[-1]:
+            de[e] = de.get(e, 0) + 1
+        own = {}
+        for i, (w, _, _) in enumerate(found[-1][1]):
+            own.setdefault(w, set()).add(tuple(x[0] for x in found[-1][1][max(0, i - around):i + around + 1]))
+        for w, contexts in own.items():
+            df[w] = df.get(w, 0) + 1
+            for e in mentions[-1]:
+                pairs.setdefault((w, e), []).append(contexts)
+    n, good = len(texts), set()
+    for (w, e), contexts in pairs.items():
+        c, d = len(contexts), len({min(x) for x in contexts})
+        if c >= support and d >= support and 2 * d >= c and n > de[e] and math.log(c * n / (df[w] * de[e])) >= threshold * math.log(n / de[e]) - 1e-12:
+            good.add((w, e))
+    return [[(a, b) for w, a, b in ws if any((w, e) in good for e in m) and not any(a < y and x < b for _, x, y in spans)]
+            for (spans, ws), m in zip(found, mentions)]
+
+
 def secret(t):
     out = [("assign", m) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
     out += [("access", m) for m in ACCESS.finditer(t) if len(m[0]) >= 20]

@@ -314,6 +314,33 @@ def test_personal_terms(spark):
     assert "Zimmerwald" not in clean[0] and "[EMAIL]" in clean[0] and clean[0].endswith("today, thanks") and clean[100] == "nothing to see here"
 
 
+def test_personal_terms_as_plain(spark):
+    """Terms anywhere in a document with the entity, repeated, with digits, in copies, in documents of many entities."""
+    rng = np.random.default_rng(4)
+    filler = [f"w{x}" for x in range(4000)]
+    texts = []
+    for k in range(400):
+        words = rng.choice(filler, int(rng.integers(30, 90))).tolist()
+        if k < 8:
+            words[0], words[-1] = "Zimmerwald", "z.w@clinic.example"
+        if 4 <= k < 12:
+            words[-2:-1] = ["+49 30 1234567", "ward7", "ward7"]
+        if 20 <= k < 24:
+            words += ["10.1.2.3"]
+        texts.append(" ".join(words))
+    texts += [texts[20]] * 30 + [None, "", "10.1.2.3", "Zimmerwald alone", "\u0130stanbul z.w@clinic.example \U0001f642 Zimmerwald-Zimmerwald"]
+    frame = docs(spark, texts).withColumnRenamed("lang", "_more").repartition(5)
+    want = plain.telling(texts)
+    assert sum(map(len, want)) > 20 and want[0] and not want[20] and not want[-2] and len(want[-1]) == 2
+    for limit in (pii.BROADCAST_BYTES, 0):
+        pii.BROADCAST_BYTES, before = limit, pii.BROADCAST_BYTES
+        try:
+            got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "term"] for r in pii.find(frame).collect()}
+        finally:
+            pii.BROADCAST_BYTES = before
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_secrets_base(spark, sf_dir):
     texts = HARD + [t for _, t in texts_of(spark, sf_dir)]
     frame = docs(spark, texts).withColumnRenamed("lang", "SECRETS")
