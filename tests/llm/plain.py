@@ -114,6 +114,36 @@ def components(prints, threshold):
     return [least[root(i)] for i in range(len(prints))]
 
 
+def similar(docs, words=5, least=(4, 5)):
+    """Smallest id reachable over links of a similarity of least[0] / least[1], for each of docs [(id, text)], by counting shared shingles."""
+    sets = []
+    for _, text in docs:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+        sets.append({tuple(w[i:i + words]) for i in range(max(1, len(w) - words + 1))} if w else {()})
+    parent, where = list(range(len(docs))), {}
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, own in enumerate(sets):
+        common = {}
+        for s in own:
+            for j in where.setdefault(s, []):
+                common[j] = common.get(j, 0) + 1
+            where[s].append(i)
+        for j, c in common.items():
+            if least[1] * c >= least[0] * (len(own) + len(sets[j]) - c):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    smallest = {}
+    for i, (n, _) in enumerate(docs):
+        smallest[root(i)] = min(smallest.get(root(i), n), n)
+    return [smallest[root(i)] for i in range(len(docs))]
+
+
 def cut_lines(text):
     """Pieces of a text that begin at a word after a line break or after a word that ends with a punctuation mark."""
     words = list(re.finditer(r"[^\x20\x09-\x0D]+", text))

@@ -18,8 +18,7 @@ def plain_run(spark, sf_dir):
     scored = toxicity.score(docs, toxicity.learn(docs, labels)).collect()
     rows = [(r.doc_id, r.text, r.source) for r in scored if r.score < 0.5]
     texts = plain.line_dedup([(i, t) for i, t, _ in rows])
-    prints = [(i, plain.fingerprint(texts[i], 5)) for i, _, _ in rows]
-    keep = {i for (i, _), c in zip(prints, plain.components(prints, 7)) if i == c}
+    keep = {i for (i, _, _), c in zip(rows, plain.similar([(i, texts[i]) for i, _, _ in rows])) if i == c}
     rows = [(i, texts[i], s) for i, _, s in rows if i in keep]
     taken = {r[0]: (r[1], r[4]) for r in oracle(rows, ["doc_id", "text", "source"], ORACLES["op8_mix_sources"])}
     library = Tokenizer.from_file(bpe.installed())
@@ -34,6 +33,7 @@ def plain_run(spark, sf_dir):
     return +out
 
 
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_run_as_plain(spark, sf_dir):
     got = Counter((r.doc_id, r.source, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect() if r.n_tokens)
     assert got == plain_run(spark, sf_dir)
