@@ -94,13 +94,19 @@ def lexed(text: str, least: float = 0.5) -> list[tuple[int, int]]:
         worth[name] = name_score(name)
     if not any(worth.values()):
         return []
-    changed = True
-    while changed:  # a name is worth what the names are that take their value from it
-        changed = False
-        for name, _, names in found:
-            for other in names:
-                if other in worth and worth[name] > worth[other]:
-                    worth[other], changed = worth[name], True
+    takes: dict[str, list[str]] = {}
+    for name, _, names in found:
+        takes.setdefault(name, []).extend(names)
+    # A name is worth what the names are that take their value from it: from the highest on, each is settled once.
+    settled: set[str] = set()
+    for start in sorted(worth, key=worth.__getitem__, reverse=True):
+        todo = [start]
+        while todo:
+            name = todo.pop()
+            if name not in settled:
+                settled.add(name)
+                worth[name] = worth[start]
+                todo += [other for other in takes.get(name, ()) if other in worth]
     spans = set()
     for name, literals, _ in found:
         for start, end, value in literals:

@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import duckdb
 import numpy as np
@@ -367,3 +368,7 @@ def test_secrets_lexing():
     assert lexed('title = "h7Gk29!xQz"\nname: aaaaaaaaaaaa\npassword = aaaaaa') == []
     assert lexed('a = b\nb = a\npassword = b') == []
     assert lexed("secret_key " + "x" * 50_000) == []
+    chain = 'n0 = "q8Zr41Lm0pTT"\n' + "".join(f"n{k + 1} = n{k}\n" for k in range(20_000))
+    begin = time.perf_counter()
+    assert lexed(chain + "client_secret = n20000") == ["q8Zr41Lm0pTT"]
+    assert time.perf_counter() - begin < 5
