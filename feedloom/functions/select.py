@@ -6,6 +6,7 @@ the name of a lambda variable or an expression that is cheap to repeat.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from feedloom.functions.text import blank_to_null_sql
@@ -69,6 +70,66 @@ class Select:
         return "(" + (" AND ".join(checks) or "true") + ")"
 
 
+_START = re.compile(r"self::|ancestor::|\./(?!/)|(?:\.?//)")
+_AXES = {"self::": "self", "ancestor::": "ancestor", "./": "child"}
+_STEP = re.compile(r"([A-Za-z][\w:-]*|\*)?((?:\[[^\]]*\])*)")
+_TESTS = {"cls": re.compile(r"\[class=([^\]'\"=]+)\]"),
+          "id": re.compile(r"\[@id='([^']*)'\]"),
+          "without": re.compile(r"\[not\(contains\(@class,\s*'([^']*)'\)\)\]"),
+          "having": re.compile(r"\[@([\w:-]+)='([^']*)'\]")}
+_ATTR = re.compile(r"@([\w:-]+)")
+
+
+def _step(path: str, at: int) -> tuple[dict, int]:
+    """One step's tag and tests, and where it ends."""
+    found = _STEP.match(path, at)
+    made = {} if found[1] in (None, "*") else {"tag": found[1]}
+    for test in re.findall(r"\[[^\]]*\]", found[2]):
+        name, match = next(((n, m) for n, t in _TESTS.items() if (m := t.fullmatch(test))), (None, None))
+        if name is None or name in made:
+            raise ValueError(f"condition {test} of {path!r} can't be used")
+        made[name] = match.groups() if name == "having" else match[1]
+    if found[0] == "":
+        raise ValueError(f"{path!r} has no element at {at}")
+    return made, found.end()
+
+
+def parse_select(path: str) -> Select | tuple[Select, ...]:
+    """`Select`s of a written path, several where `|` separates alternatives; the reverse of `str`.
+
+    `//` and `.//` go to descendants, `./` to children, `self::` and `ancestor::`
+    to these; further steps follow `/` and only from descendants. A step is a tag
+    or `*` with any of `[class=x]`, `[@id='x']`, `[not(contains(@class,'x'))]`
+    and `[@name='x']`; a last `/@name` is the attribute to take, `./@name` that
+    of the item. Anything else raises ValueError.
+    """
+    made, at = [], 0
+    while True:
+        start = _START.match(path, at)
+        if not start:
+            raise ValueError(f"{path!r} can't be read at {at}")
+        axis, at = _AXES.get(start[0], "descendant"), start.end()
+        if axis == "child" and (own := _ATTR.match(path, at)):
+            select, at = Select(axis="self", attr=own[1]), own.end()
+        else:
+            step, at = _step(path, at)
+            select = Select(axis=axis, **step)
+            while path[at:at + 1] == "/":
+                if last := _ATTR.match(path, at + 1):
+                    select, at = replace(select, attr=last[1]), last.end()
+                    break
+                if axis != "descendant":
+                    raise ValueError(f"{path!r} goes on after {start[0]}")
+                step, at = _step(path, at + 1)
+                select = select / Select(**step)
+        made.append(select)
+        if at == len(path):
+            return made[0] if len(made) == 1 else tuple(made)
+        if path[at] != "|":
+            raise ValueError(f"{path!r} can't be read at {at}")
+        at += 1
+
+
 def _alternatives(selector) -> tuple:
     return selector if isinstance(selector, (tuple, list)) else (selector,)
 

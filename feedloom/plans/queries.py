@@ -19,7 +19,7 @@ from feedloom.plans.derived import NOW, SQL_CAPTURES, SQL_ITEMS
 from feedloom.plans.full_text import full_text_documents, full_text_feed
 from feedloom.sources import captures as sources
 from feedloom.sources.archive import Archive, write_archive
-from feedloom.sources.rules import custom_rule, load_rules, rule_by_path
+from feedloom.sources.rules import custom_rule, load_rules, rule_by_path, rules_from_table
 from feedloom.streaming import captures as streams
 
 QUERIES, ORACLES = {}, {}
@@ -497,6 +497,16 @@ def dispatch_rules(spark, sf):
         F.size("feed.items").cast("bigint").alias("n"))
 
 
+@query("dispatch_loaded_rules", ORACLES["dispatch_rules"])
+def dispatch_loaded_rules(spark, sf):
+    """The same documents by rules that are read back from their table."""
+    table = load_rules(spark)
+    parsed = feeds.dispatch_rules(derived.feed_docs(spark, sf), rules=rules_from_table(table))
+    return parsed.join(F.broadcast(table.select("rule", "rule_order", "mode")), "rule", "left").select(
+        "feed_id", "rule", "rule_order", "mode", "feed.title", "feed.desc",
+        F.size("feed.items").cast("bigint").alias("n"))
+
+
 _FORMS = 8
 
 

@@ -5,10 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.functions.select import Select
+from feedloom.functions.select import Select, parse_select
 from feedloom.operators import exports, feeds, fill, items as repair
 from feedloom.plans.full_text import full_text_documents, full_text_feed
-from feedloom.sources.rules import RULES, custom_rule, load_rules
+from feedloom.sources.rules import CUSTOM_DEFAULTS, RULES, custom_rule, load_rules, read_rules, rules_from_table
 
 TITLE, DESC = "Harbour bulletin", "Notices from the quay"
 VALUES = ("Ferry runs again", "https://quay.example/ferry/17", "Crossings on the hour", "The ferry sails from pier four")
@@ -192,6 +192,60 @@ def test_rules_table(spark):
     assert len(rules[6].path) == 4 and rules[1].exprs["items"] == "/rss/channel/item"
 
 
+def test_rules_from_their_table(spark):
+    assert rules_from_table(load_rules(spark)) == RULES
+    own = custom_rule((Select(tag="li", cls="x") / Select(tag="p", having=("lang", "a")), Select(cls="y", id="z", without="w")))
+    assert rules_from_table(load_rules(spark, [own])) == [own]
+
+
+def test_rules_from_a_file(spark, tmp_path):
+    (tmp_path / "own.ini").write_text("""
+[shelf]
+mode = xml
+timeformat = %Y
+items = /shelf/book
+item_title = name
+mimetype = text/xml
+
+[boards]
+path =
+  http://boards.test/*
+  https://boards.test/b?q=*
+items = //table[class=post]|//div[class=post][not(contains(@class,'ad'))]
+item_title = .//h2
+item_link = ./@href
+item_desc = ./p
+""")
+    shelf, boards = read_rules(spark, str(tmp_path / "own.ini"))
+    assert (shelf.mode, shelf.timeformat, shelf.exprs) == ("xml", "%Y", {"items": "/shelf/book", "item_title": "name"})
+    assert boards.mode == "html" and boards.path == ("http://boards.test/*", "https://boards.test/b?q=*")
+    assert boards.exprs == {
+        "items": (Select(tag="table", cls="post"), Select(tag="div", cls="post", without="ad")),
+        "item_title": Select(tag="h2"), "item_link": Select(axis="self", attr="href"), "item_desc": Select(tag="p", axis="child")}
+    rows = [("a", "http://boards.test/1", "<div class='post' href='/x'><h2>T</h2><p>d</p></div><div class='post ad'><h2>no</h2></div>"),
+            ("b", None, "<shelf><book><name>N</name></book></shelf>")]
+    parsed = feeds.dispatch_rules(spark.createDataFrame(rows, "feed_id string, feed_url string, text string"), rules=[shelf, boards])
+    assert {(r.feed_id, r.title, r.link, r.desc) for r in feeds.item_rows(parsed).collect()} == {("a", "T", "/x", "d"), ("b", "N", None, None)}
+
+
+def test_written_paths(spark):
+    for rule in RULES:
+        for expr in rule.exprs.values() if rule.mode == "html" else ():
+            assert parse_select("|".join(map(str, expr)) if isinstance(expr, tuple) else str(expr)) == expr
+    for expr in CUSTOM_DEFAULTS.values():
+        assert parse_select("|".join(map(str, expr)) if isinstance(expr, tuple) else str(expr)) == expr
+    for wrong in ("", "div", "//", "//div[position()=1]", "./a/b", "//a/@href/b", "//a|", "//a//b", "self::a/b", "//a[class=x][class=y]"):
+        with pytest.raises(ValueError):
+            parse_select(wrong)
+
+
+def test_rules_that_cannot_be_used(spark, tmp_path):
+    for i, text in enumerate(("[a]\nmode = html\n", "[a]\nmode = pdf\nitems = //a\n", "[a]\nitems = //a[1]\n")):
+        (tmp_path / f"{i}.ini").write_text(text)
+        with pytest.raises(ValueError, match="rule a"):
+            read_rules(spark, str(tmp_path / f"{i}.ini"))
+
+
 # --- order, caps, parts -----------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def hot(spark):
