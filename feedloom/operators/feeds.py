@@ -29,6 +29,7 @@ _XML = (f"channel struct<title:array<string>,description:array<string>,item:arra
         f"entry array<{_ENTRY}>, _broken string")
 _XML_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
 _PROLOG = r"(?s)^(?:\s|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*(?:\[.*?\]\s*)?>)*"
+_CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 _DECLARED = "".join(f' xmlns:{p}="{u}"' for p, u in (
     ("content", NS_CONTENT), ("feedburner", NS_FEEDBURNER), ("rdf", NS_RDF)))
 
@@ -37,17 +38,22 @@ _DECLARED = "".join(f' xmlns:{p}="{u}"' for p, u in (
 def repair_xml(text: Column) -> Column:
     """Make broken XML readable: junk in front and control characters dropped, named references and
     bare ampersands turned into proper XML. CDATA sections are left alone."""
+    bare = r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)"
+
     def outside(part):
-        return F.regexp_replace(named_entities_to_text(part),
-                                r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)", "&amp;")
+        return F.when(part.rlike(bare), F.regexp_replace(named_entities_to_text(part), bare, "&amp;")).otherwise(part)
 
     def ampersands(clean):
         parts = F.split(clean, r"(?=<!\[CDATA\[)|(?<=\]\]>)")
         fixed = F.transform(parts, lambda p: F.when(p.startswith("<![CDATA["), p).otherwise(outside(p)))
-        return F.when(clean.contains("&"), F.array_join(fixed, "")).otherwise(clean)
+        return (F.when(~clean.contains("&"), clean).when(clean.contains("<![CDATA["), F.array_join(fixed, ""))
+                .otherwise(outside(clean)))
+
+    def readable(begun):
+        return let(F.when(begun.rlike(_CONTROL), F.regexp_replace(begun, _CONTROL, "")).otherwise(begun), ampersands)
 
-    return let(F.regexp_replace(F.regexp_replace(text, r"^[^<]+", ""), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", ""),
-               ampersands)
+    # Most documents need little repair: what is fine is looked at, not copied.
+    return let(F.when(text.startswith("<"), text).otherwise(F.regexp_replace(text, r"^[^<]+", "")), readable)
 
 
 def _prefix_of(text: Column, namespace: str) -> Column:
