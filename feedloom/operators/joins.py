@@ -23,6 +23,22 @@ def lookup_join(facts: DataFrame, dim: DataFrame, on: str, row_key: list[str], s
     return salted.join(dim.join(groups, on), [on, "_salt"], how).drop("_salt")
 
 
+def lookup_wide(facts: DataFrame, dim: DataFrame, on: str, row_key: list[str], max_bytes: int = 64 << 20,
+                most: int = SALTS) -> DataFrame:
+    """The inner `lookup_join` of narrow rows to wide ones that stay where they are if that is cheap.
+
+    The narrow rows are broadcast if their measured size is at most `max_bytes`
+    and no key has more than `most` of them; else the wide rows move. `facts`
+    is read twice: cut it if it is costly.
+    """
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 24 for c in facts.columns), F.lit(0))
+    keys = facts.groupBy(on).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"))
+    total, hottest = keys.agg(F.sum("bytes"), F.max("rows")).first()
+    if (total or 0) <= max_bytes and (hottest or 0) <= most:
+        return dim.join(F.broadcast(facts), on)
+    return lookup_join(facts, dim, on, row_key, how="inner")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that `spark.checkpoint.dir` names, which all executors share.
 

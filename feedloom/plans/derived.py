@@ -32,19 +32,13 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     page = pages(spark, sf_dir)
     nxt = page.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_url"))
-    p = page.join(nxt, "page_id", "left")
-    pid = F.col("page_id")
-    first = p.select(
-        "page_id", "url", "next_url", "html", F.lit(0).alias("visit"),
-        (F.timestamp_seconds(F.lit(1704067200) + pid * 60)).alias("fetched_at"),
-        F.when((pid % 7 == 0) & F.col("next_url").isNotNull(), 301).when(pid % 13 == 0, 404).otherwise(200)
-        .alias("code"))
-    second = p.where(pid % 2 == 0).select(
-        "page_id", "url", "next_url", "html", F.lit(1).alias("visit"),
-        (F.timestamp_seconds(F.lit(1704067200 + 86400) + pid * 60)).alias("fetched_at"),
-        F.when(pid % 4 == 0, 304).when((pid % 7 == 0) & F.col("next_url").isNotNull(), 301)
-        .when(pid % 13 == 0, 404).otherwise(200).alias("code"))
-    both = first.unionByName(second)
+    pid, visit = F.col("page_id"), F.col("visit")
+    # Both visits come out of one join, which moves every page.
+    visits = F.when(pid % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    both = page.join(nxt, "page_id", "left").withColumn("visit", F.explode(visits)).withColumns({
+        "fetched_at": F.timestamp_seconds(F.lit(1704067200) + visit * 86400 + pid * 60),
+        "code": F.when((visit == 1) & (pid % 4 == 0), 304).when((pid % 7 == 0) & F.col("next_url").isNotNull(), 301)
+        .when(pid % 13 == 0, 404).otherwise(200)})
     html = F.concat(
         F.when((pid % 17 == 0) & F.col("next_url").isNotNull(), F.concat(
             F.lit('<meta http-equiv="Refresh" content="3; url='), "next_url", F.lit('">'))).otherwise(""),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from feedloom.constants import LIM_ITEM, MAX_HOPS, MAX_ITEM
 from feedloom.functions.urls import sanitize_url
 from feedloom.operators import exports, feeds as dialects, fill, items as repair
-from feedloom.operators.joins import cut, keep_listed, lookup_join
+from feedloom.operators.joins import cut, keep_listed, lookup_join, lookup_wide
 from feedloom.operators.redirects import next_url
 from feedloom.operators.responses import apply_http_equiv, decode_bodies, is_ok
 from feedloom.operators.store import latest_response
@@ -141,9 +141,9 @@ def full_text_feed(responses: DataFrame | Archive, wanted: DataFrame, now, *, or
                           sanitize_url(F.col("feed_url")).alias("url"))
     ends, found = look_up(asked, captures, None if rule else "rss")
     found = found.where(is_ok(F.col("code"))).select(F.col("final_url").alias("feed_url"), "text")
-    docs = lookup_join(asked, ends, "url", ["feed_id"], how="inner").select(
-        "feed_id", "asked_url", F.col("final_url").alias("feed_url"))
-    docs = cut(lookup_join(docs, found, "feed_url", ["feed_id"], how="inner"))
+    docs = cut(lookup_join(asked, ends, "url", ["feed_id"], how="inner").select(
+        "feed_id", "asked_url", F.col("final_url").alias("feed_url")))
+    docs = lookup_wide(docs, found, "feed_url", ["feed_id"])
     if rule is None:
         parsed = dialects.dispatch_rules(docs, url="asked_url")
     else:

@@ -978,14 +978,27 @@ full_items AS (
 SELECT feed_id, pos, title, final_link AS link, "desc", content, time, updated FROM full_items""")
 def full_text_feed_query(spark, sf):
     responses, wanted = _world(spark, sf)
-    return item_columns(full_text_feed(responses, wanted, NOW, resolve=True)[1])
+    captures, folder = _written(spark, responses)
+    items = full_text_feed(captures, wanted, NOW, resolve=True)[1]
+    _remove(spark, folder)      # what is still to do reads checkpoints
+    return item_columns(items)
 
 
 @query("full_text_documents", _RSS_SQL.replace("{part}", "0 AS part,").replace(WITH_ITEMS, _FULL).replace(
     "FROM items GROUP BY", "FROM full_items GROUP BY"))
 def full_text_documents_query(spark, sf):
     responses, wanted = _world(spark, sf)
-    return full_text_documents(responses, wanted, NOW, format="rss")
+    captures, folder = _written(spark, responses)
+    documents = full_text_documents(captures, wanted, NOW, format="rss")
+    _remove(spark, folder)
+    return documents
+
+
+def _written(spark, captures):
+    """`captures` as a table below the shared folder, so that reading pages again does not build them again, and that folder."""
+    folder = _work_folder(spark)
+    captures.write.parquet(f"{folder}/captures")
+    return spark.read.parquet(f"{folder}/captures"), folder
 
 
 def _archived(spark, captures):
@@ -1017,10 +1030,14 @@ def _work_folder(spark):
 def _kept(df, folder):
     """`df` cut off from the folder it is read from, which goes."""
     kept = cut(df)
-    context = df.sparkSession.sparkContext
+    _remove(df.sparkSession, folder)
+    return kept
+
+
+def _remove(spark, folder):
+    context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    return kept
 
 
 def _spool(df, folder, days):
