@@ -216,7 +216,8 @@ def decode_bodies(spark, sf):
     def zip_all(bodies):
         return pa.array([None if b is None else gzip.compress(b) for b in bodies.to_pylist()], pa.binary())
 
-    zipped = F.arrow_udf(by_parts(zip_all), "binary")
+    # See `html_dom` for why it is marked non-deterministic.
+    zipped = F.arrow_udf(by_parts(zip_all), "binary").asNondeterministic()
     raw = derived.pages(spark, sf).select(
         "page_id", F.lit(200).alias("code"), F.map_concat(F.create_map(F.lit("content-type"), kind), says).alias("headers"),
         F.coalesce(zipped(F.when(F.col("page_id") % 5 == 0, body)), body).alias("body"))

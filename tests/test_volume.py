@@ -52,3 +52,7 @@ def test_wide_rows_stay_if_the_narrow_ones_are_few(spark):
         assert sorted((r.row, r.k, r.text) for r in got.collect()) == want
         assert ("_salt" not in plan(got)) == stays
     assert lookup_wide(narrow.limit(0), wide, "k", ["row"]).count() == 0
+
+
+def test_bodies_are_zipped_once(spark, tables):
+    assert plan(queries.QUERIES["decode_bodies"](spark, tables)).count("ArrowEvalPython") == 3
