@@ -1,6 +1,7 @@
 """Python steps work through a batch in parts of bounded size, whatever Spark sends them."""
 
 import gzip
+import tracemalloc
 
 import pyarrow as pa
 
@@ -42,3 +43,29 @@ def test_bodies_of_a_batch_are_decoded_in_parts():
     zipped = [gzip.compress(b) for b in bodies]
     parts = list(_gunzip_udf.func(iter([pa.array(zipped)])))
     assert max(p.nbytes for p in parts) < 64 << 10 and [b for p in parts for b in p.to_pylist()] == bodies
+
+
+def _peak(step, batches):
+    """Most bytes that Python held while the step took these batches."""
+    tracemalloc.start()
+    for _ in step(batches):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_memory_follows_neither_the_batch_nor_the_input():
+    page = "<div><p>" + "word " * 2000 + "</p></div>"
+
+    def pages(n):
+        return pa.array([page] * n)
+
+    def subtrees(n):
+        return pages(n), pa.array([[True, True]] * n), pa.array([True] * n), pa.array(["http://a/"] * n)
+
+    for step, batch in ((html_dom.func, pages), (clean_markup.func, subtrees)):
+        _peak(step, iter([batch(10)]))
+        small = _peak(step, (batch(250) for _ in range(2)))
+        assert _peak(step, iter([batch(2000)])) < 1.3 * small
+        assert _peak(step, (batch(250) for _ in range(10))) < 1.3 * small
