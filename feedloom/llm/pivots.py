@@ -14,6 +14,11 @@ Pivots are a sample of PIVOTS vectors by a hash. Annuli have at least
 ANNULUS_ROWS vectors and number at most MAX_ANNULI, so that their table, which
 every task gets, has a fixed bound.
 
+A task holds no more than VISITS pairs of a query and an annulus, sends their
+rows on by SENT_ROWS, and scores SCORED queries of a block at a time, however
+many vectors, queries and annuli there are. The second pass leaves out what is
+below the k-th answer of the first, so most visits send nothing back.
+
 Defined cases: null and non-finite vectors take no part, zero vectors do; equal
 integer vectors are searched once and answer by smaller ids; ties go to smaller
 ids; fewer than k other vectors give fewer rows; no vectors give no rows.
@@ -32,6 +37,7 @@ from feedloom.llm import vectors as V
 from feedloom.llm.common import cut
 
 PIVOTS, ANNULUS_ROWS, MAX_ANNULI, HOMES = 16, 2048, 65_536, 2
+VISITS, SENT_ROWS, SCORED = 1 << 19, 2048, 256
 SCALE = 256
 SLACK = 1e-6
 
@@ -81,42 +87,56 @@ def search(df: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     ring_pivot, ring_no = np.array([r.pivot for r in rings]), np.array([r.ring for r in rings])
     lo, hi = np.array([r.lo for r in rings]), np.array([r.hi for r in rings])
 
+    step = max(1, VISITS // len(rings))
+
     def sent(queries_of: DataFrame, first: bool) -> DataFrame:
         """Queries with the annuli that they visit: those around their own distance first, then all others that the bound leaves."""
-        def run(frames):
-            for f in frames:
-                q = V.matrix(f["vec"])
-                d = distances(np.hstack([q, np.zeros((len(q), 1))]))
-                gap = np.maximum(0, np.maximum(lo[None, :] - d[:, ring_pivot], d[:, ring_pivot] - hi[None, :]))
+        def run(batches):
+            for part in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
+                q = part["vec"].flatten().to_numpy().reshape(part.num_rows, -1)
+                d = distances(np.hstack([q, np.zeros((len(q), 1))]))[:, ring_pivot]
+                gap = np.maximum(0, np.maximum(lo[None, :] - d, d - hi[None, :]))
                 home = np.zeros(gap.shape, bool)
-                near = np.argsort(gap + 1e-9 * d[:, ring_pivot], axis=1, kind="stable")[:, :HOMES]
+                near = np.argsort(gap + 1e-9 * d, axis=1, kind="stable")[:, :HOMES]
                 np.put_along_axis(home, near, True, axis=1)
-                visit = home if first else ~home & (gap <= f["bound"].to_numpy()[:, None] + SLACK)
-                row, col = np.nonzero(visit)
-                yield pd.DataFrame({"qid": f["qid"].to_numpy()[row], "vec": pd.Series([f["vec"].iloc[i] for i in row], dtype=object),
-                                    "bound": f["bound"].to_numpy()[row], "own": d[row, ring_pivot[col]],
-                                    "pivot": ring_pivot[col], "ring": ring_no[col]})
+                row, col = np.nonzero(home if first else ~home & (gap <= part["bound"].to_numpy()[:, None] + SLACK))
+                own = d[row, col]
+                for at in range(0, len(row), SENT_ROWS):
+                    some = slice(at, at + SENT_ROWS)
+                    yield pa.record_batch([*part.take(pa.array(row[some])).columns, pa.array(own[some]),
+                                           pa.array(ring_pivot[col[some]], pa.int32()), pa.array(ring_no[col[some]], pa.int32())],
+                                          [*part.schema.names, "own", "pivot", "ring"])
 
-        return queries_of.mapInPandas(run, "qid long, vec array<double>, bound double, own double, pivot int, ring int")
+        return V.dealt(queries_of, "qid").mapInArrow(
+            run, "qid long, vec array<double>, bound double, least double, own double, pivot int, ring int")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("d").reset_index(drop=True)
-        x, q, d = V.matrix(left["vec"]), V.matrix(right["vec"]), left["d"].to_numpy()
-        scores = q @ x.T
-        # Of the sorted annulus only distances within the bound of the query's own can win.
-        bound, own = right["bound"].to_numpy() + SLACK, right["own"].to_numpy()
-        start, stop = np.searchsorted(d, own - bound), np.searchsorted(d, own + bound, "right")
-        column = np.arange(len(d))[None, :]
-        scores[(column < start[:, None]) | (column >= stop[:, None])] = -np.inf
-        return V.best_members(left, right, scores, lambda r, cols: np.rint((x[cols] * q[r]).sum(1)), k + 1)
-
-    open_bound = queries.withColumn("bound", F.lit(float("inf")))
+        x, d = V.matrix(left["vec"]), left["d"].to_numpy()
+        column, longest_x, found = np.arange(len(d))[None, :], np.linalg.norm(x, axis=1).max(), []
+        for at in range(0, len(right), SCORED):
+            some = right.iloc[at:at + SCORED]
+            q = V.matrix(some["vec"])
+            scores = q @ x.T
+            # Of the sorted annulus only distances within the bound of the query's own can win,
+            bound, own = some["bound"].to_numpy() + SLACK, some["own"].to_numpy()
+            start, stop = np.searchsorted(d, own - bound), np.searchsorted(d, own + bound, "right")
+            scores[(column < start[:, None]) | (column >= stop[:, None])] = -np.inf
+            # and of those only what is not below the k-th answer so far; both sums may be rounded.
+            error = 2 * x.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * longest_x
+            scores[scores < (some["least"].to_numpy() - 2 * error)[:, None]] = -np.inf
+            hit = np.flatnonzero((scores > -np.inf).any(1))
+            found.append(V.best_members(left, some.iloc[hit], scores[hit], lambda r, cols: np.rint((x[cols] * q[hit[r]]).sum(1)), k + 1))
+        return pd.concat(found, ignore_index=True)
+
+    open_bound = queries.select("qid", "vec", F.lit(float("inf")).alias("bound"), F.lit(float("-inf")).alias("least"))
     near = cut(V.block_search(placed, sent(open_bound, True), ["pivot", "ring"], score, V.FOUND))
     kth = V.merged(near, k + 1).groupBy("qid").agg(F.min("score").alias("score"), F.count("*").alias("c"))
     # Squared distance is |q|^2 + longest - 2 * score. With fewer than k + 1 answers nothing is bounded yet.
     bound = F.sqrt(F.greatest(F.lit(0.0), square + F.lit(float(longest)) - 2 * F.col("score")))
-    bounded = queries.join(kth, "qid", "left").withColumn(
-        "bound", F.when(F.col("c") > k, bound).otherwise(F.lit(float("inf")))).select("qid", "vec", "bound")
+    bounded = queries.join(kth, "qid", "left").select(
+        "qid", "vec", F.when(F.col("c") > k, bound).otherwise(F.lit(float("inf"))).alias("bound"),
+        F.when(F.col("c") > k, F.col("score")).otherwise(F.lit(float("-inf"))).alias("least"))
     far = V.block_search(placed, sent(bounded, False), ["pivot", "ring"], score, V.FOUND)
     return whole(V.answers(V.merged(near.union(far), k + 1), asked, k))
 

@@ -107,6 +107,44 @@ def test_best_of_a_block_and_repeated_rows(spark):
         assert [v for _, v in sorted(got[100])] == ([*range(101, 106)] if k == 5 else [*range(101, 116), *range(0, 5)])
 
 
+def test_exact_search_takes_bounded_parts(spark, monkeypatch):
+    """Visits leave a task in short batches, and a full block is scored in little memory."""
+    import tracemalloc
+
+    import pandas as pd
+
+    classic, search, scores = type(spark.range(1)), pivots.V.block_search, []
+    for name in ("mapInPandas", "mapInArrow"):
+        def bounded(self, run, schema, inner=getattr(classic, name)):
+            def checked(batches):
+                for out in run(batches):
+                    assert len(out) <= 4096, f"{len(out)} rows at once"
+                    yield out
+
+            return inner(self, checked, schema)
+
+        monkeypatch.setattr(classic, name, bounded)
+    monkeypatch.setattr(pivots, "ANNULUS_ROWS", 1)
+    monkeypatch.setattr(pivots.V, "block_search", lambda items, queries, on, score, schema: scores.append(score) or search(items, queries, on, score, schema))
+    x = np.random.default_rng(9).normal(size=(500, 24)).astype(np.float32).astype(float)
+    got = {}
+    for r in pivots.search(frame(spark, x).coalesce(1), every=1).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    y, ids = np.floor(256 * x), np.arange(500)
+    assert all([(v, s) for _, v, s in sorted(got[q])] == [(v, int(s)) for v, s in best(y, ids, q, 5)] for q in range(500))
+    n = 4096
+    y = np.random.default_rng(1).integers(-256, 256, (n, 24)).astype(float)
+    left = pd.DataFrame({"cid": range(n), "vec": [*y], "members": [[i] for i in range(n)], "d": np.linspace(0, 9, n)})
+    right = pd.DataFrame({"qid": range(n), "vec": [*y], "bound": np.inf, "least": -np.inf, "own": 0.0})
+    tracemalloc.start()
+    found = scores[0](left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == n and peak < 100 << 20
+    q = int(found["qid"][77])
+    assert [*found["ids"][77]] == [v for v, _ in sorted(enumerate(y @ y[q]), key=lambda p: (-p[1], p[0]))[:6]]
+
+
 # ---- Pages
 
 
