@@ -8,8 +8,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from feedloom.constants import RESPONSES_SCHEMA
-from feedloom.plans.queries import _spool
-from feedloom.streaming.captures import read_captures, stream_items
+from feedloom.plans.queries import QUERIES, _spool, streams
+from feedloom.streaming.captures import _tells_more, read_captures, stream_items
 
 DAY = datetime(2024, 1, 1)
 
@@ -61,3 +61,45 @@ def test_one_file_of_captures_is_read_by_several_tasks(spark, tmp_path):
     files = glob.glob(f"{folder}/*.parquet")
     assert sum(pq.ParquetFile(f).metadata.num_rows for f in files) == 4000
     assert max(pq.ParquetFile(f).metadata.num_row_groups for f in files) > 2
+
+
+def test_captures_are_taken_in_before_the_next_arrive(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(n, f"http://p/{n}", "<p>x</p>") for n in range(40)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    documents = [(n, f"text number {n} " * 30, "en", "web", 100) for n in range(400)]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    there, read = [], streams.read_captures
+
+    def watched(spark, path, *more, **options):
+        there.append(sum(pq.ParquetFile(f).metadata.num_rows for f in glob.glob(f"{path}/**/*.parquet", recursive=True)))
+        return read(spark, path, *more, **options)
+
+    monkeypatch.setattr(streams, "read_captures", watched)
+    rows = QUERIES["stream_items"](spark, str(tmp_path)).collect()
+    # Of the 20 feeds' six arrivals no more than the first, which the others are made from, and one other are there.
+    assert there == [20] + [40] * 5
+    assert len(rows) == len(set(rows)) == 400 and len({r.feed_id for r in rows}) == 20
+
+
+def test_copies_are_dropped_before_the_shuffle_and_all_else_passes(spark):
+    hour = 3_600_000
+    rows = [("f", "hot", DAY + timedelta(minutes=n), 0) for n in range(0, 6000, 2)][::-1]      # 100 hours
+    rows += [("f", f"k{n % 500}", DAY, n) for n in range(1000)] + [(None, "hot", DAY, 1), ("g", "hot", DAY, 1)] + [("f", "timeless", None, 1)] * 2
+    df = spark.createDataFrame(rows, "feed_id string, item_key string, fetched_at timestamp, pos int").coalesce(1)
+    kept = df.withColumn("more", _tells_more(3 * hour)("feed_id", "item_key", "fetched_at", "pos")).where("more").collect()
+    hot = sorted(r.fetched_at for r in kept if (r.feed_id, r.item_key) == ("f", "hot"))
+    assert len(hot) <= 100 / 3 + 1 and hot[0] == DAY
+    last = max(t for _, k, t, _ in rows if k == "hot")
+    assert last - hot[-1] <= timedelta(hours=3) and all(b - a <= timedelta(hours=3, minutes=2) for a, b in zip(hot, hot[1:]))
+    assert sorted(r.pos for r in kept if r.item_key.startswith("k")) == list(range(500))
+    assert sorted(str(r.feed_id) for r in kept if r.item_key == "hot" and r.feed_id != "f") == ["None", "g"]
+    assert sum(r.item_key == "timeless" for r in kept) == 2
+
+
+def test_texts_move_once(spark, tmp_path):
+    """The one shuffle is that to the groups."""
+    spark.createDataFrame([capture("http://f/", 0, "abc")], RESPONSES_SCHEMA).write.parquet(f"{tmp_path}/in")
+    query = (stream_items(read_captures(spark, f"{tmp_path}/in"), groups=4).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+             .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert [op["operatorName"] for op in query.recentProgress[0]["stateOperators"]] == ["applyInPandasWithState"]
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
